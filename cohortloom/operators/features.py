@@ -140,11 +140,11 @@ DROPPED_COLUMNS = ("diabetes_ind_no", "kidney_ind_no", "chf_ind_no", "chronicpul
 DROPPED_PREFIXES = re.compile(r"race_|ethn|sex_(?!male$)")
 
 
-def assemble_matrix(labelled: DataFrame, meds: DataFrame, dx: DataFrame, totals: DataFrame) -> DataFrame:
-    """Labelled persons with their medication and diagnosis columns; missing numbers are 0, and
-    the columns the model does not use are dropped."""
+def assemble_matrix(labelled: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Labelled persons with the columns of each side (medications, diagnoses, totals); missing
+    numbers are 0, and the columns the model does not use are dropped."""
     wide = labelled
-    for side in (meds, dx, totals):
+    for side in sides:
         wide = wide.join(side, "person_id", "left")
     wide = wide.fillna(0)
     return wide.drop(*[c for c in wide.columns if c in DROPPED_COLUMNS or DROPPED_PREFIXES.match(c)])
@@ -164,20 +164,17 @@ def align_columns(matrix: DataFrame, features: Iterable[str], keys: Iterable[str
 
 def feature_table(features: Iterable[str], labelled: DataFrame, meds: DataFrame, final: DataFrame,
                   totals: DataFrame) -> DataFrame:
-    """Pivot both sides and assemble. Model features occur among diagnoses or medications, so
-    each side is pivoted over the same list and keeps the names it can supply."""
-    features = [f for f in features if f not in labelled.columns]
-    med_names = _present(meds, "ingredient", features)
-    dx_names = [f for f in _present(final, "high_level_condition", features) if f not in med_names]
-    return assemble_matrix(labelled, pivot_meds(meds, med_names), pivot_dx(final, dx_names), totals)
-
+    """Pivot both sides and assemble.
 
-def _present(df: DataFrame, column: str, features: list[str]) -> list[str]:
-    """Which of the listed names occur; at most as many rows as the list come back."""
-    if not features:
-        return []
-    found = {r[0] for r in df.filter(F.col(column).isin(*features)).select(column).distinct().collect()}
-    return [f for f in features if f in found]
+    A model feature may be a medication or a diagnosis. Both sides are pivoted over the whole
+    list and the two cells of a name combined, so no job has to find out which is which."""
+    features = [f for f in features if f not in labelled.columns]
+    meds_wide, dx_wide = pivot_meds(meds, features), pivot_dx(final, features)
+    clear = dx_wide.select("person_id", *[F.col(f).alias(f"_dx_{f}") for f in features])
+    both = meds_wide.join(clear, "person_id", "full").select(
+        "person_id", *[F.greatest(F.coalesce(f, F.lit(0)), F.coalesce(f"_dx_{f}", F.lit(0))).alias(f)
+                       for f in features])
+    return assemble_matrix(labelled, both, totals)
 
 
 # ---------------------------------------------------------------- labels and checks

@@ -68,6 +68,10 @@ class StarTables:
             F.when(key % 41 != 0, F.date_add(start, (key % 200).cast("int") - 2)).alias("visit_end_date"),
             F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1)).alias("likely_hospitalization"))
 
+    def with_site(self, df: DataFrame) -> DataFrame:
+        """Add the site of each row's person."""
+        return df.join(self.person().select("person_id", "data_partner_id"), "person_id")
+
     def _lines(self, flag: str | None = None) -> DataFrame:
         lines = self.raw("lineitem")
         if flag:
@@ -197,6 +201,11 @@ class StarTables:
             F.col("p_brand").alias("concept_set_name"), F.col("p_partkey").alias("concept_id"),
             (F.col("p_size") >= 10).alias("is_most_recent_version"))
 
+    def clinic_visits(self) -> DataFrame:
+        """Clinic visits as dated rows per person."""
+        return (self.observations().filter(F.col("observation_concept_id") == 2004207791)
+                .select("person_id", F.col("observation_date").alias("long_covid_clinic_date")))
+
     def sequel_persons(self) -> DataFrame:
         """Persons known to have the outcome, with the first date (seeded on the key)."""
         key = F.col("c_custkey")
