@@ -167,8 +167,9 @@ def feature_table(features: Iterable[str], labelled: DataFrame, meds: DataFrame,
     """Pivot both sides and assemble.
 
     A model feature may be a medication or a diagnosis. Both sides are pivoted over the whole
-    list and the two cells of a name combined, so no job has to find out which is which."""
-    features = [f for f in features if f not in labelled.columns]
+    list, so no job has to find out which is which; a name found on both sides takes the
+    greater of its two flags."""
+    features = [f for f in features if f not in labelled.columns and f not in totals.columns]
     meds_wide, dx_wide = pivot_meds(meds, features), pivot_dx(final, features)
     clear = dx_wide.select("person_id", *[F.col(f).alias(f"_dx_{f}") for f in features])
     both = meds_wide.join(clear, "person_id", "full").select(

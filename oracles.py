@@ -99,7 +99,7 @@ islands AS (SELECT *, sum(gap) OVER (PARTITION BY person_id ORDER BY vstart) AS
 spans AS (
   SELECT person_id, CAST(g AS BIGINT) AS g, min(vstart) AS mstart, max(vend) AS mend,
     person_id || '_' || CAST(g AS BIGINT) || '_' || strftime(min(vstart), '%Y%m%d') AS mid
-  FROM islands GROUP BY ALL),
+  FROM islands GROUP BY person_id, g),
 first_map AS (
   SELECT v.*, mid, mstart, mend FROM c_visit v LEFT JOIN spans s
   ON v.person_id = s.person_id AND vstart BETWEEN mstart AND mend),
@@ -259,12 +259,12 @@ r_win AS (
   FROM r_cohort c LEFT JOIN r_clinic k ON k.person_id = c.person_id),
 r_span AS (SELECT person_id, max(vstart) - min(vstart) AS days FROM vmap GROUP BY 1),
 r_ftb AS (
-  SELECT w.*, CAST(days AS INTEGER) AS tot_long_data_days, CAST(count(DISTINCT vstart) AS BIGINT) AS post_visits_count,
-    CAST(post_end - post_start AS INTEGER) AS tot_post_days,
-    count(DISTINCT vstart) / nullif(post_end - post_start, 0) AS post_visits_per_pt_day
-  FROM r_win w JOIN r_span s ON w.person_id = s.person_id
-  LEFT JOIN vmap v ON w.person_id = v.person_id AND vstart BETWEEN post_start AND post_end AND mid IS NULL
-  WHERE days > 1 GROUP BY ALL),
+  SELECT *, post_visits_count / nullif(tot_post_days, 0) AS post_visits_per_pt_day FROM (
+    SELECT w.*, CAST(days AS INTEGER) AS tot_long_data_days, CAST(count(DISTINCT vstart) AS BIGINT) AS post_visits_count,
+      CAST(post_end - post_start AS INTEGER) AS tot_post_days
+    FROM r_win w JOIN r_span s ON w.person_id = s.person_id
+    LEFT JOIN vmap v ON w.person_id = v.person_id AND vstart BETWEEN post_start AND post_end AND mid IS NULL
+    WHERE days > 1 GROUP BY ALL)),
 r_sum AS (
   SELECT person_id, apprx_age,
     CASE WHEN apprx_age BETWEEN 18 AND 35 THEN '18-35' WHEN apprx_age BETWEEN 36 AND 45 THEN '36-45'
@@ -389,14 +389,16 @@ def _cells(table_value: str, key: str, names: list[str]) -> str:
 
 
 _MATRIX = f"""
-wide_dx AS (SELECT person_id, {_cells('greater_in_post', 'label', _GROUPS + _TYPES)} FROM dxf GROUP BY 1),
+wide_dx AS (SELECT person_id, {_cells('greater_in_post', 'label', _GROUPS + _TYPES + _INGREDIENTS)} FROM dxf GROUP BY 1),
 wide_med AS (SELECT person_id, {_cells('post_only_med', 'ingredient', _INGREDIENTS)} FROM medf GROUP BY 1),
 matrix AS (
   SELECT l.person_id, long_covid, apprx_age, op_post_visit_ratio, ip_post_visit_ratio, hospitalized,
     CAST(sex = 'MALE' AS INTEGER) AS sex_male,
-    {', '.join(f'coalesce({c}, 0) AS {c}' for c in _GROUPS + _TYPES + _INGREDIENTS)},
+    {', '.join(f'coalesce({c}, 0) AS {c}' for c in _GROUPS + _TYPES)},
+    {', '.join(f'greatest(coalesce(x.{c}, 0), coalesce(m.{c}, 0)) AS {c}' for c in _INGREDIENTS)},
     coalesce(total_pre_dx, 0) AS total_pre_dx, coalesce(total_post_dx, 0) AS total_post_dx, 0 AS never_seen
-  FROM labelled l LEFT JOIN wide_dx USING (person_id) LEFT JOIN wide_med USING (person_id) LEFT JOIN dxt USING (person_id))
+  FROM labelled l LEFT JOIN wide_dx x ON x.person_id = l.person_id LEFT JOIN wide_med m ON m.person_id = l.person_id
+  LEFT JOIN dxt t ON t.person_id = l.person_id)
 """
 
 _POOL_SAMPLE = """
