@@ -54,10 +54,14 @@ def acute_episode_persons(visit_map: DataFrame, conditions: DataFrame) -> DataFr
             .join(acute, "visit_occurrence_id", "left_semi").select("person_id").distinct())
 
 
+def hospital_persons(cohort: DataFrame, visit_map: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Distinct persons who meet either hospital rule."""
+    return near_index_persons(cohort, visit_map).unionByName(acute_episode_persons(visit_map, conditions)).distinct()
+
+
 def hospitalised_cases(cohort: DataFrame, visit_map: DataFrame, conditions: DataFrame) -> DataFrame:
     """Cohort rows that meet either hospital rule."""
-    either = near_index_persons(cohort, visit_map).unionByName(acute_episode_persons(visit_map, conditions)).distinct()
-    return cohort.join(either, "person_id", "left_semi")
+    return cohort.join(hospital_persons(cohort, visit_map, conditions), "person_id", "left_semi")
 
 
 def non_hospitalised_cases(cohort: DataFrame, hospitalised: DataFrame) -> DataFrame:
@@ -66,7 +70,7 @@ def non_hospitalised_cases(cohort: DataFrame, hospitalised: DataFrame) -> DataFr
 
 def with_hospital_group(cohort: DataFrame, visit_map: DataFrame, conditions: DataFrame) -> DataFrame:
     """Add patient_group: CASE_HOSP where a hospital rule is met, else CASE_NONHOSP."""
-    cases = hospitalised_cases(cohort, visit_map, conditions).select("person_id", F.lit(True).alias("_hosp"))
+    cases = hospital_persons(cohort, visit_map, conditions).withColumn("_hosp", F.lit(True))
     return (cohort.join(cases, "person_id", "left")
             .withColumn("patient_group", F.when(F.col("_hosp"), "CASE_HOSP").otherwise("CASE_NONHOSP"))
             .drop("_hosp"))

@@ -179,8 +179,9 @@ def feature_table(features: Iterable[str], labelled: DataFrame, meds: DataFrame,
 
 
 # ---------------------------------------------------------------- labels and checks
-def flagged_persons(labels: DataFrame) -> DataFrame:
-    return labels.filter(F.col("is_pasc_patient") == 1).select("person_id", "data_partner_id")
+def flagged_persons(labels: DataFrame, mark: str) -> DataFrame:
+    """Persons whose 0/1 mark column is 1, with their site."""
+    return labels.filter(F.col(mark) == 1).select("person_id", "data_partner_id")
 
 
 def labelled_with_group(labels: DataFrame, dx_counts: DataFrame) -> DataFrame:

@@ -387,7 +387,7 @@ def label_checks(st: StarTables) -> DataFrame:
     a = anchored(st, stored=True)
     people = st.person()
     labels = ft.flagged_persons(people.select(
-        "person_id", "data_partner_id", F.when(F.col("person_id") % 6 == 0, 1).otherwise(0).alias("is_pasc_patient")))
+        "person_id", "data_partner_id", F.when(F.col("person_id") % 6 == 0, 1).otherwise(0).alias("marked")), "marked")
     return (ft.labelled_with_group(labels, a.dx_counts)
             .unionByName(ft.labelled_without_features(labels, a.dx_counts)
                          .select("person_id", F.lit("absent").alias("patient_group"))))
