@@ -27,9 +27,8 @@ def pre_post_counts(facts: DataFrame, cohort: DataFrame, visit_map: DataFrame, c
     `concept` names the id and name columns, `names` the two outputs. Facts are reduced to one
     row per encounter before the final count, so both counts come from one pass.
     A fact whose visit is unknown is not counted."""
-    placed = (facts_in_windows(facts.filter(F.col("visit_occurrence_id").isNotNull())
-                               .select("person_id", *concept, date, "visit_occurrence_id"), cohort, date)
-              .select("person_id", *concept, "visit_occurrence_id", "span").distinct())
+    placed = facts_in_windows(facts.filter(F.col("visit_occurrence_id").isNotNull())
+                              .select("person_id", *concept, date, "visit_occurrence_id"), cohort, date)
     visits = visit_map.select("visit_occurrence_id", encounter_key("macrovisit_id", "visit_occurrence_id").alias("enc"))
     per_encounter = (placed.join(visits, "visit_occurrence_id")
                      .groupBy("person_id", *concept, "enc")

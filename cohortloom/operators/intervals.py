@@ -71,12 +71,13 @@ def _episode_id(key: str, number: str) -> Column:
 
 
 # ---------------------------------------------------------------- date-in-span joins
-def _bucket(day: Column, width: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(width))
+def _bucket(day: str, bits: int) -> Column:
+    """Number of the 2**bits-day bucket a date falls in."""
+    return F.shiftright(F.unix_date(F.col(day)), bits)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, end: str,
-                  key: str = "person_id", how: str = "inner", bucket_days: int = 64) -> DataFrame:
+                  key: str = "person_id", how: str = "inner", bucket_bits: int = 6) -> DataFrame:
     """Join dated rows to the spans of the same key that contain the date (both ends in).
 
     how: inner, left, left_semi or left_anti. A missing date or bound matches nothing. Each
@@ -84,7 +85,7 @@ def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, en
     clash = [c for c in spans.columns if c in points.columns and c != key]
     if clash and how in ("inner", "left"):
         raise ValueError(f"columns on both sides: {clash}")
-    touched = F.sequence(_bucket(F.col(start), bucket_days), _bucket(F.col(end), bucket_days))
+    touched = F.sequence(_bucket(start, bucket_bits), _bucket(end, bucket_bits))
     s = (spans.filter(F.col(start) <= F.col(end))
          .withColumn("_bucket", F.explode(touched))
          .withColumnRenamed(key, "_key").withColumnRenamed("_bucket", "_span_bucket"))
@@ -93,7 +94,7 @@ def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, en
         lo, hi = "_lo", "_hi"
     else:
         lo, hi = start, end
-    p = points.withColumn("_bucket", _bucket(F.col(date), bucket_days))
+    p = points.withColumn("_bucket", _bucket(date, bucket_bits))
     matched = ((F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_span_bucket"))
                & F.col(date).between(F.col(lo), F.col(hi)))
     return p.join(s, matched, how).drop("_bucket", "_key", "_span_bucket")
@@ -179,3 +180,17 @@ def link_facts(facts: DataFrame, visit_map: DataFrame, date: str) -> DataFrame:
 def drop_blacked_out(facts: DataFrame, spans: DataFrame, date: str) -> DataFrame:
     """Remove facts dated inside any blackout span of their person; undated facts stay."""
     return interval_join(facts, spans, date, "blackout_begin", "blackout_end", how="left_anti")
+
+
+def open_facts_of(persons: DataFrame, facts: DataFrame, spans: DataFrame, date: str) -> DataFrame:
+    """Facts of the given persons outside their blackout spans, in one shuffle of the facts.
+
+    Each person becomes one row holding their spans: infections lie more than 60 days apart,
+    so the array is bounded by the calendar. One join on person then restricts the facts and
+    brings the spans; a hot person's facts are split by the skew-join rule, as the other side
+    is a single row per person."""
+    shut = spans.groupBy("person_id").agg(F.collect_list(F.struct("blackout_begin", "blackout_end")).alias("_shut"))
+    people = persons.select("person_id").distinct().join(shut, "person_id", "left")
+    day = F.col(date)
+    hit = F.exists("_shut", lambda s: day.between(s["blackout_begin"], s["blackout_end"]))
+    return facts.join(people, "person_id").filter(~F.coalesce(hit, F.lit(False))).select(*facts.columns)

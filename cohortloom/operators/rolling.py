@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import key_uniform
 from cohortloom.operators.features import derived_bins, pool_facts
-from cohortloom.operators.intervals import drop_blacked_out
+from cohortloom.operators.intervals import drop_blacked_out, open_facts_of
 from cohortloom.operators.windows import window_days
 
 MAX_FEATURES = 20_000
@@ -19,14 +19,14 @@ def post_visit_counts_in_windows(grid: DataFrame, blackout: DataFrame, visits: D
     """Distinct visit dates per person and window, outpatient and inpatient, blackout removed;
     windows without visits keep 0.
 
-    Visits are reduced to person-days first, then laid onto windows by day."""
-    open_visits = drop_blacked_out(
-        visits.select("person_id", "visit_occurrence_id", "visit_start_date", "likely_hospitalization"),
-        blackout, "visit_start_date")
+    Visits are reduced to person-days first; whether a day is blacked out depends on the
+    person and the date only. The days left are laid onto windows by day."""
     hospital = F.col("likely_hospitalization")
-    days = open_visits.groupBy("person_id", F.col("visit_start_date").alias("day")).agg(
-        F.max(hospital.isNull().cast("long")).alias("out_day"),
-        F.max(F.coalesce(hospital == 1, F.lit(False)).cast("long")).alias("in_day"))
+    days = visits.filter(F.col("visit_start_date").isNotNull()) \
+        .groupBy("person_id", F.col("visit_start_date").alias("day")).agg(
+            F.max(hospital.isNull().cast("long")).alias("out_day"),
+            F.max(F.coalesce(hospital == 1, F.lit(False)).cast("long")).alias("in_day"))
+    days = drop_blacked_out(days, blackout, "day")
     counts = (days.join(window_days(windows), "day").groupBy("person_id", "window")
               .agg(F.sum("out_day").alias("post_nonhosp_visit_count"), F.sum("in_day").alias("post_hosp_count")))
     return (grid.select("person_id", "window").join(counts, ["person_id", "window"], "left")
@@ -38,7 +38,7 @@ def conditions_for_the_cohort(grid: DataFrame, blackout: DataFrame, conditions:
     """Pooled facts outside every blackout span; of cohort persons only unless told otherwise."""
     pooled = pool_facts(observations, conditions)
     if cohort_only:
-        pooled = pooled.join(grid.select("person_id").distinct(), "person_id", "left_semi")
+        return open_facts_of(grid, pooled, blackout, "condition_start_date")
     return drop_blacked_out(pooled, blackout, "condition_start_date")
 
 

@@ -443,6 +443,13 @@ def blackout_anti_join(st: StarTables) -> DataFrame:
     return ro.conditions_for_the_cohort(r.grid, r.blackout, r.conditions, r.observations)
 
 
+@query
+def blackout_anti_join_all(st: StarTables) -> DataFrame:
+    """Blackout removed from everybody's facts, in the cohort or not."""
+    r = rolling(st)
+    return ro.conditions_for_the_cohort(r.grid, r.blackout, r.conditions, r.observations, cohort_only=False)
+
+
 @query
 def window_visit_counts(st: StarTables) -> DataFrame:
     return rolling(st).visit_counts

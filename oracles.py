@@ -625,6 +625,9 @@ ORACLES: dict[str, str] = {
         WHERE visits >= 2 OR num_u09s >= 2""", *_RO),
     "blackout_anti_join": _sql(f"""SELECT id AS condition_occurrence_id, person_id, {_day(condition_start_date='fdate')},
         cid AS condition_concept_id, cname AS condition_concept_name FROM pool""", *_RO),
+    "blackout_anti_join_all": _sql(f"""SELECT id AS condition_occurrence_id, person_id, {_day(condition_start_date='fdate')},
+        cid AS condition_concept_id, cname AS condition_concept_name FROM pool_all p
+        WHERE NOT EXISTS (SELECT 1 FROM black x WHERE x.person_id = p.person_id AND p.fdate BETWEEN x.b AND x.e)""", *_RO),
     "window_visit_counts": _sql("SELECT * FROM vc", *_RO),
     "pool_facts": _sql(f"""SELECT id AS condition_occurrence_id, person_id, {_day(condition_start_date='fdate')},
         cid AS condition_concept_id, cname AS condition_concept_name FROM pool_all""", *_RO),
