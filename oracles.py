@@ -680,5 +680,6 @@ ORACLES["group_variance"] = _sql(" UNION ALL ".join(
     f"SELECT '{c}' AS variable, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within, "
     "round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f_value FROM ("
     "SELECT count(*) AS k, sum(gn) AS n, sum(gn * (gm - grand) ** 2) AS ssb, sum(gss) AS ssw FROM ("
-    f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum GROUP BY 1), "
+    f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
+    f"WHERE {c} IS NOT NULL GROUP BY 1), "
     f"(SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS), *_RE)
