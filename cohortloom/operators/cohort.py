@@ -18,11 +18,13 @@ COMORBIDITIES = ("diabetes_ind", "kidney_ind", "CHF_ind", "ChronicPulm_ind")
 
 # ---------------------------------------------------------------- eligibility
 def collect_cohort(index_dates: DataFrame, person: DataFrame, manifest: DataFrame, death: DataFrame,
-                   follow_up_days: int = FOLLOW_UP_DAYS) -> DataFrame:
+                   follow_up_days: int = FOLLOW_UP_DAYS, cutoff: str | None = None) -> DataFrame:
     """Persons with enough days between their earliest evidence (or death) and the site's
-    last refresh, with demographics.
+    last refresh, with demographics. `cutoff` sets one refresh date for all sites.
 
     -> person_id, apprx_age, sex, race, ethn, site_id, min_covid_dt, run_date"""
+    if cutoff is not None:
+        manifest = manifest.withColumn("run_date", F.lit(cutoff).cast("date"))
     deaths = death.groupBy("person_id").agg(F.min("death_date").alias("death_date"))
     return (index_dates
             .join(person, "person_id")

@@ -399,6 +399,27 @@ def date_placeholder(st: StarTables) -> DataFrame:
         "person_id", date_text("min_long_covid_date").alias("min_long_covid_date"))
 
 
+@query
+def drug_features(st: StarTables) -> DataFrame:
+    a = anchored(st, stored=True)
+    return ft.drug_features(ct.with_post_flags(a.med_counts, "pre_med_count", "post_med_count", "post_only_med"))
+
+
+@query
+def regression_input(st: StarTables) -> DataFrame:
+    """Age band and ratios of the aligned matrix, by person."""
+    matrix = anchored(st, stored=True).matrix(MATRIX_FEATURES[:5], CATEGORIES)
+    doubles = ft.double_features(matrix, ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio"])
+    return ft.regression_input(doubles).groupBy("apprx_age", "op_post_visit_ratio", "long_covid", "hospitalized").agg(
+        F.count("*").alias("n"), F.round(F.sum("ip_post_visit_ratio"), 6).alias("ip_sum"))
+
+
+@query
+def fixed_cutoff_cohort(st: StarTables) -> DataFrame:
+    a = anchored(st)
+    return co.collect_cohort(a.index_dates, a.person, a.manifest, a.death, cutoff="2022-06-22")
+
+
 @query
 def demographic_features(st: StarTables) -> DataFrame:
     return ft.demographic_features(anchored(st, stored=True).dx_counts)
@@ -416,6 +437,13 @@ def greedy_chain(st: StarTables) -> DataFrame:
     return rolling(st).infections
 
 
+@query
+def greedy_chain_as_coded(st: StarTables) -> DataFrame:
+    """Persons without a first date stay as one row with a null date."""
+    r = rolling(st)
+    return inf.infection_dates(r.covid_cohort, r.facts, compat=True)
+
+
 @query
 def blackout_spans(st: StarTables) -> DataFrame:
     return rolling(st).blackout

@@ -602,6 +602,16 @@ ORACLES: dict[str, str] = {
         FROM c_person p LEFT JOIN dxc d ON d.person_id = p.person_id WHERE p.person_id % 6 = 0""", *_AN),
     "date_placeholder": _sql("""SELECT p.person_id, coalesce(CAST(lc_date AS VARCHAR), '0000-00-00') AS min_long_covid_date
         FROM c_person p LEFT JOIN c_sequel s ON s.person_id = p.person_id"""),
+    "drug_features": _sql("""SELECT DISTINCT person_id, ing AS ingredient, CASE WHEN pre_n > 0 THEN 0 ELSE 1 END AS post_only_med
+        FROM medc""", *_AN),
+    "regression_input": _sql("""SELECT CASE WHEN apprx_age BETWEEN 18 AND 25 THEN '18-25' WHEN apprx_age BETWEEN 26 AND 45 THEN '26-45'
+        WHEN apprx_age BETWEEN 46 AND 55 THEN '46-55' WHEN apprx_age BETWEEN 56 AND 65 THEN '56-65' WHEN apprx_age >= 66 THEN '66+'
+        ELSE 'unknown' END AS apprx_age, op_post_visit_ratio, long_covid, hospitalized, count(*) AS n,
+        round(sum(ip_post_visit_ratio), 6) AS ip_sum FROM labelled GROUP BY 1, 2, 3, 4""", *_AN),
+    "fixed_cutoff_cohort": _sql(f"""SELECT DISTINCT i.person_id, CAST(2022 - year_of_birth AS INTEGER) AS apprx_age, gender AS sex, race,
+        ethn, p.site AS site_id, {_day(min_covid_dt='least(pos_test_idx, u07_any_idx)', run_date="DATE '2022-06-22'")}
+        FROM idx i JOIN c_person p USING (person_id) LEFT JOIN c_death d ON d.person_id = i.person_id
+        WHERE DATE '2022-06-22' - least(pos_test_idx, u07_any_idx, death_date) >= 100""", *_AN),
     "demographic_features": _sql("SELECT DISTINCT person_id, apprx_age, sex, race, ethn FROM dxc", *_AN),
     # ------------------------------------------------------------ rolling windows
     "index_dates": _sql(f"""SELECT f.person_id, {_day(COVID_first_PCR_or_AG_lab_positive='pcr', COVID_first_diagnosis_date='dx',
@@ -609,6 +619,8 @@ ORACLES: dict[str, str] = {
         MISC_first_diagnosis_date='misc', COVID_first_poslab_or_diagnosis_date='least(pcr, dx)',
         pax_or_rem_idx='pax_or_rem_idx', covid_index_date='idx')} FROM firsts f LEFT JOIN ix ON ix.person_id = f.person_id""", *_RO),
     "greedy_chain": _sql(f"SELECT person_id, {_day(infection_date='d')}, CAST(n AS INTEGER) AS infection_number FROM chain", *_RO),
+    "greedy_chain_as_coded": _sql(f"""SELECT person_id, {_day(infection_date='d')}, CAST(n AS INTEGER) AS infection_number FROM chain
+        UNION ALL SELECT person_id, NULL, 0 FROM firsts WHERE pcr IS NULL AND dx IS NULL""", *_RO),
     "blackout_spans": _sql(f"""SELECT person_id, {_day(infection_date='d', blackout_begin='b', blackout_end='e')} FROM black""", *_RO),
     "person_window_grid": _sql("SELECT * FROM grid", *_RO),
     "repeat_labels": _sql(f"""SELECT person_id, nu AS num_u09s, {_day(min_u09_date='du')}, nb AS num_b948s, {_day(min_b948_date='db')},

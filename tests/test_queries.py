@@ -50,5 +50,7 @@ def test_entry(spark):
 def test_matches_duckdb(spark, db, name):
     df = entry.queries()[name](spark, str(FOLDER))
     got = bag(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     res = db.execute(entry.oracle_sql()[name])
     assert got == bag([d[0] for d in res.description], res.fetchall())
