@@ -1,6 +1,7 @@
 """Every registered query at the smallest scale against its DuckDB statement."""
 
 import collections
+import functools
 import math
 from pathlib import Path
 
@@ -8,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cohortloom.plans import catalog
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -24,6 +26,25 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_flows():
+    """Queries over one folder share their stored steps, which saves most of the time."""
+    patch = pytest.MonkeyPatch()
+    for name in ("anchored", "research", "rolling"):
+        build, flows = getattr(catalog, name), {}
+
+        @functools.wraps(build)
+        def once(st, stored=False, build=build, flows=flows):
+            key = (st.folder, stored)
+            if key not in flows:
+                flows[key] = build(st, stored)
+            return flows[key]
+
+        patch.setattr(catalog, name, once)
+    yield
+    patch.undo()
+
+
 def canonical(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
