@@ -116,7 +116,7 @@ def feature_table_builder(index_dates: DataFrame, person: DataFrame, manifest: D
 # ---------------------------------------------------------------- research variant
 def comorbidity_patients(conditions: DataFrame, concepts: DataFrame) -> DataFrame:
     """Persons with the listed codes on at least two dates: number of dates and the first."""
-    listed = concepts.select(F.col("concept_id").alias("condition_concept_id")).distinct()
+    listed = concepts.select(F.col("concept_id").alias("condition_concept_id"))
     return (conditions.join(listed, "condition_concept_id", "left_semi")
             .groupBy("person_id")
             .agg(F.count_distinct("condition_start_date").alias("dx_count"),

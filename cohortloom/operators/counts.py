@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.constants import MISSING_LAB, PREVALENCE_SHARE
 from cohortloom.functions.columns import encounter_key, flag
 from cohortloom.operators.intervals import interval_join
+from cohortloom.operators.joins import spread_join
 from cohortloom.operators.windows import pre_post_spans
 
 DEMOGRAPHICS = ("apprx_age", "sex", "race", "ethn")
@@ -63,8 +64,7 @@ def attach_demographics(counts: DataFrame, cohort: DataFrame, ip_days: DataFrame
 def labs_of_cohort(measurements: DataFrame, cohort: DataFrame, sets: DataFrame) -> DataFrame:
     """Measurements of cohort persons under each concept set they belong to."""
     members = sets.select(F.col("concept_id").alias("measurement_concept_id"), "concept_set_name")
-    return (measurements.join(cohort.select("person_id").distinct(), "person_id", "left_semi")
-            .join(members, "measurement_concept_id"))
+    return spread_join(measurements.join(members, "measurement_concept_id"), cohort.select("person_id"), how="left_semi")
 
 
 def pre_post_labs(labs: DataFrame, cohort: DataFrame, missing: float = MISSING_LAB) -> DataFrame:
@@ -113,7 +113,7 @@ def with_post_flags(counts: DataFrame, pre: str, post: str, post_only: str) -> D
 
 def above_threshold(counts: DataFrame, kept: DataFrame, on: str) -> DataFrame:
     """Counts of prevalent concepts only."""
-    return counts.join(kept.select(on).distinct(), on, "left_semi")
+    return counts.join(kept.select(on), on, "left_semi")
 
 
 def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:

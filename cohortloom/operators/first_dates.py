@@ -47,9 +47,9 @@ def all_index_dates(conditions: DataFrame, measurements: DataFrame) -> DataFrame
 def site_lab_index(measurements: DataFrame, tests: DataFrame, positives: DataFrame, sites: list[int]) -> DataFrame:
     """First positive test at the given sites; the code lists are concept-set tables."""
     kept = (measurements.filter(F.col("data_partner_id").isin(*sites))
-            .join(tests.select(F.col("concept_id").alias("measurement_concept_id")).distinct(),
+            .join(tests.select(F.col("concept_id").alias("measurement_concept_id")),
                   "measurement_concept_id", "left_semi")
-            .join(positives.select(F.col("concept_id").alias("value_as_concept_id")).distinct(),
+            .join(positives.select(F.col("concept_id").alias("value_as_concept_id")),
                   "value_as_concept_id", "left_semi"))
     return kept.groupBy("person_id").agg(F.min("measurement_date").alias("PCR_INDEX_DT"))
 

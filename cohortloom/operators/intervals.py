@@ -17,6 +17,7 @@ from cohortloom.constants import (
     EMERGENCY_TYPE, EPISODE_QUALIFYING_TYPES, INPATIENT_TYPES, OUTPATIENT_TYPE,
 )
 from cohortloom.functions.columns import flag
+from cohortloom.operators.joins import spread_join
 
 EPISODE_COLUMNS = ("macrovisit_id", "macrovisit_start_date", "macrovisit_end_date")
 
@@ -186,11 +187,10 @@ def open_facts_of(persons: DataFrame, facts: DataFrame, spans: DataFrame, date:
     """Facts of the given persons outside their blackout spans, in one shuffle of the facts.
 
     Each person becomes one row holding their spans: infections lie more than 60 days apart,
-    so the array is bounded by the calendar. One join on person then restricts the facts and
-    brings the spans; a hot person's facts are split by the skew-join rule, as the other side
-    is a single row per person."""
+    so the array is bounded by the calendar. One salted join on person then restricts the
+    facts and brings the spans."""
     shut = spans.groupBy("person_id").agg(F.collect_list(F.struct("blackout_begin", "blackout_end")).alias("_shut"))
     people = persons.select("person_id").distinct().join(shut, "person_id", "left")
     day = F.col(date)
     hit = F.exists("_shut", lambda s: day.between(s["blackout_begin"], s["blackout_end"]))
-    return facts.join(people, "person_id").filter(~F.coalesce(hit, F.lit(False))).select(*facts.columns)
+    return spread_join(facts, people).filter(~F.coalesce(hit, F.lit(False))).select(*facts.columns)

@@ -25,10 +25,13 @@ def _fit(df: DataFrame, label: str, classifier) -> PipelineModel:
 def train_boosted_trees(data: DataFrame, label: str = "label", colsample_bytree: float = 0.1, gamma: float = 0.4,
                         learning_rate: float = 0.09, max_depth: int = 12, min_child_weight: int = 0,
                         n_estimators: int = 400, subsample: float = 0.9, random_state: int = 42) -> PipelineModel:
-    """Gradient-boosted trees; the settings keep their usual names and defaults."""
+    """Gradient-boosted trees; the settings keep their usual names and defaults.
+
+    `gamma` is a loss reduction summed over rows, Spark's minimum gain one per row, so it is
+    divided by the number of training rows."""
     return _fit(data, label, GBTClassifier(
         maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-        featureSubsetStrategy=str(colsample_bytree), minInfoGain=gamma,
+        featureSubsetStrategy=str(colsample_bytree), minInfoGain=gamma / max(data.count(), 1),
         minInstancesPerNode=max(1, min_child_weight), seed=random_state))
 
 
