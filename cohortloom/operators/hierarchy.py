@@ -14,6 +14,7 @@ from cohortloom.constants import (
     BLOCKED_ANCESTORS, BLOCKED_DESCENDANTS, GENERIC_PARENTS, GENERIC_WORDS, LATERALITY_WORDS,
 )
 from cohortloom.operators.joins import spread_join
+from cohortloom.session import materialise
 from cohortloom.sources.concept_sets import ingredient_concepts, snomed_features
 
 
@@ -134,9 +135,12 @@ def blocked_concepts(closure: DataFrame, ancestors=BLOCKED_ANCESTORS, descendant
 def selected_features(facts: DataFrame, closure: DataFrame, concept: DataFrame, cutoff_value: int,
                       ancestor_blacklist=BLOCKED_ANCESTORS, descendant_blacklist=BLOCKED_DESCENDANTS) -> DataFrame:
     """For each concept with facts, the ancestors at the least level at which some ancestor's
-    total reaches the cutoff; edges touching a blocked concept on either end are removed."""
+    total reaches the cutoff; edges touching a blocked concept on either end are removed.
+
+    The counts per concept are read several times, so they are stored: the facts are scanned
+    once and the rest is of vocabulary size."""
     edges = closure_edges(closure, concept)
-    counts = concept_counts(facts)
+    counts = materialise(concept_counts(facts), "concept_counts")
     kept = ancestor_counts(counts, edges).filter(F.col("ancestor_count") >= cutoff_value)
     candidates = edges.join(kept, "ancestor_concept_id").join(counts, "descendant_concept_id")
     least = candidates.groupBy("descendant_concept_id").agg(

@@ -50,7 +50,7 @@ class IndexAnchored:
 
     @cached_property
     def index_dates(self) -> DataFrame:
-        return all_index_dates(self.conditions, self.measurements)
+        return self.store(all_index_dates(self.conditions, self.measurements), "index_dates")
 
     @cached_property
     def cohort(self) -> DataFrame:
@@ -79,7 +79,7 @@ class IndexAnchored:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return hi.rollup_candidates(self.dx_counts, self.sequel, self.closure, self.concept)
+        return self.store(hi.rollup_candidates(self.dx_counts, self.sequel, self.closure, self.concept), "candidates")
 
     @cached_property
     def rollup(self) -> DataFrame:

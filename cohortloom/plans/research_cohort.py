@@ -41,7 +41,7 @@ class ResearchCohort:
     def index(self) -> DataFrame:
         dx = fd.site_dx_index(self.conditions, self.visit_map, self.sites)
         lab = fd.site_lab_index(self.measurements, self.tests, self.positives, self.sites)
-        return fd.living_earliest_index(dx, lab, self.death)
+        return self.store(fd.living_earliest_index(dx, lab, self.death), "research_index")
 
     @cached_property
     def comorbid(self) -> DataFrame:

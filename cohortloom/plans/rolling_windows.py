@@ -37,7 +37,7 @@ class RollingWindows:
 
     @cached_property
     def covid_cohort(self) -> DataFrame:
-        return inf.covid_cohort(self.facts)
+        return self.store(inf.covid_cohort(self.facts), "covid_cohort")
 
     @cached_property
     def infections(self) -> DataFrame:
