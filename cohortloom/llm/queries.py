@@ -5,10 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import token_shards
+from cohortloom.llm import packing, token_counts, token_shards, warc
 from cohortloom.llm.common import read
 
 
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.drop("ids")
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.mark_revisits(read(spark, sf_dir, "pages")))
+    return warc.page_rows(warc.read_archives(archives, with_payload=False))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_shards.write_shards(read(spark, sf_dir, "documents"),
                                          public_tokenizers.path("byte_bpe_50k.json"))
