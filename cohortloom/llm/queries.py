@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import packing, token_counts, token_shards, warc
+from cohortloom.llm import packing, simhash, token_counts, token_shards, warc
 from cohortloom.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archives(archives, with_payload=False))
 
 
+def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
