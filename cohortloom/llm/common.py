@@ -58,10 +58,11 @@ class TextEncoder:
 
     A byte-level tokenizer without normalizer never joins what stands before a white-space run
     with the run, so a text falls into pieces at single spaces whose ids can be looked up again.
-    Pieces are encoded by the library once and kept; a text with a space after white space is
-    encoded as a whole, as is every text of a tokenizer of another kind."""
+    Pieces are encoded by the library once and kept (marks after a letter apart from the word, as
+    the tokenizer splits there). A text with a space after white space is encoded as a whole, as is
+    every text of a tokenizer of another kind."""
 
-    MAX_KEPT = 1_000_000  # pieces; beyond that the memory starts afresh
+    MAX_KEPT = 700_000  # pieces; beyond that they become the older generation and the last older one goes
 
     def __init__(self, path: str):
         import json
@@ -84,7 +85,9 @@ class TextEncoder:
         self.starts = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.starts[i] = token.startswith("\u0120")
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes | None] = {}  # None: the text must be encoded as a whole
+        self.older: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "TextEncoder":
@@ -96,17 +99,39 @@ class TextEncoder:
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         import numpy as np
 
         width = np.dtype(self.dtype).itemsize
         groups = [pieces[i:i + 1000] for i in range(0, len(pieces), 1000)]
+        found = {}
         for group, raw in zip(groups, self._plain([" " + " ".join(g) for g in groups])):
             at = np.flatnonzero(self.starts[np.frombuffer(raw, self.dtype)])
             if len(at) != len(group):
                 raise ValueError("the tokenizer joins pieces across a space")
             at = [*(width * at).tolist(), len(raw)]
-            self.kept.update(zip(group, map(raw.__getitem__, map(slice, at, at[1:]))))
+            found.update(zip(group, map(raw.__getitem__, map(slice, at, at[1:]))))
+        return found
+
+    def _learn(self, pieces: set[str]) -> None:
+        kept, older = self.kept, self.older
+        again = pieces & older.keys()
+        kept.update((p, older[p]) for p in again)
+        marked, words = [], set()
+        for piece in pieces - again:
+            word = piece.rstrip(".,;:!?")
+            if not piece or piece[-1].isspace():
+                kept[piece] = None
+            elif word != piece and word and word[-1].isalpha():
+                marked.append((piece, word, piece[len(word):]))
+                words.add(word)
+            else:
+                words.add(piece)
+        kept.update(self._encode_pieces([w for w in words if w not in kept]))
+        for piece, word, mark in marked:
+            if mark not in self.marks:
+                self.marks[mark] = self._plain([mark])[0]
+            kept[piece] = kept[word] + self.marks[mark]
 
     def encode(self, texts: list[str | None], chars_at_once: int = 2_000_000):
         """Yields the bytes of each text's ids; null counts as empty."""
@@ -123,12 +148,13 @@ class TextEncoder:
         if not self.by_piece:
             yield from self._plain(texts)
             return
-        parts = [None if re.search(r"\s ", t) else t.split(" ") for t in texts]
-        new = list(set().union(*[p[1:] for p in parts if p]) - self.kept.keys())
-        if len(self.kept) + len(new) > self.MAX_KEPT:
-            self.kept.clear()
-            new = list(set().union(*[p[1:] for p in parts if p]))
-        self._learn(new)
-        heads = self._plain([t if p is None else p[0] for t, p in zip(texts, parts)])
-        for part, head in zip(parts, heads):
-            yield head + b"".join(map(self.kept.__getitem__, part[1:])) if part else head
+        parts = [t.split(" ") for t in texts]
+        if len(self.kept) > self.MAX_KEPT:
+            self.kept, self.older = {}, self.kept
+        self._learn(set().union(*(p[1:] for p in parts)) - self.kept.keys())
+        look_up = self.kept.__getitem__
+        for text, part, head in zip(texts, parts, self._plain([p[0] for p in parts])):
+            try:
+                yield head + b"".join(map(look_up, part[1:]))
+            except TypeError:  # a piece that joins with the next
+                yield self._plain([text])[0]
