@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import byte_words
+from cohortloom.llm.common import byte_words, document_columns
 from cohortloom.llm.components import connected_components
 from cohortloom.session import materialise
 
@@ -244,3 +244,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = materialise(rooted.join(smallest, "root").select("node", "component_id"), "placed")
     return (rows.join(placed, "node")
             .select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with the columns of documents.
+
+    Of rows with that doc_id one stays, any if their texts differ. Rows without doc_id cannot be told apart and all stay."""
+    docs = docs.select(*document_columns(docs))
+    staying = materialise(near_duplicates(docs).filter("doc_id = component_id")
+                          .select(F.col("doc_id").alias("_id")).distinct(), "staying")
+    known = (docs.join(staying, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+             .dropDuplicates(["doc_id"]))
+    return known.unionByName(docs.filter("doc_id is null"))
