@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup, token_counts, token_shards, warc
+from cohortloom.llm import decontaminate, language_model, packing, quality_rules, simhash, suffix_dedup, token_counts, token_shards, warc
 from cohortloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
