@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import decontaminate, language_model, packing, quality_rules, simhash, suffix_dedup, token_counts, token_shards, warc
+from cohortloom.llm import (
+    decontaminate,
+    language_model,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    token_shards,
+    warc,
+    weak_labels,
+)
 from cohortloom.llm.common import read
 
 
@@ -13,6 +24,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(read(spark, sf_dir, "documents"))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.drop("ids")
