@@ -153,7 +153,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     posterior is the labellers' probability of a good text, score the scorer's, and a text is kept
     if the sum of their log odds, each within 6, is positive.
 
-    Null and empty texts get the votes of a text without words; repeated rows, null and equal ids
+    A text without words (null, empty) is bad by its length and never kept; repeated rows, null and equal ids
     keep a row each; other columns are left behind; an empty table gives no row."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     counts = (voted(docs).groupBy("votes").agg(F.count("*").alias("n")).toArrow())  # 3 ** labellers rows at most
@@ -170,12 +170,13 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         weights, posterior = shared.value
         place = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
-            bad, sure, score = [], [], []
+            bad, sure, score, filled = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 vote = np.array(votes(text))
                 at = trigram_buckets(text)
                 logit = SCALE * float(weights[at].mean()) if len(at) else 0.0
+                filled.append(bool(text and text.strip(" \t\n\v\f\r")))
                 bad.append([name for name, v in zip(LABELLERS, vote) if v == BAD])
                 sure.append(float(posterior[int((vote * place).sum())]))
                 score.append(float(1 / (1 + np.exp(-np.clip(logit + weights[-1], -500, 500)))))
@@ -183,7 +184,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
                     for p in (np.array(sure), np.array(score))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(bad, pa.list_(pa.string())), pa.array(sure, pa.float64()),
-                 pa.array(score, pa.float64()), pa.array((odds[0] + odds[1] > 0).tolist(), pa.bool_())],
+                 pa.array(score, pa.float64()), pa.array(((odds[0] + odds[1] > 0) & np.array(filled, bool)).tolist(), pa.bool_())],
                 ["doc_id", "votes", "posterior", "score", "kept"])
 
     return docs.mapInArrow(run, "doc_id long, votes array<string>, posterior double, score double, kept boolean")
