@@ -47,8 +47,8 @@ def blackout_dates(cohort_and_idx: DataFrame, infection_dates: DataFrame,
 
 
 def basic_cohort(person_table: DataFrame, cohort_and_idx: DataFrame, window_spans: DataFrame, min_age: int = 18,
-                 max_age: int = 100, testing_limit: int | None = None) -> DataFrame:
-    return _wi.person_window_grid(person_table, cohort_and_idx, window_spans, min_age, max_age, testing_limit)
+                 max_age: int = 100) -> DataFrame:
+    return _wi.person_window_grid(person_table, cohort_and_idx, window_spans, min_age, max_age)
 
 
 def labels(condition_occurrence: DataFrame, basic_cohort: DataFrame, observation_table: DataFrame,

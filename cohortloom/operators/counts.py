@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.constants import MISSING_LAB, PREVALENCE_SHARE
 from cohortloom.functions.columns import encounter_key, flag
 from cohortloom.operators.intervals import interval_join
-from cohortloom.operators.joins import spread_join
+from cohortloom.operators.joins import stored_join
 from cohortloom.operators.windows import pre_post_spans
 
 DEMOGRAPHICS = ("apprx_age", "sex", "race", "ethn")
@@ -64,7 +64,7 @@ def attach_demographics(counts: DataFrame, cohort: DataFrame, ip_days: DataFrame
 def labs_of_cohort(measurements: DataFrame, cohort: DataFrame, sets: DataFrame) -> DataFrame:
     """Measurements of cohort persons under each concept set they belong to."""
     members = sets.select(F.col("concept_id").alias("measurement_concept_id"), "concept_set_name")
-    return spread_join(measurements.join(members, "measurement_concept_id"), cohort.select("person_id"), how="left_semi")
+    return stored_join(measurements.join(members, "measurement_concept_id"), cohort.select("person_id"), how="left_semi")
 
 
 def pre_post_labs(labs: DataFrame, cohort: DataFrame, missing: float = MISSING_LAB) -> DataFrame:

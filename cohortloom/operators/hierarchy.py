@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortloom.constants import (
     BLOCKED_ANCESTORS, BLOCKED_DESCENDANTS, GENERIC_PARENTS, GENERIC_WORDS, LATERALITY_WORDS,
 )
-from cohortloom.operators.joins import spread_join
+from cohortloom.operators.joins import stored_join
 from cohortloom.session import materialise
 from cohortloom.sources.concept_sets import ingredient_concepts, snomed_features
 
@@ -21,7 +21,7 @@ from cohortloom.sources.concept_sets import ingredient_concepts, snomed_features
 # ---------------------------------------------------------------- drugs to ingredients
 def cohort_facts(facts: DataFrame, cohort: DataFrame) -> DataFrame:
     """Facts of cohort persons."""
-    return spread_join(facts, cohort.select("person_id"), how="left_semi")
+    return stored_join(facts, cohort.select("person_id"), how="left_semi")
 
 
 def ingredient_rollup(drugs: DataFrame, closure: DataFrame, concept: DataFrame) -> DataFrame:

@@ -95,7 +95,6 @@ def repeat_labels(conditions: DataFrame, grid: DataFrame, observations: DataFram
     `compat=True` reproduces counts taken over the joined grid instead: every date counts once
     per window of the person and, for diagnoses, once per date of the other code; the broader
     code does not label; and the clinic date goes before the diagnosis date."""
-    windows_per_person = grid.groupBy("person_id").agg(F.count("*").alias("_windows"))
     dated = conditions.filter(
         F.col("condition_concept_id").isin(ROLLING_SEQUEL_DX, INFECTIOUS_SEQUELA_DX)
         & (F.col("condition_start_date") >= F.lit(date_floor).cast("date"))
@@ -114,9 +113,9 @@ def repeat_labels(conditions: DataFrame, grid: DataFrame, observations: DataFram
         F.min(dates_of(INFECTIOUS_SEQUELA_DX)).alias("min_b948_date"),
         F.count(dates_of(CLINIC_OBSERVATION)).alias("TRAIN_num_lc_clinic_visits"),
         F.min(dates_of(CLINIC_OBSERVATION)).alias("TRAIN_min_lc_clinic_date"))
-    out = per_person.join(windows_per_person, "person_id")
     u09, b948, visits = F.col("num_u09s"), F.col("num_b948s"), F.col("TRAIN_num_lc_clinic_visits")
     if compat:
+        out = per_person.join(grid.groupBy("person_id").agg(F.count("*").alias("_windows")), "person_id")
         # a left join of both codes repeats each side once per date of the other
         out = (out.withColumns({
             "num_u09s": u09 * F.greatest(b948, F.lit(1)) * F.col("_windows"),
@@ -125,6 +124,7 @@ def repeat_labels(conditions: DataFrame, grid: DataFrame, observations: DataFram
         labelled = out.withColumn("label", (visits >= 2) | (u09 >= 2)).withColumn(
             "label_date", F.when(visits >= 2, F.col("TRAIN_min_lc_clinic_date")).otherwise(F.col("min_u09_date")))
     else:
+        out = per_person.join(grid, "person_id", "left_semi")
         labelled = out.withColumn("label", (u09 >= 2) | (b948 >= 2) | (visits >= 2)).withColumn(
             "label_date", F.least(F.when(u09 >= 2, F.col("min_u09_date")), F.when(b948 >= 2, F.col("min_b948_date")),
                                   F.when(visits >= 2, F.col("TRAIN_min_lc_clinic_date"))))

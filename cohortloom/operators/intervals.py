@@ -17,7 +17,7 @@ from cohortloom.constants import (
     EMERGENCY_TYPE, EPISODE_QUALIFYING_TYPES, INPATIENT_TYPES, OUTPATIENT_TYPE,
 )
 from cohortloom.functions.columns import flag
-from cohortloom.operators.joins import spread_join
+from cohortloom.operators.joins import stored_join
 
 EPISODE_COLUMNS = ("macrovisit_id", "macrovisit_start_date", "macrovisit_end_date")
 
@@ -86,9 +86,14 @@ def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, en
     clash = [c for c in spans.columns if c in points.columns and c != key]
     if clash and how in ("inner", "left"):
         raise ValueError(f"columns on both sides: {clash}")
-    touched = F.sequence(_bucket(start, bucket_bits), _bucket(end, bucket_bits))
-    s = (spans.filter(F.col(start) <= F.col(end))
-         .withColumn("_bucket", F.explode(touched))
+    # Buckets are laid out only over the dates there are, so an open end far in the future costs nothing.
+    seen = points.agg(F.min(date).alias("low"), F.max(date).alias("high"))
+    first = F.greatest(F.col(start), seen.select("low").scalar())
+    last = F.least(F.col(end), seen.select("high").scalar())
+    s = (spans.filter(F.col(start) <= F.col(end)).withColumns({"_first": first, "_last": last})
+         .filter("_first <= _last")
+         .withColumn("_bucket", F.explode(F.sequence(_bucket("_first", bucket_bits), _bucket("_last", bucket_bits))))
+         .drop("_first", "_last")
          .withColumnRenamed(key, "_key").withColumnRenamed("_bucket", "_span_bucket"))
     if how in ("left_semi", "left_anti"):
         s = s.select("_key", "_span_bucket", F.col(start).alias("_lo"), F.col(end).alias("_hi"))
@@ -173,7 +178,7 @@ def link_by_date(facts: DataFrame, visit_map: DataFrame, date: str) -> DataFrame
 
 
 def link_facts(facts: DataFrame, visit_map: DataFrame, date: str) -> DataFrame:
-    """Both ways of linking, without duplicates."""
+    """Both ways of linking, without duplicates (equal fact rows count once, whichever way)."""
     return link_by_visit(facts, visit_map).unionByName(link_by_date(facts, visit_map, date)).distinct()
 
 
@@ -187,10 +192,10 @@ def open_facts_of(persons: DataFrame, facts: DataFrame, spans: DataFrame, date:
     """Facts of the given persons outside their blackout spans, in one shuffle of the facts.
 
     Each person becomes one row holding their spans: infections lie more than 60 days apart,
-    so the array is bounded by the calendar. One salted join on person then restricts the
+    so the array is bounded by the calendar. One join on person then restricts the
     facts and brings the spans."""
     shut = spans.groupBy("person_id").agg(F.collect_list(F.struct("blackout_begin", "blackout_end")).alias("_shut"))
     people = persons.select("person_id").distinct().join(shut, "person_id", "left")
     day = F.col(date)
     hit = F.exists("_shut", lambda s: day.between(s["blackout_begin"], s["blackout_end"]))
-    return spread_join(facts, people).filter(~F.coalesce(hit, F.lit(False))).select(*facts.columns)
+    return stored_join(facts, people).filter(~F.coalesce(hit, F.lit(False))).select(*facts.columns)

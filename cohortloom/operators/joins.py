@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from cohortloom.session import materialise
 
-def spread_join(facts: DataFrame, per_key: DataFrame, key: str = "person_id", how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Join facts to a table with at most one row per key, the facts of a key spread over
-    `salts` partitions.
+
+def stored_join(facts: DataFrame, per_key: DataFrame, key: str = "person_id", how: str = "inner") -> DataFrame:
+    """Join facts to a table with at most one row per key, which is stored first.
 
     Spark splits a skewed partition only where both sides of a join come straight from a
-    shuffle. A side that was aggregated by the same key does not, so a hot key would stay in
-    one task. Here a hash of the whole fact row is the second join key and the small side is
-    repeated once per salt. how: inner, left, left_semi or left_anti."""
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    shuffle. A side that was just aggregated by the same key does not; stored, it does, so
+    adaptive execution splits a hot key by its measured size, whatever that is, and repeats
+    only that key's row. how: inner, left, left_semi or left_anti."""
+    return facts.join(materialise(per_key, "per_key"), key, how)

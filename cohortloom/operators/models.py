@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +17,21 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def _fit(df: DataFrame, label: str, classifier) -> PipelineModel:
+    """Numbers are taken as they are; a column of arrays of text becomes sparse 0/1 columns, one for
+    each text found in the rows of the fit."""
     rows = df.withColumn("_y", F.col(label).cast("double"))
-    assembler = VectorAssembler(inputCols=feature_columns(df), outputCol="_x", handleInvalid="error")
-    return Pipeline(stages=[assembler, classifier.setFeaturesCol("_x").setLabelCol("_y")]).fit(rows)
+    kinds = dict(df.dtypes)
+    inputs, stages = [], []
+    for c in feature_columns(df):
+        if kinds[c] != "array<string>":
+            inputs.append(c)
+            continue
+        words = [r[0] for r in df.select(F.explode(c)).distinct().sort("col").collect()]  # the model's own columns
+        if words:
+            stages.append(CountVectorizerModel.from_vocabulary(words, inputCol=c, outputCol=f"_{c}", binary=True))
+            inputs.append(f"_{c}")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error")
+    return Pipeline(stages=[*stages, assembler, classifier.setFeaturesCol("_x").setLabelCol("_y")]).fit(rows)
 
 
 def train_boosted_trees(data: DataFrame, label: str = "label", colsample_bytree: float = 0.1, gamma: float = 0.4,
@@ -56,7 +68,8 @@ def best_window(scores: DataFrame) -> DataFrame:
 
 def feature_importance(model: PipelineModel, top: int | None = None) -> DataFrame:
     """(feature, importance) in descending order; one row per model column."""
-    names = model.stages[0].getInputCols()
+    words = {s.getOutputCol(): s.vocabulary for s in model.stages[:-2]}
+    names = [n for c in model.stages[-2].getInputCols() for n in words.get(c, [c])]
     weights = model.stages[-1].featureImportances.toArray()
     out = SparkSession.builder.getOrCreate().createDataFrame([(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double") \
         .orderBy(F.desc("importance"), "feature")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,6 @@ from cohortloom.operators.features import derived_bins, pool_facts
 from cohortloom.operators.intervals import drop_blacked_out, open_facts_of
 from cohortloom.operators.windows import window_days
 
-MAX_FEATURES = 20_000
-
 
 def post_visit_counts_in_windows(grid: DataFrame, blackout: DataFrame, visits: DataFrame, windows: DataFrame) -> DataFrame:
     """Distinct visit dates per person and window, outpatient and inpatient, blackout removed;
@@ -75,34 +71,28 @@ def feature_downselect(training: DataFrame, selected: DataFrame, features: DataF
             .select("concept_id", "label_covariance", "true_covariance", "concept_name"))
 
 
-def feature_ids(downselected: DataFrame) -> list[int]:
-    """The kept concept ids in ascending order; they become columns, so their number is checked."""
-    rows = downselected.select("concept_id").distinct().limit(MAX_FEATURES + 1).collect()
-    if len(rows) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
-    return sorted(r[0] for r in rows)
+def feature_ids(downselected: DataFrame) -> DataFrame:
+    """The kept concept ids, one row each."""
+    return downselected.select("concept_id").distinct()
 
 
-def _wide(base: DataFrame, features: DataFrame, concept_ids: Iterable[int], visit_counts: DataFrame) -> DataFrame:
-    """Grid-like rows with one count column per concept and the derived bins."""
-    concept_ids = list(concept_ids)
+def _with_features(base: DataFrame, features: DataFrame, kept: DataFrame, visit_counts: DataFrame) -> DataFrame:
+    """Grid-like rows with the derived bins and `concepts`, the sorted kept concept ids seen in the
+    window as text; the model turns them into a sparse vector, so their number has no bound."""
     keys = ["person_id", "window"]
-    out = base
-    if concept_ids:
-        wide = (features.filter(F.col("concept_id").isin(*concept_ids))
-                .join(base.select(*keys), keys, "left_semi")
-                .groupBy(*keys).pivot("concept_id", concept_ids).count())
-        out = base.join(wide, keys, "left").fillna(0)
-    return derived_bins(out.join(visit_counts, keys))
+    seen = (features.join(kept.select("concept_id"), "concept_id", "left_semi").join(base.select(*keys), keys, "left_semi")
+            .groupBy(*keys).agg(F.sort_array(F.collect_set("concept_id")).alias("concepts")))
+    named = F.transform(F.coalesce("concepts", F.expr("cast(array() as array<bigint>)")), lambda c: c.cast("string"))
+    return derived_bins(base.join(seen, keys, "left").withColumn("concepts", named).join(visit_counts, keys))
 
 
-def train_data_full(training: DataFrame, visit_counts: DataFrame, concept_ids: Iterable[int], features: DataFrame,
+def train_data_full(training: DataFrame, visit_counts: DataFrame, kept: DataFrame, features: DataFrame,
                     rand_seed: int = 1234, validation_share: float = 0.05) -> DataFrame:
-    """Training matrix with a reproducible hold-out flag."""
-    return _wide(training, features, concept_ids, visit_counts).withColumn(
+    """Training rows with a reproducible hold-out flag."""
+    return _with_features(training, features, kept, visit_counts).withColumn(
         "hold_for_val", key_uniform("person_id", "window", seed=rand_seed) < validation_share)
 
 
-def process_data_full(grid: DataFrame, visit_counts: DataFrame, concept_ids: Iterable[int], features: DataFrame) -> DataFrame:
+def process_data_full(grid: DataFrame, visit_counts: DataFrame, kept: DataFrame, features: DataFrame) -> DataFrame:
     """The same columns for every person and window, ready for scoring."""
-    return _wide(grid, features, concept_ids, visit_counts)
+    return _with_features(grid, features, kept, visit_counts)

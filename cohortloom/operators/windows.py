@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.constants import POST_WINDOW_DAYS, PRE_WINDOW_DAYS, RESEARCH_POST_DAYS
 
-MAX_WINDOWS = 5000
-
 
 def calendar_windows(spark: SparkSession, start: tuple[int, int], end: tuple[int, int],
                      length: int = 100) -> DataFrame:
@@ -31,26 +29,21 @@ def window_days(windows: DataFrame) -> DataFrame:
 
 
 def person_window_grid(persons: DataFrame, index: DataFrame, windows: DataFrame, min_age: int = 18,
-                       max_age: int = 100, testing_limit: int | None = None) -> DataFrame:
+                       max_age: int = 100) -> DataFrame:
     """Every indexed person in every window in which their age is in [min_age, max_age).
 
-    The windows travel as one array (a scalar subquery over a calendar of at most
-    MAX_WINDOWS rows, checked), so the grid is an expansion of the persons: no join of
-    persons with windows and no shuffle beyond the index join.
+    A person is laid out by the years of that age, one row each, and meets the windows that
+    start in the year: an equi-join with a small table and no bound on the number of windows.
 
     -> person_id, sex, window, window_age"""
-    calendar = windows.agg(
-        F.when(F.count("*") <= MAX_WINDOWS,
-               F.collect_list(F.struct("window_name", F.year("window_start").alias("year"))))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_WINDOWS} windows")))).scalar()
     people = persons.join(index.select("person_id").distinct(), "person_id", "left_semi")
-    grid = (people
-            .select("person_id", F.col("gender_concept_name").alias("sex"), "year_of_birth",
-                    F.explode(calendar).alias("w"))
-            .select("person_id", "sex", F.col("w.window_name").alias("window"),
-                    (F.col("w.year") - F.col("year_of_birth")).alias("window_age"))
-            .filter((F.col("window_age") >= min_age) & (F.col("window_age") < max_age)))
-    return grid if testing_limit is None else grid.limit(testing_limit)
+    born = F.col("year_of_birth")
+    years = people.filter(F.lit(max_age > min_age)).select(
+        "person_id", F.col("gender_concept_name").alias("sex"), "year_of_birth",
+        F.explode(F.sequence(born + min_age, born + max(max_age - 1, min_age))).alias("_year"))
+    starts = windows.select(F.col("window_name").alias("window"), F.year("window_start").alias("_year"))
+    return years.join(starts, "_year").select("person_id", "sex", "window",
+                                              (F.col("_year") - born).alias("window_age"))
 
 
 def pre_post_windows(cohort: DataFrame, index: str = "min_covid_dt", run_date: str = "run_date") -> DataFrame:

@@ -45,7 +45,6 @@ TEST_SET, POSITIVE_SUPPLIERS = "Brand#6", (45884084,)
 MATRIX_FEATURES = (["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male"]
                    + [f"group_{i}" for i in range(1, 26)] + [f"type_{i}" for i in range(1, 7)]
                    + [f"ingredient_{i}" for i in range(1, 26)] + ["total_pre_dx", "total_post_dx", "never_seen"])
-GROUP_IDS = [GROUP_BASE + i for i in range(1, 26)]
 CATEGORIES = {"sex": ["FEMALE", "MALE", "unknown"],
               "race": ["Black or African American", "Chinese", "No information", "Other Race", "White"],
               "ethn": ["Hispanic or Latino", "No matching concept", "Not Hispanic or Latino"]}
@@ -373,7 +372,7 @@ def pivot_features(st: StarTables) -> DataFrame:
 
 @query
 def pivot_cases(st: StarTables) -> DataFrame:
-    return ft.pivot_cases(anchored(st, stored=True).dx_final, [f"group_{i}" for i in range(1, 6)])
+    return ft.pivot_cases(anchored(st, stored=True).dx_final, [f"group_{i}" for i in range(1, 26)])
 
 
 @query
@@ -496,8 +495,7 @@ def closure_counts(st: StarTables) -> DataFrame:
 
 @query
 def select_ancestors(st: StarTables) -> DataFrame:
-    pooled = materialise(rolling(st).pooled, "pooled")
-    return hi.selected_features(pooled, st.closure(), st.concepts(), CUTOFF,
+    return hi.selected_features(rolling(st).pooled, st.closure(), st.concepts(), CUTOFF,
                                 ancestor_blacklist=(TYPE_BASE + 4,), descendant_blacklist=(GROUP_BASE + 3, 17))
 
 
@@ -523,14 +521,19 @@ def covariance_select(st: StarTables) -> DataFrame:
     return _rounded(rolling(st, stored=True).downselected, "label_covariance", "true_covariance", digits=8)
 
 
+def _joined(matrix: DataFrame) -> DataFrame:
+    """The kept concepts of a row as one text."""
+    return matrix.withColumn("concepts", F.array_join("concepts", ","))
+
+
 @query
 def training_matrix(st: StarTables) -> DataFrame:
-    return rolling(st, stored=True).training_matrix(GROUP_IDS)
+    return _joined(rolling(st, stored=True).training_matrix)
 
 
 @query
 def scoring_matrix(st: StarTables) -> DataFrame:
-    return rolling(st, stored=True).scoring_matrix(GROUP_IDS)
+    return _joined(rolling(st, stored=True).scoring_matrix)
 
 
 # ================================================================ samples
@@ -582,8 +585,7 @@ def roc_area(st: StarTables) -> DataFrame:
 def gbt_scores(st: StarTables) -> DataFrame:
     """Train on the training matrix, score every person and window."""
     r = rolling(st, stored=True)
-    model = r.fit(materialise(r.training_matrix(GROUP_IDS), "matrix"), n_estimators=5, max_depth=4)
-    return r.scores(model, GROUP_IDS)
+    return r.scores(r.fit(n_estimators=5, max_depth=4))
 
 
 @query

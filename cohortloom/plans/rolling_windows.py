@@ -57,7 +57,7 @@ class RollingWindows:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return inf.repeat_labels(self.conditions, self.grid, self.observations)
+        return self.store(inf.repeat_labels(self.conditions, self.grid, self.observations), "labels")
 
     @cached_property
     def visit_counts(self) -> DataFrame:
@@ -85,20 +85,17 @@ class RollingWindows:
         return self.store(ro.feature_downselect(self.training, self.selected, self.features, self.threshold), "downselected")
 
     @cached_property
-    def feature_ids(self) -> list[int]:
-        return ro.feature_ids(self.downselected)
+    def training_matrix(self) -> DataFrame:
+        kept = ro.feature_ids(self.downselected)
+        return self.store(ro.train_data_full(self.training, self.visit_counts, kept, self.features), "training_matrix")
 
-    def training_matrix(self, concept_ids: list[int] | None = None) -> DataFrame:
-        ids = self.feature_ids if concept_ids is None else concept_ids
-        return ro.train_data_full(self.training, self.visit_counts, ids, self.features)
-
-    def scoring_matrix(self, concept_ids: list[int] | None = None) -> DataFrame:
-        ids = self.feature_ids if concept_ids is None else concept_ids
-        return ro.process_data_full(self.grid, self.visit_counts, ids, self.features)
+    @cached_property
+    def scoring_matrix(self) -> DataFrame:
+        return ro.process_data_full(self.grid, self.visit_counts, ro.feature_ids(self.downselected), self.features)
 
-    def fit(self, matrix: DataFrame, **settings) -> PipelineModel:
+    def fit(self, **settings) -> PipelineModel:
         """Train on the rows that are not held out."""
-        return mo.train_boosted_trees(matrix.filter("not hold_for_val"), **settings)
+        return mo.train_boosted_trees(self.training_matrix.filter("not hold_for_val"), **settings)
 
-    def scores(self, model: PipelineModel, concept_ids: list[int] | None = None) -> DataFrame:
-        return mo.model_scores(self.scoring_matrix(concept_ids), model)
+    def scores(self, model: PipelineModel) -> DataFrame:
+        return mo.model_scores(self.scoring_matrix, model)

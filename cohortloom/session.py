@@ -40,9 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: `spark.checkpoint.dir`, else the context's own
     checkpoint folder; a temporary folder is made only where neither is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not current:  # iterative fits cut their lineage there as well
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not spark.sparkContext.master.startswith("local"):

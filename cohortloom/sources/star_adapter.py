@@ -130,19 +130,24 @@ class StarTables:
             kind.alias("observation_concept_name"),
             F.date_sub(F.col("ts").cast("date"), 500).alias("observation_date"))
 
-    # fixed values: the two divisors that switch each flag on
-    FLAG_SEEDS = {
-        "PCR_AG_Pos": (2, 5), "LL_COVID_diagnosis": (13, 10), "PAX1_NIRMATRELVIR": (5, 8),
-        "PAX2_RITONAVIR": (5, 12), "PAXLOVID": (5, 16), "REMDISIVIR": (5, 24),
-        "LL_Long_COVID_diagnosis": (13, 24), "B94_8": (13, 12), "LL_MISC": (13, 6),
-    }
-
     def fact_flags(self) -> DataFrame:
-        person, visit = F.col("o_custkey"), F.col("o_orderkey")
+        """A dated row per order; each flag stands for a kind of order (status, priority, price band)."""
+        status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
+        kinds = {
+            "PCR_AG_Pos": (status == "F") & priority.isin("1-URGENT", "2-HIGH"),
+            "LL_COVID_diagnosis": (status == "O") & (priority == "1-URGENT") & (price >= 250_000),
+            "PAX1_NIRMATRELVIR": (status == "P") & (price < 120_000),
+            "PAX2_RITONAVIR": (status == "P") & (price >= 60_000) & (price < 150_000),
+            "PAXLOVID": (status == "P") & (priority == "5-LOW") & (price >= 400_000),
+            "REMDISIVIR": (priority == "3-MEDIUM") & (price >= 450_000),
+            "LL_Long_COVID_diagnosis": (status == "F") & (priority == "5-LOW") & (price >= 400_000),
+            "B94_8": (status == "O") & (priority == "5-LOW") & (price < 30_000),
+            "LL_MISC": (priority == "4-NOT SPECIFIED") & (price < 40_000),
+        }
         return self.raw("orders").select(
-            person.alias("person_id"), visit.alias("visit_occurrence_id"), _day("o_orderdate").alias("date"),
-            *[F.when((person % a == 0) & (visit % b == 0), 1).otherwise(0).alias(name)
-              for name, (a, b) in self.FLAG_SEEDS.items()])
+            F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("visit_occurrence_id"),
+            _day("o_orderdate").alias("date"),
+            *[F.when(kind, 1).otherwise(0).alias(name) for name, kind in kinds.items()])
 
     def _brand_no(self) -> Column:
         return F.substring("p_brand", 7, 4).cast("long")

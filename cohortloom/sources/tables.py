@@ -51,17 +51,12 @@ def read_closure_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=TABLES["concept_ancestor"])
 
 
-def read_feature_list(spark: SparkSession, path: str | None = None, max_features: int = 5000) -> list[str]:
-    """Feature names, one per line; without a path, those of the pre-trained model.
-
-    The names become columns, so the list is small by nature; a longer one is refused."""
+def read_feature_list(spark: SparkSession, path: str | None = None) -> list[str]:
+    """Feature names, one per line; without a path, those of the pre-trained model."""
     if path is None:
         return list(MODEL_FEATURES)
-    lines = (spark.read.text(path).select(F.trim("value").alias("value"))
-             .filter(F.length("value") > 0).limit(max_features + 1).collect())
-    if len(lines) > max_features:
-        raise ValueError(f"more than {max_features} feature names in {path}")
-    return [r["value"] for r in lines]
+    return [r["value"] for r in spark.read.text(path).select(F.trim("value").alias("value"))
+            .filter(F.length("value") > 0).collect()]
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -54,11 +54,15 @@ c_obs AS (
   FROM events),
 c_flag AS (
   SELECT o_custkey AS person_id, CAST(o_orderdate AS DATE) + 9131 AS d,
-    o_custkey % 2 = 0 AND o_orderkey % 5 = 0 AS pcr, o_custkey % 13 = 0 AND o_orderkey % 10 = 0 AS dx,
-    o_custkey % 5 = 0 AND o_orderkey % 8 = 0 AS pax1, o_custkey % 5 = 0 AND o_orderkey % 12 = 0 AS pax2,
-    o_custkey % 5 = 0 AND o_orderkey % 16 = 0 AS pax, o_custkey % 5 = 0 AND o_orderkey % 24 = 0 AS rem,
-    o_custkey % 13 = 0 AND o_orderkey % 24 = 0 AS lc, o_custkey % 13 = 0 AND o_orderkey % 12 = 0 AS b94,
-    o_custkey % 13 = 0 AND o_orderkey % 6 = 0 AS misc
+    o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS pcr,
+    o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_totalprice >= 250000 AS dx,
+    o_orderstatus = 'P' AND o_totalprice < 120000 AS pax1,
+    o_orderstatus = 'P' AND o_totalprice >= 60000 AND o_totalprice < 150000 AS pax2,
+    o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AND o_totalprice >= 400000 AS pax,
+    o_orderpriority = '3-MEDIUM' AND o_totalprice >= 450000 AS rem,
+    o_orderstatus = 'F' AND o_orderpriority = '5-LOW' AND o_totalprice >= 400000 AS lc,
+    o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AND o_totalprice < 30000 AS b94,
+    o_orderpriority = '4-NOT SPECIFIED' AND o_totalprice < 40000 AS misc
   FROM orders),
 c_part AS (
   SELECT p_partkey AS k, CAST(substr(p_brand, 7) AS BIGINT) AS b,
@@ -451,18 +455,18 @@ imp AS (
 _SUMMARY_CATEGORIES = ["sex_norm", "race_norm", "ethn_norm", "age_group", "diabetes_ind", "kidney_ind", "CHF_ind", "ChronicPulm_ind"]
 _SUMMARY_NUMBERS = ["apprx_age", "post_visits_per_pt_day"]
 
-_WIDE_IDS = [10000000 + i for i in range(1, 26)]
 
 
 def _wide(base: str, extra: str = "") -> str:
-    cells = ", ".join(f'CAST(count(concept_id) FILTER (WHERE concept_id = {i}) AS BIGINT) AS "{i}"' for i in _WIDE_IDS)
     return f"""
 SELECT b.person_id, b."window", {extra} CAST(contains(lower(sex), 'female') AS BIGINT) AS is_female,
   CAST(floor(window_age / 10) AS BIGINT) AS age_bin,
   CAST(post_nonhosp_visit_count >= 2 AS BIGINT) + CAST(post_nonhosp_visit_count >= 10 AS BIGINT) AS op_visit_bin,
-  CAST(post_hosp_count >= 2 AS BIGINT) + CAST(post_hosp_count >= 10 AS BIGINT) AS ip_visit_bin, {cells}
+  CAST(post_hosp_count >= 2 AS BIGINT) + CAST(post_hosp_count >= 10 AS BIGINT) AS ip_visit_bin,
+  coalesce(string_agg(CAST(concept_id AS VARCHAR), ',' ORDER BY concept_id), '') AS concepts
 FROM {base} b JOIN vc ON vc.person_id = b.person_id AND vc."window" = b."window"
-LEFT JOIN feat f ON f.person_id = b.person_id AND f."window" = b."window"
+LEFT JOIN (SELECT * FROM feat WHERE concept_id IN (SELECT concept_id FROM down WHERE label_covariance > 0.00001)) f
+  ON f.person_id = b.person_id AND f."window" = b."window"
 GROUP BY ALL"""
 
 
@@ -595,8 +599,8 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT person_id, {_cells('post_only_med', 'ingredient', _INGREDIENTS)} FROM medf GROUP BY 1) USING (person_id)""", *_AN),
     "pivot_cases": _sql("SELECT person_id, patient_group, " + ", ".join(
         f"CAST(coalesce(max({v}) FILTER (WHERE label = 'group_{i}'), 0) AS INTEGER) AS group_{i}_{v}"
-        for i in range(1, 6) for v in ("greater_in_post", "only_in_post"))
-        + " FROM dxf WHERE label IN ('group_1', 'group_2', 'group_3', 'group_4', 'group_5') GROUP BY ALL", *_AN),
+        for i in range(1, 26) for v in ("greater_in_post", "only_in_post"))
+        + f" FROM dxf WHERE label IN ({', '.join(repr(g) for g in _GROUPS)}) GROUP BY ALL", *_AN),
     "aligned_matrix": _sql("SELECT * FROM matrix", *_AN, _MATRIX),
     "label_checks": _sql("""SELECT DISTINCT p.person_id, coalesce(d.patient_group, 'absent') AS patient_group
         FROM c_person p LEFT JOIN dxc d ON d.person_id = p.person_id WHERE p.person_id % 6 = 0""", *_AN),

@@ -111,9 +111,10 @@ def test_matrix_bins(spark):
     visits = spark.createDataFrame([(1, 0, 1, 9), (1, 1, 2, 10), (2, 0, 0, 0), (2, 1, 10, 1)],
                                    "person_id long, window int, post_nonhosp_visit_count long, post_hosp_count long")
     feats = spark.createDataFrame([(1, 0, 5), (2, 1, 6)], "person_id long, window int, concept_id long")
-    got = ro.process_data_full(grid, visits, [5, 6, 7], feats)
-    assert rows(got, "person_id", "window", "5", "6", "7", "is_female", "age_bin", "op_visit_bin", "ip_visit_bin") == [
-        (1, 0, 1, 0, 0, 1, 1, 0, 1), (1, 1, 0, 0, 0, 1, 2, 1, 2), (2, 0, 0, 0, 0, 0, 3, 0, 0), (2, 1, 0, 1, 0, 0, 3, 2, 0)]
+    kept = spark.createDataFrame([(5,), (6,), (7,)], "concept_id long")
+    got = ro.process_data_full(grid, visits, kept, feats.union(feats.selectExpr("person_id", "window", "8L")))
+    assert rows(got, "person_id", "window", "concepts", "is_female", "age_bin", "op_visit_bin", "ip_visit_bin") == [
+        (1, 0, ["5"], 1, 1, 0, 1), (1, 1, [], 1, 2, 1, 2), (2, 0, [], 0, 3, 0, 0), (2, 1, ["6"], 0, 3, 2, 0)]
 
 
 def _auc(pairs):
@@ -122,6 +123,17 @@ def _auc(pairs):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
+def test_roc_without_scores_and_outside_the_unit_range(spark):
+    pairs = [(-3.0, False), (12.5, True), (0.2, True), (0.2, False), (40.0, True), (-1.0, False)]
+    odd = [(None, True), (float("nan"), False), (None, False), (7.0, None)]
+    df = spark.createDataFrame(pairs + odd, "model_score double, label boolean")
+    assert ev.roc_area(df).first()[0] == pytest.approx(_auc(pairs))
+    last = min((r for r in ev.roc_table(df).collect() if r["threshold"] is not None), key=lambda r: r["threshold"])
+    assert (last["FPR"], last["TPR"]) == (1, 1)
+    one = spark.createDataFrame([(0.5, True), (0.5, False)], "model_score double, label boolean")
+    assert ev.roc_area(one).first()[0] == 0.5 and ev.roc_table(one).count() == 2
+
+
 def test_roc_with_ties(spark):
     rng = random.Random(2)
     pairs = [(round(rng.random(), 2) if i % 3 else rng.random() * 1e-7, rng.random() < 0.3) for i in range(600)] + [(1.0, True), (0.0, False)]
@@ -193,7 +205,8 @@ def test_summary_and_tail(spark):
 
 def test_models_round_trip(spark, tmp_path):
     df = spark.range(300).selectExpr("id as person_id", "cast(id % 3 as int) as window", "id % 2 = 0 as label",
-                                     "cast(id % 2 as double) as `5`", "cast(id % 7 as double) as `6`", "false as hold_for_val")
+                                     "if(id % 2 = 0, array('5', '9'), array('9')) as concepts", "cast(id % 7 as double) as `6`",
+                                     "false as hold_for_val")
     model = mo.train_boosted_trees(df, n_estimators=3, max_depth=2, colsample_bytree=1.0, gamma=0.0)
     scores = mo.model_scores(df, model)
     assert scores.filter("model_score < 0 or model_score > 1").count() == 0
@@ -213,8 +226,6 @@ def test_sources(spark, tmp_path):
     assert tables.read_feature_list(spark) == MODEL_FEATURES and len(set(MODEL_FEATURES)) == 199
     (tmp_path / "list.txt").write_text("a\n b \n\nc\n")
     assert tables.read_feature_list(spark, str(tmp_path / "list.txt")) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        tables.read_feature_list(spark, str(tmp_path / "list.txt"), max_features=2)
     (tmp_path / "concept.csv").write_text("concept_id,concept_name,domain_id,concept_class_id\n7,Cough,Condition,Finding\n")
     got = tables.read_concepts_csv(spark, str(tmp_path / "concept.csv"), vocabulary_id="SNOMED", standard_concept="S")
     assert rows(got) == [(7, "Cough", "Condition", "SNOMED", "Finding", "S")]

@@ -68,7 +68,7 @@ def test_calendar_and_grid(spark):
     idx = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "person_id long")
     got = rows(wi.person_window_grid(p, idx, w), "person_id", "window", "window_age")
     assert got == [(1, 2, 18), (2, 0, 18), (2, 1, 18), (2, 2, 19), (3, 0, 99), (3, 1, 99)]
-    assert wi.person_window_grid(p, idx, w, testing_limit=2).count() == 2
+    assert wi.person_window_grid(p, idx, w, min_age=50, max_age=50).count() == 0
 
 
 def _labels(spark, compat):
