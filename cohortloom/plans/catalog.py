@@ -5,6 +5,7 @@ and inexact doubles rounded, so that another engine's result compares byte for b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,9 @@ from cohortloom.operators import windows as wi
 from cohortloom.plans.index_anchored import IndexAnchored
 from cohortloom.plans.research_cohort import ResearchCohort
 from cohortloom.plans.rolling_windows import RollingWindows
-from cohortloom.session import materialise, tune
+from cohortloom.session import materialise, shared_folder, tune
 from cohortloom.sources import concept_sets as cs
+from cohortloom.sources import tables as tb
 from cohortloom.sources.star_adapter import GROUP_BASE, TYPE_BASE, StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,13 +347,40 @@ def apply_rollup(st: StarTables) -> DataFrame:
     return anchored(st, stored=True).dx_final
 
 
+def _as_csv(df: DataFrame) -> str:
+    """Write a table as CSV with header into the shared folder; its path."""
+    path = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@query
+def vocabulary_files(st: StarTables) -> DataFrame:
+    """Concepts and hierarchy written as vocabulary files and read back, joined by ancestor."""
+    concepts = st.concepts()
+    names = tb.read_concepts_csv(st.spark, _as_csv(concepts.drop("standard_concept")), standard_concept="S")
+    closure = tb.read_closure_csv(st.spark, _as_csv(st.closure()))
+    return closure.join(names, F.col("ancestor_concept_id") == F.col("concept_id")).select(
+        "ancestor_concept_id", "descendant_concept_id", "min_levels_of_separation", "concept_name", "domain_id",
+        "vocabulary_id", "concept_class_id", "standard_concept")
+
+
+@query
+def feature_list_file(st: StarTables) -> DataFrame:
+    """Names of the concept groups written one per line, read back as a feature list."""
+    names = st.concepts().filter("concept_class_id = 'Group'").select(F.col("concept_name").alias("value"))
+    path = f"{shared_folder(st.spark)}/list-{uuid.uuid4().hex}"
+    names.write.text(path)
+    return st.spark.createDataFrame([(n,) for n in tb.read_feature_list(st.spark, path)], "feature string")
+
+
 @query
 def apply_label_map(st: StarTables) -> DataFrame:
     """Labels from a supplied map instead of the closure; a blank at the end is trimmed."""
     a = anchored(st, stored=True)
-    label_map = st.raw("part").select(
+    label_map = tb.read_label_map(st.spark, _as_csv(st.raw("part").select(
         F.concat(F.lit("part "), "p_partkey").alias("condition_concept_name"),
-        F.when(F.col("p_type") == "PROMO", "EXCLUDE").otherwise(F.concat("p_type", F.lit(" "))).alias("high_level_condition"))
+        F.when(F.col("p_type") == "PROMO", "EXCLUDE").otherwise(F.concat("p_type", F.lit(" "))).alias("high_level_condition"))))
     flagged = ct.with_post_flags(a.dx_counts, "pre_dx_count", "post_dx_count", "post_only_dx")
     return ft.dx_final(ft.just_cases(hi.apply_label_map(flagged, label_map)))
 
@@ -583,16 +612,20 @@ def roc_area(st: StarTables) -> DataFrame:
 
 @query
 def gbt_scores(st: StarTables) -> DataFrame:
-    """Train on the training matrix, score every person and window."""
+    """Train on the training matrix, score every person and window; whether the score is a probability."""
     r = rolling(st, stored=True)
-    return r.scores(r.fit(n_estimators=5, max_depth=4))
+    scores = r.scores(r.fit(n_estimators=5, max_depth=4))
+    return scores.select("person_id", "window", F.col("model_score").between(0, 1).alias("is_probability"))
 
 
 @query
 def forest_importance(st: StarTables) -> DataFrame:
     a = anchored(st, stored=True)
     matrix = materialise(a.matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
-    return mo.feature_importance(mo.train_forest(matrix, n_estimators=20, max_depth=6), top=50)
+    found = mo.feature_importance(mo.train_forest(matrix, n_estimators=20, max_depth=6))
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", (F.col("importance") >= 0).alias("not_negative"),
+                        (F.abs(total - 1) < 1e-6).alias("sums_to_one"))
 
 
 @query
@@ -660,7 +693,9 @@ def table_one(st: StarTables) -> DataFrame:
 def table_one_tests(st: StarTables) -> DataFrame:
     r = research(st, stored=True)
     persons = materialise(ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic)), "summary")
-    return ev.group_differences(persons, SUMMARY_CATEGORIES, SUMMARY_NUMBERS)
+    tests = ev.group_differences(persons, SUMMARY_CATEGORIES, SUMMARY_NUMBERS)
+    return _rounded(tests, "statistic", digits=5).withColumn("p_value", F.col("p_value").between(0, 1)) \
+        .withColumnRenamed("p_value", "p_in_range")
 
 
 @query

@@ -51,6 +51,12 @@ def read_closure_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=TABLES["concept_ancestor"])
 
 
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """Label map file: condition name and its label; labels are trimmed, EXCLUDE stays."""
+    rows = spark.read.csv(path, header=True, schema="condition_concept_name string, high_level_condition string")
+    return rows.withColumn("high_level_condition", F.trim("high_level_condition"))
+
+
 def read_feature_list(spark: SparkSession, path: str | None = None) -> list[str]:
     """Feature names, one per line; without a path, those of the pre-trained model."""
     if path is None:

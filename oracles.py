@@ -699,3 +699,23 @@ ORACLES["group_variance"] = _sql(" UNION ALL ".join(
     f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
     f"WHERE {c} IS NOT NULL GROUP BY 1), "
     f"(SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS), *_RE)
+
+ORACLES["table_one_tests"] = _sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, 'chi-square' AS test, round(max(total) * (sum(o * o / (CAST(row_n AS DOUBLE) * col_n)) - 1), 5) AS statistic, "
+    "(count(DISTINCT g) - 1) * (count(DISTINCT v) - 1) AS df, TRUE AS p_in_range FROM ("
+    "SELECT *, sum(o) OVER (PARTITION BY g) AS row_n, sum(o) OVER (PARTITION BY v) AS col_n, sum(o) OVER () AS total FROM ("
+    f"SELECT theGroup AS g, coalesce(CAST({c} AS VARCHAR), 'none') AS v, count(*) AS o FROM r_sum GROUP BY ALL))"
+    for c in _SUMMARY_CATEGORIES) + "".join(
+    f" UNION ALL SELECT '{c}', 'anova', round((ssb / (k - 1)) / (ssw / (n - k)), 5), k - 1, TRUE FROM ("
+    "SELECT count(*) AS k, sum(gn) AS n, sum(gn * (gm - grand) ** 2) AS ssb, sum(gss) AS ssw FROM ("
+    f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
+    f"WHERE {c} IS NOT NULL GROUP BY 1), (SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS), *_RE)
+ORACLES["gbt_scores"] = _sql('SELECT person_id, "window", TRUE AS is_probability FROM grid', *_RO)
+ORACLES["forest_importance"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, TRUE AS not_negative, TRUE AS sums_to_one" for c in
+    ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male", *_GROUPS, *_TYPES, *_INGREDIENTS,
+     "total_pre_dx", "total_post_dx", "never_seen"])
+ORACLES["vocabulary_files"] = _sql("""SELECT anc AS ancestor_concept_id, des AS descendant_concept_id, lvl AS min_levels_of_separation,
+    name AS concept_name, dom AS domain_id, voc AS vocabulary_id, cls AS concept_class_id, 'S' AS standard_concept
+    FROM c_edge JOIN c_concept ON id = anc""")
+ORACLES["feature_list_file"] = _sql("SELECT name AS feature FROM c_concept WHERE cls = 'Group'")

@@ -61,7 +61,7 @@ def bag(columns, data):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(ORACLES) == {"gbt_scores", "forest_importance", "logistic_odds", "table_one_tests"}
+    assert set(catalog.QUERIES) - set(ORACLES) == {"logistic_odds"}
 
 
 def test_entry(spark):
