@@ -28,7 +28,7 @@ from cohortloom.operators import windows as wi
 from cohortloom.plans.index_anchored import IndexAnchored
 from cohortloom.plans.research_cohort import ResearchCohort
 from cohortloom.plans.rolling_windows import RollingWindows
-from cohortloom.session import materialise, shared_folder, tune
+from cohortloom.session import materialise, remember, shared_folder, tune
 from cohortloom.sources import concept_sets as cs
 from cohortloom.sources import tables as tb
 from cohortloom.sources.star_adapter import GROUP_BASE, TYPE_BASE, StarTables
@@ -349,7 +349,7 @@ def apply_rollup(st: StarTables) -> DataFrame:
 
 def _as_csv(df: DataFrame) -> str:
     """Write a table as CSV with header into the shared folder; its path."""
-    path = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    path = remember(f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}")
     df.write.csv(path, header=True, ignoreTrailingWhiteSpace=False)
     return path
 
@@ -369,7 +369,7 @@ def vocabulary_files(st: StarTables) -> DataFrame:
 def feature_list_file(st: StarTables) -> DataFrame:
     """Names of the concept groups written one per line, read back as a feature list."""
     names = st.concepts().filter("concept_class_id = 'Group'").select(F.col("concept_name").alias("value"))
-    path = f"{shared_folder(st.spark)}/list-{uuid.uuid4().hex}"
+    path = remember(f"{shared_folder(st.spark)}/list-{uuid.uuid4().hex}")
     names.write.text(path)
     return st.spark.createDataFrame([(n,) for n in tb.read_feature_list(st.spark, path)], "feature string")
 

@@ -53,13 +53,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_stored: list[str] = []
+
+
+def remember(path: str) -> str:
+    """Note a folder made for a step, for `release`."""
+    _stored.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the steps stored so far. For callers who have written or collected all results that
+    read them; results not yet computed would miss their input."""
+    context = spark.sparkContext
+    while _stored:
+        path = context._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back.
 
     The result has no lineage, so a lost executor costs a re-read and several consumers
     do not recompute the step."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

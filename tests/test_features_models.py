@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from conftest import plus, rows
@@ -233,5 +234,9 @@ def test_sources(spark, tmp_path):
     assert rows(tables.read_closure_csv(spark, str(tmp_path / "ca.csv"))) == [(1, 2, 0, 1)]
     stored = tables.store_table(got, "concept", str(tmp_path / "out"))
     assert rows(tables.read_table(spark, "concept", str(tmp_path / "out"))) == rows(stored)
+    from cohortloom.session import release
+    gone = materialise(got, "gone").inputFiles()[0]
+    release(spark)
+    assert not Path(gone.removeprefix("file://")).exists()
     kept = materialise(got, "step")
     assert rows(kept) == rows(got) and shared_folder(spark).removeprefix("file:") in kept.inputFiles()[0]
