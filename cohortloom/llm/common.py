@@ -43,12 +43,14 @@ def byte_words(text: str | None) -> list[bytes]:
 
 
 def worker_state(name: str, make):
-    """An object that lives as long as the Python worker and is shared by the tasks it runs."""
+    """An object that the tasks of a Python worker share. A worker holds one such object: that of
+    another operator, which ran before, goes first."""
     import sys
     import types
 
     holder = sys.modules.setdefault("cohortloom_worker_state", types.ModuleType("cohortloom_worker_state"))
     if not hasattr(holder, name):
+        holder.__dict__.clear()
         setattr(holder, name, make())
     return getattr(holder, name)
 
@@ -62,7 +64,7 @@ class TextEncoder:
     the tokenizer splits there). A text with a space after white space is encoded as a whole, as is
     every text of a tokenizer of another kind."""
 
-    MAX_KEPT = 700_000  # pieces; beyond that they become the older generation and the last older one goes
+    MAX_KEPT = 600_000  # pieces; beyond that they become the older generation and the last older one goes
 
     def __init__(self, path: str):
         import json

@@ -36,7 +36,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 class WordHashes(dict):
     """64-bit hashes of words met before."""
 
-    MAX_KEPT = 500_000
+    MAX_KEPT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -86,7 +86,7 @@ def byte_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
 class WordLengths(dict):
     """Lengths of words met before; the automaton gives those of new ones."""
 
-    MAX_KEPT = 1_000_000
+    MAX_KEPT = 500_000
 
     def __init__(self, path: str):
         super().__init__()
