@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.llm import (
     decontaminate,
@@ -21,7 +22,10 @@ from cohortloom.llm.common import read
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+    """Documents with passages of 50 words that repeat; spans of words as start-stop, stop excluded."""
+    found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), " ")
+    return found.select("doc_id", text("spans").alias("spans"), text("later").alias("later"))
 
 
 def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +69,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+passages AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS p
+  FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+twice AS (
+  SELECT doc_id, i, (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY p) AS later
+  FROM passages QUALIFY count(*) OVER (PARTITION BY p) > 1),
+kinds AS (SELECT doc_id, i, 'spans' AS kind FROM twice UNION ALL SELECT doc_id, i, 'later' FROM twice WHERE later),
+gaps AS (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, kind ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM kinds),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, kind ORDER BY i) AS n FROM gaps),
+spans AS (SELECT doc_id, kind, n, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY ALL)
+SELECT doc_id, coalesce(string_agg(a || '-' || b, ' ' ORDER BY a) FILTER (WHERE kind = 'spans'), '') AS spans,
+  coalesce(string_agg(a || '-' || b, ' ' ORDER BY a) FILTER (WHERE kind = 'later'), '') AS later
+FROM spans GROUP BY doc_id""",
+    "op7_warc_salvage": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, strlen(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM f""",
+}
