@@ -605,6 +605,14 @@ def roc_table(st: StarTables) -> DataFrame:
     return _rounded(ev.roc_table(_pseudo_scores(st)), "FPR", "TPR", digits=9)
 
 
+@query
+def roc_table_any_scores(st: StarTables) -> DataFrame:
+    """Scores between -7 and 13, some of them missing."""
+    scores = _pseudo_scores(st).withColumn(
+        "model_score", F.when(F.col("person_id") % 11 != 0, F.col("model_score") * 20 - 7))
+    return _rounded(ev.roc_table(scores), "FPR", "TPR", digits=9)
+
+
 @query
 def roc_area(st: StarTables) -> DataFrame:
     return _rounded(ev.roc_area(_pseudo_scores(st)), "auc", digits=9)

@@ -719,3 +719,9 @@ ORACLES["vocabulary_files"] = _sql("""SELECT anc AS ancestor_concept_id, des AS
     name AS concept_name, dom AS domain_id, voc AS vocabulary_id, cls AS concept_class_id, 'S' AS standard_concept
     FROM c_edge JOIN c_concept ON id = anc""")
 ORACLES["feature_list_file"] = _sql("SELECT name AS feature FROM c_concept WHERE cls = 'Group'")
+ORACLES["roc_table_any_scores"] = _sql("""SELECT round(cn / nullif(tn, 0), 9) AS FPR, round(cp / nullif(tp, 0), 9) AS TPR, s AS threshold
+    FROM any_cum UNION ALL SELECT 0.0, 0.0, NULL""", *_RO, _SCORES, """
+any_pts AS (SELECT s * 20 - 7 AS s, count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS n FROM sc
+  WHERE person_id % 11 <> 0 GROUP BY 1),
+any_cum AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS cp, sum(n) OVER (ORDER BY s DESC) AS cn,
+    sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM any_pts)""")
