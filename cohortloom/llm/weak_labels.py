@@ -96,8 +96,8 @@ def voted(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, posterior: np.ndarray, n: int, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights of the buckets and, last, the bias. The sample is taken by a hash of the text, about
-    `train_rows` of n rows."""
+    """Weights of the buckets and, last, the bias. The sample holds distinct texts, taken by a hash:
+    as large a share of them as `train_rows` is of n rows."""
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(1, n)) * (1 << 30))
 
     def features(batches):
@@ -116,7 +116,7 @@ def train(docs: DataFrame, posterior: np.ndarray, n: int, train_rows: int = TRAI
                     [pa.array(c, k) for c, k in zip(zip(*rows), [pa.list_(pa.int32()), pa.list_(pa.float32()), pa.float64()])],
                     ["at", "x", "y"])
 
-    sample = materialise(docs.select("text").filter(share)
+    sample = materialise(docs.select("text").filter(share).distinct()  # copies count once, so no group fills the sample
                          .mapInArrow(features, "at array<int>, x array<float>, y double"), "weak-sample").coalesce(8)
 
     def gradient(weights):

@@ -39,3 +39,17 @@ def test_every_operator_is_registered():
     registered = entry.queries()
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
     assert registered.keys() >= queries.QUERIES.keys() | {"pipeline"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_statements(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, str(FOLDER))
+    res = db.execute(queries.ORACLES[name])
+    columns = [d[0] for d in res.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(res.fetchall(), key=str)
