@@ -202,7 +202,7 @@ def links(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.count()
     leaves = min(MAX_LEAVES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAF_FINGERPRINTS))
-    share = min(1.0, 8 * leaves / max(1, n))
+    share = min(0.5, 8 * leaves / max(1, n))
     sample = [r[0] for r in nodes.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < share * (1 << 20))
               .select("fingerprint").limit(16 * leaves).collect()]
     tree = Regions(np.array(sample, dtype=np.int64).view(np.uint64), leaves)
