@@ -622,7 +622,7 @@ def roc_area(st: StarTables) -> DataFrame:
 def gbt_scores(st: StarTables) -> DataFrame:
     """Train on the training matrix, score every person and window; whether the score is a probability."""
     r = rolling(st, stored=True)
-    scores = r.scores(r.fit(n_estimators=5, max_depth=4))
+    scores = r.scores(r.fit())
     return scores.select("person_id", "window", F.col("model_score").between(0, 1).alias("is_probability"))
 
 
@@ -630,7 +630,7 @@ def gbt_scores(st: StarTables) -> DataFrame:
 def forest_importance(st: StarTables) -> DataFrame:
     a = anchored(st, stored=True)
     matrix = materialise(a.matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
-    found = mo.feature_importance(mo.train_forest(matrix, n_estimators=20, max_depth=6))
+    found = mo.feature_importance(mo.train_forest(matrix))
     total = found.agg(F.sum("importance")).scalar()
     return found.select("feature", (F.col("importance") >= 0).alias("not_negative"),
                         (F.abs(total - 1) < 1e-6).alias("sums_to_one"))
