@@ -1,6 +1,9 @@
-"""Whole fitted models: the settings of the registered queries."""
+"""Whole fitted models: the settings of the registered queries, and the combined odds against their parts."""
+
+import random
 
 import __spark_entry__ as entry
+from cohortloom.operators import evaluation as ev
 from cohortloom.operators import models as mo
 from cohortloom.plans import catalog, fitted
 
@@ -31,3 +34,29 @@ def test_registered_queries_fit_full_models(spark, monkeypatch):
         except Stop:
             pass
     assert seen == [(400, 12)] * 2 + [(1000, 15)] * 2
+
+
+def test_whole_odds_against_the_parts(spark):
+    rng = random.Random(31)
+    groups = [f"group_{i}" for i in range(1, 26)]
+    rows = []
+    for i in range(600):
+        sick = rng.random() < 0.4
+        rows.append((i, rng.randint(19, 90), rng.random(), rng.random(), int(rng.random() < 0.5), int(rng.random() < 0.5),
+                     *[int(rng.random() < (0.5 if sick else 0.3)) for _ in groups], int(sick)))
+    names = ["person_id", "apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male", *groups, "long_covid"]
+    matrix = spark.createDataFrame(rows, names).coalesce(2).cache()
+    settings = {"n_estimators": 3, "max_depth": 3}
+    got = {(r.concept, r.subgroup): r.asDict() for r in fitted.whole_odds(matrix, **settings).collect()}
+    doubles = fitted.ft.double_features(matrix, names[1:4])
+    regression = {(r.concept, r.subgroup): r.asDict() for r in ev.logistic_odds(fitted.ft.regression_input(doubles)).collect()}
+    assert regression.keys() <= got.keys() and len(got) == len(regression) + 26
+    for key, want in regression.items():
+        for c in catalog.ODDS_COLUMNS:
+            have = got[key][c]
+            assert (have is None) == (want[c] is None) and (have is None or abs(have - want[c]) < 1e-3 + 1e-6 * abs(want[c])), (key, c)
+    for column, part in (("total_imp", matrix), ("hosp_imp", matrix.filter("hospitalized = 1")),
+                         ("nohosp_imp", matrix.filter("hospitalized = 0"))):
+        want = {r.feature: r.importance for r in mo.feature_importance(mo.train_forest(part, **settings)).collect()}
+        for (concept, _), r in got.items():
+            assert abs(r[column] - want[concept]) < 1e-12
