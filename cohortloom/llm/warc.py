@@ -128,10 +128,15 @@ def parse_headers(head: bytes) -> dict[str, str] | None:
 
 def block_fits(fields: dict[str, str], block: bytes) -> bool:
     """Whether the block digest, where it is of a kind known here, is right."""
+    import base64
     import hashlib
 
     kind, _, want = fields.get("warc-block-digest", "").partition(":")
-    return kind.lower() != "sha256" or hashlib.sha256(block).hexdigest() == want.lower()
+    if kind.lower() not in ("sha1", "sha256"):
+        return True
+    digest = hashlib.new(kind.lower(), block)
+    return want.lower() in (digest.hexdigest(), base64.b32encode(digest.digest()).decode().rstrip("=").lower(),
+                            base64.b32encode(digest.digest()).decode().lower())
 
 
 def member_at(archive: Archive, at: int):
@@ -169,6 +174,10 @@ def plain_at(archive: Archive, at: int, head_bytes: int = 1 << 16):
     """(length, headers, block) of an uncompressed sound record, else the reason."""
     head = archive.read(at, head_bytes)
     end = re.search(rb"\r?\n\r?\n", head)
+    # Headers may be longer; they end before the next version line.
+    while not end and b"\n" + VERSION not in head and at + len(head) < archive.size:
+        head = archive.read(at, 2 * len(head))
+        end = re.search(rb"\r?\n\r?\n", head)
     if not re.match(VERSION_LINE, head) or not end:
         return "no version line"
     fields = parse_headers(head[:end.start()])
