@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import (
     decontaminate,
     language_model,
+    lexical_scan,
     packing,
     quality_rules,
     simhash,
@@ -68,6 +69,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(manifest)
 
 
+def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": r"""
@@ -92,4 +97,22 @@ f AS (SELECT *, strlen(payload) AS n, min(page_id) OVER (PARTITION BY payload) A
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
   CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM f""",
+    "op11_lexical_scan": r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+lengths AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM split) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term, docs),
+wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // totals.terms)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20""",
 }
