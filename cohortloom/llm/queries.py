@@ -10,6 +10,7 @@ from cohortloom.llm import (
     decontaminate,
     language_model,
     lexical_scan,
+    line_dedup,
     packing,
     quality_rules,
     simhash,
@@ -73,6 +74,11 @@ def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_scan.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": r"""
@@ -115,4 +121,16 @@ scores AS (
   FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 20""",
+    "op12_line_dedup": r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM split)),
+common AS (
+  SELECT key, max(doc_id) AS largest FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+told AS (SELECT doc_id, i, line, coalesce(doc_id <> largest, false) AS goes FROM lines LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM told GROUP BY doc_id""",
 }
