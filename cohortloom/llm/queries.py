@@ -17,6 +17,7 @@ from cohortloom.llm import (
     suffix_dedup,
     token_counts,
     token_shards,
+    va_file,
     warc,
     weak_labels,
 )
@@ -79,6 +80,38 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """DuckDB statement for op13, its rounds written out."""
+    parts = [f"""
+kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, unnest(v) AS x, generate_subscripts(v, 1) AS d
+  FROM (SELECT v, sha256('2:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k}))"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} AS (
+  SELECT vec_id, c AS cluster, CAST(s AS BIGINT) AS distance FROM (
+    SELECT vec_id, c, sum((x.x - c{n}.x) * (x.x - c{n}.x)) AS s FROM x JOIN c{n} USING (d) GROUP BY vec_id, c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s, c) = 1)""")
+        if n < rounds:
+            parts.append(f"""
+m{n} AS (
+  SELECT cluster AS c, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+  FROM a{n} JOIN x USING (vec_id) GROUP BY cluster, d),
+c{n + 1} AS (SELECT c, coalesce(m{n}.x, c{n}.x) AS x, d FROM c{n} LEFT JOIN m{n} USING (c, d))""")
+    return f"""WITH {",".join(parts)},
+names AS (SELECT c AS cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN names USING (cluster)"""
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": r"""
@@ -133,4 +166,5 @@ told AS (SELECT doc_id, i, line, coalesce(doc_id <> largest, false) AS goes FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
 FROM told GROUP BY doc_id""",
+    "op13_va_file_clusters": clustering_sql(),
 }
