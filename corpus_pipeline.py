@@ -1,12 +1,13 @@
 """The corpus pipeline over the documents.
 
 Quality rules turn away bad texts, of near-duplicates one stays, repeated passages are cut from all
-texts but the first, documents with benchmark items go, and the rest is packed into sequences."""
+texts but the first, documents with benchmark items go, and the rest is packed into sequences.
+Near duplicates are those of the SimHash operator: 3-word shingles, 3 differing bits or fewer."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import decontaminate, near_copies, packing, quality_rules, suffix_dedup
+from cohortloom.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
 from cohortloom.llm.common import read
 from cohortloom.session import materialise
 
@@ -16,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one_each(docs)
+    return simhash.keep_one_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
