@@ -74,19 +74,27 @@ def popcount(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values).astype(np.int64)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
+    """Two columns that are equal for rows of equal doc_id and text only; neither is null."""
+    known = F.col(doc_id).isNotNull()
+    return [F.when(known, F.col(doc_id).cast("long")).otherwise(0).alias("_a"),
+            F.xxhash64(known, F.col(text).cast("string")).alias("_b")]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (its 64 bits as a signed long) and node (the same, mixed) of each row."""
+    """doc_id, the row's key, fingerprint (its 64 bits as a signed long) and node (the same, mixed) of each row."""
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fingerprint": pa.array(fps.view(np.int64)),
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "_a": batch.column(2), "_b": batch.column(3),
+                                              "fingerprint": pa.array(fps.view(np.int64)),
                                               "node": pa.array(mix(fps).view(np.int64))})
 
-    return (docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-            .mapInArrow(compute, "doc_id long, fingerprint long, node long"))
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row_key())
+            .mapInArrow(compute, "doc_id long, _a long, _b long, fingerprint long, node long"))
 
 
 class Regions:
@@ -228,6 +236,20 @@ def links(nodes: DataFrame) -> DataFrame:
             .groupBy("leaf").applyInArrow(meet, "a long, b long").distinct())
 
 
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the rows with their fingerprints, the root of each node, and of each root the smallest
+    doc_id and the least row, by doc_id (null comes last) and key."""
+    rows = materialise(fingerprints(docs), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "_a", "_b")).alias("least")
+    nodes = materialise(rows.groupBy("fingerprint", "node").agg(F.min("doc_id").alias("first_id"), least), "nodes")
+    roots = connected_components(links(nodes))
+    rooted = materialise(nodes.join(roots, "node", "left").select(
+        "node", "first_id", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("least").alias("least")),
+                           "smallest")
+    return rows, rooted, smallest
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id among all rows
     reachable over links of 3 differing bits or fewer.
@@ -235,24 +257,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. Repeated rows and equal
     doc_ids keep a row each. A null doc_id is never the smallest; a component of null ids only has
     a null component_id. Other columns are left behind; an empty table gives no row."""
-    rows = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(rows.groupBy("fingerprint", "node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected_components(links(nodes))
-    rooted = materialise(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")),
-                         "rooted")
-    smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    rows, rooted, smallest = components(docs)
     placed = materialise(rooted.join(smallest, "root").select("node", "component_id"), "placed")
     return (rows.join(placed, "node")
             .select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with the columns of documents.
+    """One row of each component, the one with the smallest doc_id, with the columns of documents.
 
-    Of rows with that doc_id one stays, any if their texts differ. Rows without doc_id cannot be told apart and all stay."""
+    Rows without doc_id take part and come last; of rows with one doc_id and different texts one is
+    least by a hash of the text, of rows equal in both any stays. Null and empty texts are one
+    component; extra columns are left behind; an empty table gives no row."""
     docs = docs.select(*document_columns(docs))
-    staying = materialise(near_duplicates(docs).filter("doc_id = component_id")
-                          .select(F.col("doc_id").alias("_id")).distinct(), "staying")
-    known = (docs.join(staying, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-             .dropDuplicates(["doc_id"]))
-    return known.unionByName(docs.filter("doc_id is null"))
+    _, _, smallest = components(docs)
+    keyed = docs.select("*", *row_key())
+    return (keyed.join(smallest.select("least._a", "least._b"), ["_a", "_b"], "left_semi")
+            .dropDuplicates(["_a", "_b"]).select(*docs.columns))

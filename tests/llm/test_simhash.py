@@ -89,7 +89,12 @@ def test_components_of_documents(spark):
     assert sorted((tuple(r) for r in got), key=str) == want
     kept = simhash.keep_one_each(documents(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({i for i, _, c in want if i is not None and i == c})
-    assert ids.count(None) == sum(i is None for i, _ in rows)
+    by_text = {t or "": f for (_, t), f in zip(rows, fps)}
+    stayed = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert len(stayed) == len(together)  # one of each component, with its smallest doc_id
+    for group in together:
+        (one,) = [i for i, t in stayed if by_text[t] in group]
+        assert one == smallest[min(group)]
+    assert {(i, t) for i, t in stayed} <= {(i, t or "") for i, t in rows}
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
+    assert simhash.keep_one_each(documents(spark, [])).collect() == []
