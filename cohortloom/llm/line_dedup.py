@@ -82,13 +82,13 @@ class Cuckoo:
 
     def insert(self, keys: np.ndarray) -> bool:
         """Whether all found room; where not, the filter is to be made anew from the counts."""
-        bucket, mark = self._places(keys)
+        bucket, mark = self._put(*self._places(keys))
+        bucket = self._other(bucket, mark)
         for n in range(self.ROUNDS):
             bucket, mark = self._put(bucket, mark)
-            bucket, mark = self._put(self._other(bucket, mark), mark)
             if not len(bucket):
                 return True
-            at, first = np.unique(bucket, return_index=True)  # one mark a bucket drives out another
+            at, first = np.unique(bucket, return_index=True)  # one mark a bucket drives out another, to its other bucket
             driven = self.table[at, n % self.SLOTS].copy()
             self.table[at, n % self.SLOTS] = mark[first]
             mark[first] = driven
