@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.constants import FEATURE_ALIASES, SEX_GROUPS, ETHNICITY_GROUPS, RACE_GROUPS
@@ -104,30 +104,73 @@ def count_dx_pre_and_post(final: DataFrame) -> DataFrame:
                                           F.sum("post_dx_count_sum").alias("total_post_dx"))
 
 
-# ---------------------------------------------------------------- pivots
-def _pivot_max(df: DataFrame, keys: list[str], names: str, features: Iterable[str],
-               values: Mapping[str, str]) -> DataFrame:
-    """Pivot over an explicit value list: no discovery job, and the same columns every time."""
+# ---------------------------------------------------------------- names as columns
+# Flags are kept sparse: per key the set of names that are 1, at most as long as the list of features.
+# Columns are laid out from it last, so a list of any length costs one aggregate and no wide shuffle.
+def _named_on(condition: Column, name: str) -> Column:
+    return F.collect_set(F.when(condition, F.col(name)))
+
+
+def _laid_out(on: DataFrame, keys: list[str], features: Iterable[str], values: Mapping[str, str]) -> DataFrame:
+    """A 0/1 column for each feature and set; values: the set's column and the end of the new name."""
+    return on.select(*keys, *[F.array_contains(v, f).cast("int").alias(f + end)
+                              for f in features for v, end in values.items()])
+
+
+def _spread(df: DataFrame, keys: list[str], names: str, features: Iterable[str], values: Mapping[str, str]) -> DataFrame:
+    """Keys with a listed name; without a list all keys."""
     features = list(features)
     if not features:
         return df.select(*keys).distinct()
-    wide = (df.filter(F.col(names).isin(*features)).groupBy(*keys).pivot(names, features)
-            .agg(*[F.max(v).alias(alias) for v, alias in values.items()]))
-    return wide.fillna(0)
+    on = df.filter(F.col(names).isin(*features)).groupBy(*keys).agg(
+        *[_named_on(F.col(v) == 1, names).alias(v) for v in values])
+    return _laid_out(on, keys, features, values)
 
 
 def pivot_dx(final: DataFrame, features: Iterable[str]) -> DataFrame:
-    return _pivot_max(final, ["person_id"], "high_level_condition", features, {"greater_in_post": "greater_in_post"})
+    return _spread(final, ["person_id"], "high_level_condition", features, {"greater_in_post": ""})
 
 
 def pivot_meds(meds: DataFrame, features: Iterable[str]) -> DataFrame:
-    return _pivot_max(meds, ["person_id"], "ingredient", features, {"post_only_med": "post_only_med"})
+    return _spread(meds, ["person_id"], "ingredient", features, {"post_only_med": ""})
 
 
 def pivot_cases(final: DataFrame, features: Iterable[str]) -> DataFrame:
     """Two columns per label: <label>_greater_in_post and <label>_only_in_post."""
-    return _pivot_max(final, ["person_id", "patient_group"], "high_level_condition", features,
-                      {"greater_in_post": "greater_in_post", "only_in_post": "only_in_post"})
+    return _spread(final, ["person_id", "patient_group"], "high_level_condition", features,
+                   {"greater_in_post": "_greater_in_post", "only_in_post": "_only_in_post"})
+
+
+def _both_sides(meds: DataFrame, final: DataFrame, *carried: str) -> DataFrame:
+    """person_id, side, name and on of medications and diagnoses, and the carried columns of the latter."""
+    return (final.select("person_id", F.lit("dx").alias("side"), F.col("high_level_condition").alias("name"),
+                         F.col("greater_in_post").alias("on"), *carried)
+            .unionByName(meds.select("person_id", F.lit("med").alias("side"), F.col("ingredient").alias("name"),
+                                     F.col("post_only_med").alias("on")), allowMissingColumns=True))
+
+
+TOTALS = {"total_pre_dx": "pre_dx_count_sum", "total_post_dx": "post_dx_count_sum"}
+
+
+def pivot_both(meds: DataFrame, final: DataFrame, med_features: Iterable[str], dx_features: Iterable[str]) -> DataFrame:
+    """Persons with a listed medication and a listed diagnosis, both laid out, in one aggregate."""
+    sides = {"dx": list(dx_features), "med": list(med_features)}
+    listed = [(F.col("side") == s) & F.col("name").isin(*fs) for s, fs in sides.items()]
+    on = (_both_sides(meds, final).filter(listed[0] | listed[1]).groupBy("person_id")
+          .agg(*[_named_on((F.col("side") == s) & (F.col("on") == 1), "name").alias(s) for s in sides],
+               F.bit_or(F.when(F.col("side") == "dx", 1).otherwise(2)).alias("_sides"))
+          .filter("_sides = 3"))
+    return on.select("person_id", *[F.array_contains(s, f).cast("int").alias(f) for s, fs in sides.items() for f in fs])
+
+
+def aligned_flags(features: Iterable[str], meds: DataFrame, final: DataFrame,
+                  sums: Mapping[str, str] = TOTALS) -> DataFrame:
+    """person_id, on and the sums over all labels, in one aggregate over both sides; `on` holds the
+    places, in ascending order, of the listed names that are 1 as a medication or a diagnosis."""
+    places = final.sparkSession.createDataFrame(list(enumerate(features)), "place int, name string")
+    rows = _both_sides(meds, final, *sums.values()).join(places, "name", "left")
+    return rows.groupBy("person_id").agg(F.sort_array(_named_on(F.col("on") == 1, "place")).alias("on"),
+                                         *[F.sum(c).alias(total) for total, c in sums.items()])
 
 
 # ---------------------------------------------------------------- matrix
@@ -159,19 +202,16 @@ def align_columns(matrix: DataFrame, features: Iterable[str], keys: Iterable[str
 
 
 def feature_table(features: Iterable[str], labelled: DataFrame, meds: DataFrame, final: DataFrame,
-                  totals: DataFrame) -> DataFrame:
-    """Pivot both sides and assemble.
-
-    A model feature may be a medication or a diagnosis. Both sides are pivoted over the whole
-    list, so no job has to find out which is which; a name found on both sides takes the
-    greater of its two flags."""
-    features = [f for f in features if f not in labelled.columns and f not in totals.columns]
-    meds_wide, dx_wide = pivot_meds(meds, features), pivot_dx(final, features)
-    clear = dx_wide.select("person_id", *[F.col(f).alias(f"_dx_{f}") for f in features])
-    both = meds_wide.join(clear, "person_id", "full").select(
-        "person_id", *[F.greatest(F.coalesce(f, F.lit(0)), F.coalesce(f"_dx_{f}", F.lit(0))).alias(f)
-                       for f in features])
-    return assemble_matrix(labelled, both, totals)
+                  totals: DataFrame | None = None) -> DataFrame:
+    """Labelled persons with medications, diagnoses and totals (those of `final` unless given).
+
+    A model feature may be a medication or a diagnosis; a name found on both sides takes the greater
+    of its two flags. Names stay sparse (`aligned_flags`) until they become columns here."""
+    features = [f for f in features if f not in labelled.columns and f not in TOTALS]
+    laid_out = [F.array_contains("on", i).cast("int").alias(f) for i, f in enumerate(features)]
+    if totals is not None:
+        return assemble_matrix(labelled, aligned_flags(features, meds, final, {}).select("person_id", *laid_out), totals)
+    return assemble_matrix(labelled, aligned_flags(features, meds, final).select("person_id", *TOTALS, *laid_out))
 
 
 # ---------------------------------------------------------------- labels and checks

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,8 +72,9 @@ def query(fn: Callable[[StarTables], DataFrame]) -> Callable[[StarTables], DataF
     return fn
 
 
-def anchored(st: StarTables, stored: bool = False) -> IndexAnchored:
-    make = IndexAnchored.stored if stored else IndexAnchored
+def anchored(st: StarTables, *targets: str) -> IndexAnchored:
+    """The flow; its steps are shared and written as needed for the targets, without any it is all lazy."""
+    make = partial(IndexAnchored.stored, targets) if targets else IndexAnchored
     return make(person=st.person(), manifest=st.manifest(), death=st.death(), visits=st.visits(),
                 conditions=st.conditions(), measurements=st.measurements(), drugs=st.drugs(),
                 concept=st.concepts(), closure=st.closure(), sequel=st.sequel_persons())
@@ -82,15 +84,17 @@ def windows_of(st: StarTables) -> DataFrame:
     return wi.calendar_windows(st.spark, *WINDOW_RANGE)
 
 
-def rolling(st: StarTables, stored: bool = False) -> RollingWindows:
-    make = RollingWindows.stored if stored else RollingWindows
+def rolling(st: StarTables, *targets: str) -> RollingWindows:
+    """The flow; its steps are shared and written as needed for the targets, without any it is all lazy."""
+    make = partial(RollingWindows.stored, targets) if targets else RollingWindows
     return make(person=st.person(), facts=st.fact_flags(), visits=st.visits(), conditions=st.conditions(),
                 observations=st.observations(), concept=st.concepts(), closure=st.closure(),
                 windows=windows_of(st), cutoff_value=CUTOFF, threshold=THRESHOLD)
 
 
-def research(st: StarTables, stored: bool = False) -> ResearchCohort:
-    make = ResearchCohort.stored if stored else ResearchCohort
+def research(st: StarTables, *targets: str) -> ResearchCohort:
+    """The flow; its steps are shared and written as needed for the targets, without any it is all lazy."""
+    make = partial(ResearchCohort.stored, targets) if targets else ResearchCohort
     sets = st.concept_sets()
     return make(person=st.person(), manifest=st.manifest(), death=st.death(), visits=st.visits(),
                 conditions=st.with_site(st.conditions()), measurements=st.with_site(st.measurements()),
@@ -168,19 +172,19 @@ def first_event_dates(st: StarTables) -> DataFrame:
 
 @query
 def site_index(st: StarTables) -> DataFrame:
-    r = research(st)
+    r = research(st, "index", "clinic")
     return r.index.join(r.clinic, "person_id", "left")
 
 
 @query
 def earliest_index(st: StarTables) -> DataFrame:
-    a = anchored(st)
+    a = anchored(st, "index_dates")
     return co.collect_cohort(a.index_dates, a.person, a.manifest, a.death)
 
 
 @query
 def grouped_cohort(st: StarTables) -> DataFrame:
-    a = anchored(st)
+    a = anchored(st, "index_dates", "visit_map")
     base = co.collect_cohort(a.index_dates, a.person, a.manifest, a.death)
     return co.with_hospital_group(base, a.visit_map, a.conditions).select("person_id", "min_covid_dt", "patient_group")
 
@@ -188,7 +192,7 @@ def grouped_cohort(st: StarTables) -> DataFrame:
 @query
 def case_split(st: StarTables) -> DataFrame:
     """Hospitalised and other cases as two disjoint sets."""
-    a = anchored(st, stored=True)
+    a = anchored(st, "index_dates", "visit_map")
     base = co.collect_cohort(a.index_dates, a.person, a.manifest, a.death)
     hosp = co.hospitalised_cases(base, a.visit_map, a.conditions)
     other = co.non_hospitalised_cases(base, hosp)
@@ -198,19 +202,19 @@ def case_split(st: StarTables) -> DataFrame:
 
 @query
 def pre_post_windows(st: StarTables) -> DataFrame:
-    a = anchored(st)
+    a = anchored(st, "index_dates")
     base = co.collect_cohort(a.index_dates, a.person, a.manifest, a.death)
     return wi.pre_post_windows(base).drop("apprx_age", "sex", "race", "ethn", "site_id", "run_date")
 
 
 @query
 def visit_rates(st: StarTables) -> DataFrame:
-    return anchored(st).cohort
+    return anchored(st, "cohort").cohort
 
 
 @query
 def comorbidity_flags(st: StarTables) -> DataFrame:
-    return research(st).cohort
+    return research(st, "cohort").cohort
 
 
 @query
@@ -220,44 +224,44 @@ def comorbidity_patients(st: StarTables) -> DataFrame:
 
 @query
 def history_filter(st: StarTables) -> DataFrame:
-    r = research(st)
+    r = research(st, "index")
     return co.sufficient_history(r.index, st.with_site(r.visits), r.conditions, r.manifest)
 
 
 @query
 def follow_up_filter(st: StarTables) -> DataFrame:
-    r = research(st)
+    r = research(st, "index")
     return co.followed_up(co.any_history(r.index), r.person, r.manifest)
 
 
 @query
 def research_features(st: StarTables) -> DataFrame:
-    return research(st, stored=True).features
+    return research(st, "features").features
 
 
 @query
 def flagged_split(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "clinic", "features", "clinic")
     return (co.flagged_only(r.features, r.clinic).select("person_id", F.lit("flagged").alias("part"))
             .unionByName(co.not_flagged_only(r.features, r.clinic).select("person_id", F.lit("other").alias("part"))))
 
 
 @query
 def normalise_groups(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "features", "clinic")
     return ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic))
 
 
 @query
 def training_prevalence(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "dx_counts", "features")
     return ct.training_prevalence(r.dx_counts, r.features, more_than=0)
 
 
 @query
 def check_counts(st: StarTables) -> DataFrame:
     """Counts used as checks between steps."""
-    a = anchored(st, stored=True)
+    a = anchored(st, "dx_counts", "cohort", "cohort")
     return (ct.distinct_count(a.dx_counts, "condition_concept_name", "n").withColumn("what", F.lit("conditions"))
             .unionByName(ct.distinct_count(a.cohort, "person_id", "n").withColumn("what", F.lit("persons")))
             .unionByName(ct.rows_by(a.cohort, "patient_group", name="n")
@@ -267,48 +271,48 @@ def check_counts(st: StarTables) -> DataFrame:
 # ================================================================ windowed counts
 @query
 def ingredient_rollup(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).ingredients
+    return anchored(st, "ingredients").ingredients
 
 
 @query
 def pre_post_counts(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).dx_counts
+    return anchored(st, "dx_counts").dx_counts
 
 
 @query
 def pre_post_med_counts(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).med_counts
+    return anchored(st, "med_counts").med_counts
 
 
 @query
 def inpatient_days(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).ip_days
+    return anchored(st, "ip_days").ip_days
 
 
 @query
 def pre_post_labs(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "cohort", "cohort")
     labs = ct.labs_of_cohort(st.measurements(), a.cohort, st.concept_sets().filter("is_most_recent_version"))
     return _rounded(ct.pre_post_labs(labs, a.cohort), "pre_avg_val", "post_avg_val")
 
 
 @query
 def lab_population(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "cohort")
     labs = ct.labs_of_cohort(st.measurements(), a.cohort, st.concept_sets().filter("is_most_recent_version"))
     return _rounded(ct.lab_population(labs), "pop_avg", "stddev")
 
 
 @query
 def prevalence(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "dx_counts")
     return ct.prevalent_concepts(a.dx_counts, ("condition_concept_id", "condition_concept_name"))
 
 
 @query
 def post_only_flags(st: StarTables) -> DataFrame:
     """Prevalent medications with their flags."""
-    a = anchored(st, stored=True)
+    a = anchored(st, "med_counts", "med_counts")
     kept = ct.prevalent_concepts(a.med_counts, ("ancestor_drug_concept_id", "ancestor_drug_concept_name"))
     counts = ct.above_threshold(a.med_counts, kept, "ancestor_drug_concept_id")
     return ct.with_post_flags(counts, "pre_med_count", "post_med_count", "post_only_med").select(
@@ -317,34 +321,34 @@ def post_only_flags(st: StarTables) -> DataFrame:
 
 @query
 def med_flags(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).med_flags
+    return anchored(st, "med_flags").med_flags
 
 
 # ================================================================ features
 @query
 def one_hot(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).labelled(CATEGORIES)
+    return anchored(st, "labelled").labelled(CATEGORIES)
 
 
 @query
 def rollup_candidates(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).candidates
+    return anchored(st, "candidates").candidates
 
 
 @query
 def rollup_candidates_parent_rule(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "dx_counts")
     return hi.rollup_candidates(a.dx_counts, a.sequel, a.closure, a.concept, mode="parent_only")
 
 
 @query
 def final_rollup(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).rollup
+    return anchored(st, "rollup").rollup
 
 
 @query
 def apply_rollup(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).dx_final
+    return anchored(st, "dx_final").dx_final
 
 
 def _as_csv(df: DataFrame) -> str:
@@ -377,7 +381,7 @@ def feature_list_file(st: StarTables) -> DataFrame:
 @query
 def apply_label_map(st: StarTables) -> DataFrame:
     """Labels from a supplied map instead of the closure; a blank at the end is trimmed."""
-    a = anchored(st, stored=True)
+    a = anchored(st, "dx_counts")
     label_map = tb.read_label_map(st.spark, _as_csv(st.raw("part").select(
         F.concat(F.lit("part "), "p_partkey").alias("condition_concept_name"),
         F.when(F.col("p_type") == "PROMO", "EXCLUDE").otherwise(F.concat("p_type", F.lit(" "))).alias("high_level_condition"))))
@@ -387,32 +391,31 @@ def apply_label_map(st: StarTables) -> DataFrame:
 
 @query
 def dx_totals(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).dx_totals
+    return anchored(st, "dx_totals").dx_totals
 
 
 @query
 def pivot_features(st: StarTables) -> DataFrame:
     """Diagnosis and medication pivots side by side."""
-    a = anchored(st, stored=True)
-    dx = ft.pivot_dx(a.dx_final, [f"group_{i}" for i in range(1, 26)])
-    meds = ft.pivot_meds(a.med_flags, [f"ingredient_{i}" for i in range(1, 26)])
-    return dx.join(meds, "person_id")
+    a = anchored(st, "dx_final", "med_flags")
+    return ft.pivot_both(a.med_flags, a.dx_final, [f"ingredient_{i}" for i in range(1, 26)],
+                         [f"group_{i}" for i in range(1, 26)])
 
 
 @query
 def pivot_cases(st: StarTables) -> DataFrame:
-    return ft.pivot_cases(anchored(st, stored=True).dx_final, [f"group_{i}" for i in range(1, 26)])
+    return ft.pivot_cases(anchored(st, "dx_final").dx_final, [f"group_{i}" for i in range(1, 26)])
 
 
 @query
 def aligned_matrix(st: StarTables) -> DataFrame:
-    return anchored(st, stored=True).matrix(MATRIX_FEATURES, CATEGORIES)
+    return anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES)
 
 
 @query
 def label_checks(st: StarTables) -> DataFrame:
     """Labelled persons with their group, and those absent from the counts."""
-    a = anchored(st, stored=True)
+    a = anchored(st, "dx_counts", "dx_counts")
     people = st.person()
     labels = ft.flagged_persons(people.select(
         "person_id", "data_partner_id", F.when(F.col("person_id") % 6 == 0, 1).otherwise(0).alias("marked")), "marked")
@@ -429,14 +432,14 @@ def date_placeholder(st: StarTables) -> DataFrame:
 
 @query
 def drug_features(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "med_counts")
     return ft.drug_features(ct.with_post_flags(a.med_counts, "pre_med_count", "post_med_count", "post_only_med"))
 
 
 @query
 def regression_input(st: StarTables) -> DataFrame:
     """Age band and ratios of the aligned matrix, by person."""
-    matrix = anchored(st, stored=True).matrix(MATRIX_FEATURES[:5], CATEGORIES)
+    matrix = anchored(st, "matrix").matrix(MATRIX_FEATURES[:5], CATEGORIES)
     doubles = ft.double_features(matrix, ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio"])
     return ft.regression_input(doubles).groupBy("apprx_age", "op_post_visit_ratio", "long_covid", "hospitalized").agg(
         F.count("*").alias("n"), F.round(F.sum("ip_post_visit_ratio"), 6).alias("ip_sum"))
@@ -444,71 +447,71 @@ def regression_input(st: StarTables) -> DataFrame:
 
 @query
 def fixed_cutoff_cohort(st: StarTables) -> DataFrame:
-    a = anchored(st)
+    a = anchored(st, "index_dates")
     return co.collect_cohort(a.index_dates, a.person, a.manifest, a.death, cutoff="2022-06-22")
 
 
 @query
 def demographic_features(st: StarTables) -> DataFrame:
-    return ft.demographic_features(anchored(st, stored=True).dx_counts)
+    return ft.demographic_features(anchored(st, "dx_counts").dx_counts)
 
 
 # ================================================================ rolling windows
 @query
 def index_dates(st: StarTables) -> DataFrame:
-    r = rolling(st)
+    r = rolling(st, "covid_cohort", "index")
     return r.covid_cohort.join(r.index.select("person_id", "pax_or_rem_idx", "covid_index_date"), "person_id", "left")
 
 
 @query
 def greedy_chain(st: StarTables) -> DataFrame:
-    return rolling(st).infections
+    return rolling(st, "infections").infections
 
 
 @query
 def greedy_chain_as_coded(st: StarTables) -> DataFrame:
     """Persons without a first date stay as one row with a null date."""
-    r = rolling(st)
+    r = rolling(st, "covid_cohort")
     return inf.infection_dates(r.covid_cohort, r.facts, compat=True)
 
 
 @query
 def blackout_spans(st: StarTables) -> DataFrame:
-    return rolling(st).blackout
+    return rolling(st, "blackout").blackout
 
 
 @query
 def person_window_grid(st: StarTables) -> DataFrame:
-    return rolling(st).grid
+    return rolling(st, "grid").grid
 
 
 @query
 def repeat_labels(st: StarTables) -> DataFrame:
-    return rolling(st).labels
+    return rolling(st, "labels").labels
 
 
 @query
 def repeat_labels_as_coded(st: StarTables) -> DataFrame:
-    r = rolling(st)
+    r = rolling(st, "grid")
     return inf.repeat_labels(r.conditions, r.grid, r.observations, compat=True)
 
 
 @query
 def blackout_anti_join(st: StarTables) -> DataFrame:
-    r = rolling(st)
+    r = rolling(st, "grid", "blackout")
     return ro.conditions_for_the_cohort(r.grid, r.blackout, r.conditions, r.observations)
 
 
 @query
 def blackout_anti_join_all(st: StarTables) -> DataFrame:
     """Blackout removed from everybody's facts, in the cohort or not."""
-    r = rolling(st)
+    r = rolling(st, "grid", "blackout")
     return ro.conditions_for_the_cohort(r.grid, r.blackout, r.conditions, r.observations, cohort_only=False)
 
 
 @query
 def window_visit_counts(st: StarTables) -> DataFrame:
-    return rolling(st).visit_counts
+    return rolling(st, "visit_counts").visit_counts
 
 
 @query
@@ -524,30 +527,30 @@ def closure_counts(st: StarTables) -> DataFrame:
 
 @query
 def select_ancestors(st: StarTables) -> DataFrame:
-    return hi.selected_features(rolling(st).pooled, st.closure(), st.concepts(), CUTOFF,
+    return hi.selected_features(rolling(st, "pooled").pooled, st.closure(), st.concepts(), CUTOFF,
                                 ancestor_blacklist=(TYPE_BASE + 4,), descendant_blacklist=(GROUP_BASE + 3, 17))
 
 
 @query
 def window_features(st: StarTables) -> DataFrame:
-    return rolling(st, stored=True).features
+    return rolling(st, "features").features
 
 
 @query
 def windowed_labels(st: StarTables) -> DataFrame:
-    r = rolling(st)
+    r = rolling(st, "labels")
     return sa.windowed_labels(r.labels, r.windows)
 
 
 @query
 def balanced_sample(st: StarTables) -> DataFrame:
-    r = rolling(st)
-    return sa.training_set(materialise(r.grid, "grid"), materialise(r.labels, "labels"), r.windows)
+    r = rolling(st, "grid", "labels")
+    return sa.training_set(r.grid, r.labels, r.windows)
 
 
 @query
 def covariance_select(st: StarTables) -> DataFrame:
-    return _rounded(rolling(st, stored=True).downselected, "label_covariance", "true_covariance", digits=8)
+    return _rounded(rolling(st, "downselected").downselected, "label_covariance", "true_covariance", digits=8)
 
 
 def _joined(matrix: DataFrame) -> DataFrame:
@@ -557,25 +560,25 @@ def _joined(matrix: DataFrame) -> DataFrame:
 
 @query
 def training_matrix(st: StarTables) -> DataFrame:
-    return _joined(rolling(st, stored=True).training_matrix)
+    return _joined(rolling(st, "training_matrix").training_matrix)
 
 
 @query
 def scoring_matrix(st: StarTables) -> DataFrame:
-    return _joined(rolling(st, stored=True).scoring_matrix)
+    return _joined(rolling(st, "scoring_matrix").scoring_matrix)
 
 
 # ================================================================ samples
 @query
 def class_sample(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "labelled")
     pool = sa.training_pool(a.labelled(CATEGORIES), hospital_share=0.5, other_share=0.25)
     return pool.select("person_id", "long_covid", "hospitalized", F.round("random", 9).alias("random"))
 
 
 @query
 def hash_split(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "labelled")
     train, test = sa.split_pool(sa.training_pool(a.labelled(CATEGORIES), 0.5, 0.25))
     return (train.select("person_id", F.lit("train").alias("part"))
             .unionByName(test.select("person_id", F.lit("test").alias("part"))))
@@ -583,13 +586,13 @@ def hash_split(st: StarTables) -> DataFrame:
 
 @query
 def class_balance(st: StarTables) -> DataFrame:
-    return sa.class_counts(anchored(st, stored=True).labelled(CATEGORIES), "long_covid", "hospitalized")
+    return sa.class_counts(anchored(st, "labelled").labelled(CATEGORIES), "long_covid", "hospitalized")
 
 
 # ================================================================ models and evaluation
 def _pseudo_scores(st: StarTables) -> DataFrame:
     """Grid rows with a score derived from the key, in steps of 0.001 so that ties occur."""
-    r = rolling(st)
+    r = rolling(st, "grid")
     return r.grid.select(
         "person_id", "window", (F.col("person_id") % 6 == 0).alias("label"),
         (F.floor(key_uniform("person_id", "window", seed=7) * 1000) / 1000).alias("model_score"))
@@ -621,14 +624,14 @@ def roc_area(st: StarTables) -> DataFrame:
 @query
 def gbt_scores(st: StarTables) -> DataFrame:
     """Train on the training matrix, score every person and window; whether the score is a probability."""
-    r = rolling(st, stored=True)
+    r = rolling(st, "training_matrix", "scoring_matrix")
     scores = r.scores(r.fit())
     return scores.select("person_id", "window", F.col("model_score").between(0, 1).alias("is_probability"))
 
 
 @query
 def forest_importance(st: StarTables) -> DataFrame:
-    a = anchored(st, stored=True)
+    a = anchored(st, "matrix")
     matrix = materialise(a.matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
     found = mo.feature_importance(mo.train_forest(matrix))
     total = found.agg(F.sum("importance")).scalar()
@@ -638,20 +641,20 @@ def forest_importance(st: StarTables) -> DataFrame:
 
 @query
 def age_quantiles(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "features", "clinic")
     persons = ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic))
     return _rounded(ev.age_quantiles(persons, ("Long-COVID Clinic HOSP", "Long-COVID Clinic NONHOSP")), "age")
 
 
 @query
 def logistic_odds(st: StarTables) -> DataFrame:
-    matrix = materialise(anchored(st, stored=True).matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
+    matrix = materialise(anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
     doubles = ft.double_features(matrix, ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio"])
     return ev.logistic_odds(ft.regression_input(doubles))
 
 
 def _odds(st: StarTables) -> DataFrame:
-    matrix = anchored(st, stored=True).matrix(MATRIX_FEATURES, CATEGORIES)
+    matrix = anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES)
     return ev.odds_2x2(matrix, ["sex_male", *[f"group_{i}" for i in range(1, 26)]])
 
 
@@ -692,14 +695,14 @@ SUMMARY_NUMBERS = ["apprx_age", "post_visits_per_pt_day"]
 
 @query
 def table_one(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "features", "clinic")
     persons = ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic))
     return _rounded(ev.table_one(persons, SUMMARY_CATEGORIES, SUMMARY_NUMBERS), "pct", "mean", "sd")
 
 
 @query
 def table_one_tests(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "features", "clinic")
     persons = materialise(ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic)), "summary")
     tests = ev.group_differences(persons, SUMMARY_CATEGORIES, SUMMARY_NUMBERS)
     return _rounded(tests, "statistic", digits=5).withColumn("p_value", F.col("p_value").between(0, 1)) \
@@ -708,6 +711,6 @@ def table_one_tests(st: StarTables) -> DataFrame:
 
 @query
 def group_variance(st: StarTables) -> DataFrame:
-    r = research(st, stored=True)
+    r = research(st, "features", "features", "clinic")
     persons = ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic))
     return _rounded(ev.analysis_of_variance(persons, SUMMARY_NUMBERS), "f_value")

@@ -1,13 +1,10 @@
 """The index-anchored flow: visits -> episodes -> cohort -> counts -> matrix.
 
-Each step is a method that builds its DataFrame once. `store` decides what happens at the
-steps several others read: by default nothing, with `materialise` they are written to the
-shared folder and read back."""
+Each step is a method that builds its DataFrame once; see `steps` for which are written."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import cached_property
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -17,85 +14,89 @@ from cohortloom.operators import features as ft
 from cohortloom.operators import hierarchy as hi
 from cohortloom.operators.first_dates import all_index_dates
 from cohortloom.operators.intervals import visits_with_episodes
-from cohortloom.session import materialise
+from cohortloom.plans.steps import Flow, step
 
 DX = ("condition_concept_id", "condition_concept_name")
 DRUG = ("ancestor_drug_concept_id", "ancestor_drug_concept_name")
 
 
-def keep_lazy(df: DataFrame, name: str) -> DataFrame:
-    return df
-
-
-class IndexAnchored:
+class IndexAnchored(Flow):
     """All steps over one set of clinical tables."""
 
+    READS = {
+        "cohort": ("index_dates", "visit_map"),
+        "ip_days": ("cohort", "visit_map"),
+        "dx_counts": ("cohort", "visit_map", "cohort", "ip_days"),
+        "ingredients": ("cohort",),
+        "med_counts": ("ingredients", "cohort", "visit_map", "cohort", "ip_days"),
+        "candidates": ("dx_counts",),
+        "rollup": ("candidates", "candidates"),
+        "dx_final": ("dx_counts", "rollup"),
+        "dx_totals": ("dx_final",),
+        "med_flags": ("med_counts",),
+        "labelled": ("dx_counts", "med_counts"),
+        "matrix": ("labelled", "med_flags", "dx_final"),
+    }
+
     def __init__(self, *, person: DataFrame, manifest: DataFrame, death: DataFrame, visits: DataFrame,
                  conditions: DataFrame, measurements: DataFrame, drugs: DataFrame, concept: DataFrame,
-                 closure: DataFrame, sequel: DataFrame,
-                 store: Callable[[DataFrame, str], DataFrame] = keep_lazy):
+                 closure: DataFrame, sequel: DataFrame):
         self.person, self.manifest, self.death, self.visits = person, manifest, death, visits
         self.conditions, self.measurements, self.drugs = conditions, measurements, drugs
         self.concept, self.closure, self.sequel = concept, closure, sequel
-        self.store = store
-
-    @classmethod
-    def stored(cls, **tables: DataFrame) -> IndexAnchored:
-        """The same flow with its shared steps written to the shared folder."""
-        return cls(**tables, store=materialise)
 
-    @cached_property
+    @step
     def visit_map(self) -> DataFrame:
-        return self.store(visits_with_episodes(self.visits), "visit_map")
+        return visits_with_episodes(self.visits)
 
-    @cached_property
+    @step
     def index_dates(self) -> DataFrame:
-        return self.store(all_index_dates(self.conditions, self.measurements), "index_dates")
+        return all_index_dates(self.conditions, self.measurements)
 
-    @cached_property
+    @step
     def cohort(self) -> DataFrame:
-        return self.store(co.feature_table_builder(
-            self.index_dates, self.person, self.manifest, self.death, self.visit_map, self.conditions), "cohort")
+        return co.feature_table_builder(
+            self.index_dates, self.person, self.manifest, self.death, self.visit_map, self.conditions)
 
-    @cached_property
+    @step
     def ip_days(self) -> DataFrame:
         return ct.inpatient_days(self.cohort, self.visit_map)
 
-    @cached_property
+    @step
     def dx_counts(self) -> DataFrame:
         counts = ct.pre_post_counts(self.conditions, self.cohort, self.visit_map, DX, "condition_start_date",
                                     ("pre_dx_count", "post_dx_count"))
-        return self.store(ct.attach_demographics(counts, self.cohort, self.ip_days), "pre_post_dx_count_clean")
+        return ct.attach_demographics(counts, self.cohort, self.ip_days)
 
-    @cached_property
+    @step
     def ingredients(self) -> DataFrame:
         return hi.ingredient_rollup(hi.cohort_facts(self.drugs, self.cohort), self.closure, self.concept)
 
-    @cached_property
+    @step
     def med_counts(self) -> DataFrame:
         counts = ct.pre_post_counts(self.ingredients, self.cohort, self.visit_map, DRUG,
                                     "drug_exposure_start_date", ("pre_med_count", "post_med_count"))
-        return self.store(ct.attach_demographics(counts, self.cohort, self.ip_days), "pre_post_med_count_clean")
+        return ct.attach_demographics(counts, self.cohort, self.ip_days)
 
-    @cached_property
+    @step
     def candidates(self) -> DataFrame:
-        return self.store(hi.rollup_candidates(self.dx_counts, self.sequel, self.closure, self.concept), "candidates")
+        return hi.rollup_candidates(self.dx_counts, self.sequel, self.closure, self.concept)
 
-    @cached_property
+    @step
     def rollup(self) -> DataFrame:
         return hi.final_rollup(hi.parent_totals(self.candidates), self.candidates)
 
-    @cached_property
+    @step
     def dx_final(self) -> DataFrame:
         flagged = ct.with_post_flags(self.dx_counts, "pre_dx_count", "post_dx_count", "post_only_dx")
         rolled = hi.apply_rollup(flagged, self.rollup)
-        return self.store(ft.dx_final(ft.just_cases(rolled)), "pre_post_dx_final")
+        return ft.dx_final(ft.just_cases(rolled))
 
-    @cached_property
+    @step
     def dx_totals(self) -> DataFrame:
         return ft.count_dx_pre_and_post(self.dx_final)
 
-    @cached_property
+    @step
     def med_flags(self) -> DataFrame:
         return ft.med_flags(self.med_counts)
 
@@ -105,5 +106,6 @@ class IndexAnchored:
     def matrix(self, features: Iterable[str], categories: dict[str, list[str]] | None = None) -> DataFrame:
         """The aligned feature matrix: person_id, long_covid, then the listed features in order."""
         features = list(features)
-        wide = ft.feature_table(features, self.labelled(categories), self.med_flags, self.dx_final, self.dx_totals)
-        return ft.align_columns(wide, features)
+        name = f"matrix-{hash((tuple(features), repr(categories))) & 0xFFFFFFFF:08x}"
+        return self.keep(name, lambda: ft.align_columns(ft.feature_table(
+            features, self.labelled(categories), self.med_flags, self.dx_final), features))

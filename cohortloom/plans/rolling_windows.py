@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cached_property
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
@@ -14,82 +11,91 @@ from cohortloom.operators import models as mo
 from cohortloom.operators import rolling as ro
 from cohortloom.operators.sampling import training_set
 from cohortloom.operators.windows import person_window_grid
-from cohortloom.plans.index_anchored import keep_lazy
-from cohortloom.session import materialise
-
-
-class RollingWindows:
-    """All steps over one set of clinical tables; `store` as in the index-anchored flow."""
+from cohortloom.plans.steps import Flow, step
+
+
+class RollingWindows(Flow):
+    """All steps over one set of clinical tables."""
+
+    READS = {
+        "infections": ("covid_cohort",),
+        "index": ("covid_cohort",),
+        "blackout": ("index", "infections"),
+        "grid": ("index",),
+        "labels": ("grid",),
+        "visit_counts": ("grid", "blackout"),
+        "pooled": ("grid", "blackout"),
+        "selected": ("pooled",),
+        "features": ("pooled", "selected", "grid"),
+        "training": ("grid", "labels"),
+        "downselected": ("training", "selected", "features"),
+        "training_matrix": ("downselected", "training", "visit_counts", "features"),
+        "scoring_matrix": ("grid", "visit_counts", "downselected", "features"),
+    }
 
     def __init__(self, *, person: DataFrame, facts: DataFrame, visits: DataFrame, conditions: DataFrame,
                  observations: DataFrame, concept: DataFrame, closure: DataFrame, windows: DataFrame,
-                 cutoff_value: int, threshold: float = 0.0025,
-                 store: Callable[[DataFrame, str], DataFrame] = keep_lazy):
+                 cutoff_value: int, threshold: float = 0.0025):
         self.person, self.facts, self.visits = person, facts, visits
         self.conditions, self.observations = conditions, observations
         self.concept, self.closure, self.windows = concept, closure, windows
         self.cutoff_value, self.threshold = cutoff_value, threshold
-        self.store = store
-
-    @classmethod
-    def stored(cls, **tables) -> RollingWindows:
-        return cls(**tables, store=materialise)
 
-    @cached_property
+    @step
     def covid_cohort(self) -> DataFrame:
-        return self.store(inf.covid_cohort(self.facts), "covid_cohort")
+        return inf.covid_cohort(self.facts)
 
-    @cached_property
+    @step
     def infections(self) -> DataFrame:
         return inf.infection_dates(self.covid_cohort, self.facts)
 
-    @cached_property
+    @step
     def index(self) -> DataFrame:
         return inf.cohort_and_idx(self.covid_cohort)
 
-    @cached_property
+    @step
     def blackout(self) -> DataFrame:
-        return self.store(inf.blackout_dates(self.index, self.infections), "blackout")
+        return inf.blackout_dates(self.index, self.infections)
 
-    @cached_property
+    @step
     def grid(self) -> DataFrame:
-        return self.store(person_window_grid(self.person, self.index, self.windows), "grid")
+        return person_window_grid(self.person, self.index, self.windows)
 
-    @cached_property
+    @step
     def labels(self) -> DataFrame:
-        return self.store(inf.repeat_labels(self.conditions, self.grid, self.observations), "labels")
+        return inf.repeat_labels(self.conditions, self.grid, self.observations)
 
-    @cached_property
+    @step
     def visit_counts(self) -> DataFrame:
         return ro.post_visit_counts_in_windows(self.grid, self.blackout, self.visits, self.windows)
 
-    @cached_property
+    @step
     def pooled(self) -> DataFrame:
-        return self.store(ro.conditions_for_the_cohort(
-            self.grid, self.blackout, self.conditions, self.observations), "pooled")
+        return ro.conditions_for_the_cohort(
+            self.grid, self.blackout, self.conditions, self.observations)
 
-    @cached_property
+    @step
     def selected(self) -> DataFrame:
-        return self.store(hi.selected_features(self.pooled, self.closure, self.concept, self.cutoff_value), "selected")
+        return hi.selected_features(self.pooled, self.closure, self.concept, self.cutoff_value)
 
-    @cached_property
+    @step
     def features(self) -> DataFrame:
-        return self.store(ro.condition_features(self.pooled, self.selected, self.windows, self.grid), "features")
+        return ro.condition_features(self.pooled, self.selected, self.windows, self.grid)
 
-    @cached_property
+    @step
     def training(self) -> DataFrame:
-        return self.store(training_set(self.grid, self.labels, self.windows), "training")
+        return training_set(self.grid, self.labels, self.windows)
 
-    @cached_property
+    @step
     def downselected(self) -> DataFrame:
-        return self.store(ro.feature_downselect(self.training, self.selected, self.features, self.threshold), "downselected")
+        return ro.feature_downselect(self.training, self.selected, self.features, self.threshold)
 
-    @cached_property
+    @step
     def training_matrix(self) -> DataFrame:
         kept = ro.feature_ids(self.downselected)
-        return self.store(ro.train_data_full(self.training, self.visit_counts, kept, self.features), "training_matrix")
+        return ro.train_data_full(self.training, self.visit_counts, kept, self.features)
 
-    @cached_property
+    @step
     def scoring_matrix(self) -> DataFrame:
         return ro.process_data_full(self.grid, self.visit_counts, ro.feature_ids(self.downselected), self.features)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _stored: list[str] = []
+_told: list[Callable[[], None]] = []
+
+
+def on_release(forget: Callable[[], None]) -> None:
+    """Have `forget` called when stored steps are removed."""
+    _told.append(forget)
 
 
 def remember(path: str) -> str:
@@ -65,6 +72,8 @@ def remember(path: str) -> str:
 def release(spark: SparkSession) -> None:
     """Remove the steps stored so far. For callers who have written or collected all results that
     read them; results not yet computed would miss their input."""
+    for forget in _told:
+        forget()
     context = spark.sparkContext
     while _stored:
         path = context._jvm.org.apache.hadoop.fs.Path(_stored.pop())

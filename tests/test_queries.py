@@ -1,7 +1,6 @@
 """Every registered query at the smallest scale against its DuckDB statement."""
 
 import collections
-import functools
 import math
 from pathlib import Path
 
@@ -10,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from cohortloom.plans import catalog
+from cohortloom.plans.steps import lease
 from oracles import ORACLES
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -28,22 +28,10 @@ def db():
 
 
 @pytest.fixture(scope="module", autouse=True)
-def shared_flows():
-    """Queries over one folder share their stored steps, which saves most of the time."""
-    patch = pytest.MonkeyPatch()
-    for name in ("anchored", "research", "rolling"):
-        build, flows = getattr(catalog, name), {}
-
-        @functools.wraps(build)
-        def once(st, stored=False, build=build, flows=flows):
-            key = (st.folder, stored)
-            if key not in flows:
-                flows[key] = build(st, stored)
-            return flows[key]
-
-        patch.setattr(catalog, name, once)
-    yield
-    patch.undo()
+def shared_steps(spark):
+    """Queries share the steps they write, as in one session of analysis."""
+    with lease(spark):
+        yield
 
 
 def canonical(v):
