@@ -10,7 +10,7 @@ from cohortloom.constants import (
 )
 from cohortloom.functions.columns import approximate_age
 from cohortloom.operators.first_dates import is_acute_dx
-from cohortloom.operators.intervals import episodes_of, interval_join
+from cohortloom.operators.intervals import episodes_of
 from cohortloom.operators.windows import clinic_ended_windows, pre_post_windows
 
 COMORBIDITIES = ("diabetes_ind", "kidney_ind", "CHF_ind", "ChronicPulm_ind")
@@ -45,8 +45,8 @@ def near_index_persons(cohort: DataFrame, visit_map: DataFrame, days: int = NEAR
                           F.date_add("min_covid_dt", days).alias("near_end"))
     starts = visit_map.filter(F.col("macrovisit_start_date").isNotNull()) \
         .select("person_id", "macrovisit_start_date").distinct()
-    return interval_join(starts, spans, "macrovisit_start_date", "near_start", "near_end", how="left_semi") \
-        .select("person_id").distinct()
+    near = F.col("macrovisit_start_date").between(F.col("near_start"), F.col("near_end"))
+    return starts.join(spans, "person_id").filter(near).select("person_id").distinct()
 
 
 def acute_episode_persons(visit_map: DataFrame, conditions: DataFrame) -> DataFrame:

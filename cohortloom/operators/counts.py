@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from cohortloom.constants import MISSING_LAB, PREVALENCE_SHARE
 from cohortloom.functions.columns import encounter_key, flag
-from cohortloom.operators.intervals import interval_join
 from cohortloom.operators.joins import stored_join
-from cohortloom.operators.windows import pre_post_spans
+from cohortloom.operators.windows import pre_post_pair
 
 DEMOGRAPHICS = ("apprx_age", "sex", "race", "ethn")
 HISTORY_FLAGS = ("diabetes_ind", "kidney_ind", "CHF_ind", "ChronicPulm_ind")
 
 
 def facts_in_windows(facts: DataFrame, cohort: DataFrame, date: str) -> DataFrame:
-    """Facts dated in a person's earlier or later window, with span = 'pre' or 'post'."""
-    return interval_join(facts, pre_post_spans(cohort), date, "span_start", "span_end") \
-        .drop("span_start", "span_end")
+    """Facts dated in a person's earlier or later window, with span = 'pre' or 'post'.
+
+    A person is one row that carries both windows, so facts meet it by person alone and are read
+    once; facts stored by person are not shuffled."""
+    day = F.col(date)
+    hit = F.filter(F.col("_spans"), lambda s: day.between(s["span_start"], s["span_end"]))
+    return (facts.join(cohort.select("person_id", pre_post_pair().alias("_spans")), "person_id")
+            .select(*facts.columns, F.explode(F.transform(hit, lambda s: s["span"])).alias("span")))
 
 
 def pre_post_counts(facts: DataFrame, cohort: DataFrame, visit_map: DataFrame, concept: tuple[str, str], date: str,
@@ -31,8 +35,16 @@ def pre_post_counts(facts: DataFrame, cohort: DataFrame, visit_map: DataFrame, c
     placed = facts_in_windows(facts.filter(F.col("visit_occurrence_id").isNotNull())
                               .select("person_id", *concept, date, "visit_occurrence_id"), cohort, date)
     visits = visit_map.select("visit_occurrence_id", encounter_key("macrovisit_id", "visit_occurrence_id").alias("enc"))
-    per_encounter = (placed.join(visits, "visit_occurrence_id")
-                     .groupBy("person_id", *concept, "enc")
+    return _encounters(placed.join(visits, "visit_occurrence_id"), concept, names)
+
+
+def window_counts(facts: DataFrame, cohort: DataFrame, concept: tuple[str, str], date: str, names: tuple[str, str]) -> DataFrame:
+    """The same counts of facts that carry their encounter (column enc)."""
+    return _encounters(facts_in_windows(facts.select("person_id", *concept, date, "enc"), cohort, date), concept, names)
+
+
+def _encounters(placed: DataFrame, concept: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    per_encounter = (placed.groupBy("person_id", *concept, "enc")
                      .agg(F.max(flag(F.col("span") == "pre")).alias("_pre"),
                           F.max(flag(F.col("span") == "post")).alias("_post")))
     return (per_encounter.groupBy("person_id", *concept)
@@ -46,7 +58,8 @@ def inpatient_days(cohort: DataFrame, visit_map: DataFrame) -> DataFrame:
     spans = cohort.select("person_id", "post_window_start_dt", "post_window_end_dt")
     stays = (visit_map.filter(F.col("macrovisit_start_date").isNotNull())
              .select("person_id", "macrovisit_start_date", "macrovisit_end_date").distinct())
-    inside = interval_join(stays, spans, "macrovisit_start_date", "post_window_start_dt", "post_window_end_dt")
+    day = F.col("macrovisit_start_date")
+    inside = stays.join(spans, "person_id").filter(day.between(F.col("post_window_start_dt"), F.col("post_window_end_dt")))
     return (inside.groupBy("person_id", "post_window_start_dt", "post_window_end_dt")
             .agg(F.sum(F.datediff("macrovisit_end_date", "macrovisit_start_date") + 1).alias("tot_ip_days")))
 

@@ -72,11 +72,30 @@ def _episode_id(key: str, number: str) -> Column:
 
 
 # ---------------------------------------------------------------- date-in-span joins
+BUCKET_MARGIN = 24  # buckets beyond the edges of nearly all spans
+
 def _bucket(day: str, bits: int) -> Column:
     """Number of the 2**bits-day bucket a date falls in."""
     return F.shiftright(F.unix_date(F.col(day)), bits)
 
 
+def _bucket_range(spans: DataFrame, start: str, end: str, bits: int) -> tuple[Column, Column]:
+    """First and last bucket that are told apart; what lies before or after counts as in them.
+
+    Any range gives the same join, as dates are compared in the end, so it is taken from the spans
+    alone: a margin beyond nearly all of their starts and ends. A span without end, or one with a
+    mistyped year, then costs a few rows, and the dated rows are read once, for the join only."""
+    edges = spans.agg(F.percentile_approx(_bucket(end, bits), 0.05).alias("first_end"),
+                      F.percentile_approx(_bucket(start, bits), 0.95).alias("last_start"))
+    edges = edges.select((F.least("first_end", "last_start") - BUCKET_MARGIN).alias("low"),
+                         (F.col("last_start") + BUCKET_MARGIN).alias("high"))
+    return edges.select("low").scalar(), edges.select("high").scalar()
+
+
+def _clip(bucket: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(bucket, low), high)
+
+
 def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, end: str,
                   key: str = "person_id", how: str = "inner", bucket_bits: int = 6) -> DataFrame:
     """Join dated rows to the spans of the same key that contain the date (both ends in).
@@ -86,21 +105,17 @@ def interval_join(points: DataFrame, spans: DataFrame, date: str, start: str, en
     clash = [c for c in spans.columns if c in points.columns and c != key]
     if clash and how in ("inner", "left"):
         raise ValueError(f"columns on both sides: {clash}")
-    # Buckets are laid out only over the dates there are, so an open end far in the future costs nothing.
-    seen = points.agg(F.min(date).alias("low"), F.max(date).alias("high"))
-    first = F.greatest(F.col(start), seen.select("low").scalar())
-    last = F.least(F.col(end), seen.select("high").scalar())
-    s = (spans.filter(F.col(start) <= F.col(end)).withColumns({"_first": first, "_last": last})
-         .filter("_first <= _last")
-         .withColumn("_bucket", F.explode(F.sequence(_bucket("_first", bucket_bits), _bucket("_last", bucket_bits))))
-         .drop("_first", "_last")
+    spans = spans.filter(F.col(start) <= F.col(end))
+    low, high = _bucket_range(spans, start, end, bucket_bits)
+    s = (spans.withColumn("_bucket", F.explode(F.sequence(_clip(_bucket(start, bucket_bits), low, high),
+                                                          _clip(_bucket(end, bucket_bits), low, high))))
          .withColumnRenamed(key, "_key").withColumnRenamed("_bucket", "_span_bucket"))
     if how in ("left_semi", "left_anti"):
         s = s.select("_key", "_span_bucket", F.col(start).alias("_lo"), F.col(end).alias("_hi"))
         lo, hi = "_lo", "_hi"
     else:
         lo, hi = start, end
-    p = points.withColumn("_bucket", _bucket(date, bucket_bits))
+    p = points.withColumn("_bucket", F.when(F.col(date).isNotNull(), _clip(_bucket(date, bucket_bits), low, high)))
     matched = ((F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_span_bucket"))
                & F.col(date).between(F.col(lo), F.col(hi)))
     return p.join(s, matched, how).drop("_bucket", "_key", "_span_bucket")
@@ -178,8 +193,13 @@ def link_by_date(facts: DataFrame, visit_map: DataFrame, date: str) -> DataFrame
 
 
 def link_facts(facts: DataFrame, visit_map: DataFrame, date: str) -> DataFrame:
-    """Both ways of linking, without duplicates (equal fact rows count once, whichever way)."""
-    return link_by_visit(facts, visit_map).unionByName(link_by_date(facts, visit_map, date)).distinct()
+    """Both ways of linking, without duplicates (equal fact rows count once, whichever way).
+
+    The two ways share no fact: one names a visit, the other does not. So each is made distinct by
+    itself: for the first, rows lie by visit already and are not dealt anew; the second holds the few
+    facts without a visit, and equal ones are reduced to one before they meet the episodes."""
+    by_date = link_by_date(facts.filter(F.col("visit_occurrence_id").isNull()).distinct(), visit_map, date)
+    return link_by_visit(facts, visit_map).distinct().unionByName(by_date)
 
 
 # ---------------------------------------------------------------- blackout

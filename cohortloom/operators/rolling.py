@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import key_uniform
+from cohortloom.operators import daybits as db
 from cohortloom.operators.features import derived_bins, pool_facts
 from cohortloom.operators.intervals import drop_blacked_out, open_facts_of
 from cohortloom.operators.windows import window_days
@@ -15,16 +16,25 @@ def post_visit_counts_in_windows(grid: DataFrame, blackout: DataFrame, visits: D
     """Distinct visit dates per person and window, outpatient and inpatient, blackout removed;
     windows without visits keep 0.
 
-    Visits are reduced to person-days first; whether a day is blacked out depends on the
-    person and the date only. The days left are laid onto windows by day."""
+    Visit days are bits of 64-day words, so the visits are shuffled once, already reduced to a row
+    per person and word; blackout spans and windows are masks of such words. Blackout is laid out
+    over the days of the windows only."""
     hospital = F.col("likely_hospitalization")
-    days = visits.filter(F.col("visit_start_date").isNotNull()) \
-        .groupBy("person_id", F.col("visit_start_date").alias("day")).agg(
-            F.max(hospital.isNull().cast("long")).alias("out_day"),
-            F.max(F.coalesce(hospital == 1, F.lit(False)).cast("long")).alias("in_day"))
-    days = drop_blacked_out(days, blackout, "day")
-    counts = (days.join(window_days(windows), "day").groupBy("person_id", "window")
-              .agg(F.sum("out_day").alias("post_nonhosp_visit_count"), F.sum("in_day").alias("post_hosp_count")))
+    days = db.days_of(visits, "person_id", "visit_start_date", out_days=hospital.isNull(),
+                      in_days=F.coalesce(hospital == 1, F.lit(False)))
+    edges = windows.agg(F.min("window_start").alias("first"), F.max("window_end").alias("last"))
+    shut = (db.span_masks(blackout.filter("blackout_begin <= blackout_end"),
+                          F.greatest(F.col("blackout_begin"), edges.select("first").scalar()),
+                          F.least(F.col("blackout_end"), edges.select("last").scalar()))
+            .groupBy("person_id", "word").agg(F.bit_or("mask").alias("shut")))
+    open_ = F.bitwise_not(F.coalesce("shut", F.lit(0).cast("long")))
+    spans = db.span_masks(windows.select(F.col("window_name").alias("window"), "window_start", "window_end"),
+                          F.col("window_start"), F.col("window_end"), "inside").select("window", "word", "inside")
+    seen = lambda kind: F.sum(F.bit_count(F.col(kind).bitwiseAND(F.col("inside"))).cast("long"))
+    counts = (days.join(shut, ["person_id", "word"], "left")
+              .select("person_id", "word", *[F.col(c).bitwiseAND(open_).alias(c) for c in ("out_days", "in_days")])
+              .join(spans, "word").groupBy("person_id", "window")
+              .agg(seen("out_days").alias("post_nonhosp_visit_count"), seen("in_days").alias("post_hosp_count")))
     return (grid.select("person_id", "window").join(counts, ["person_id", "window"], "left")
             .fillna(0, ["post_nonhosp_visit_count", "post_hosp_count"]))
 

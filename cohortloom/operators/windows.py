@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.constants import POST_WINDOW_DAYS, PRE_WINDOW_DAYS, RESEARCH_POST_DAYS
@@ -75,11 +75,12 @@ def clinic_ended_windows(cohort: DataFrame, index: str = "min_covid_dt",
             .withColumn("patient_type", F.when(c.isNotNull(), "TRAINING").otherwise("TEST")))
 
 
+def pre_post_pair() -> Column:
+    """The two windows of a person's row as an array of (span, span_start, span_end); span is 'pre' or 'post'."""
+    return F.array(*[F.struct(F.lit(k).alias("span"), F.col(f"{k}_window_start_dt").alias("span_start"),
+                              F.col(f"{k}_window_end_dt").alias("span_end")) for k in ("pre", "post")])
+
+
 def pre_post_spans(cohort: DataFrame) -> DataFrame:
     """The two windows of each person as rows: person_id, span ('pre'/'post'), span_start, span_end."""
-    pair = F.array(
-        F.struct(F.lit("pre").alias("span"), F.col("pre_window_start_dt").alias("span_start"),
-                 F.col("pre_window_end_dt").alias("span_end")),
-        F.struct(F.lit("post").alias("span"), F.col("post_window_start_dt").alias("span_start"),
-                 F.col("post_window_end_dt").alias("span_end")))
-    return cohort.select("person_id", F.inline(pair))
+    return cohort.select("person_id", F.inline(pre_post_pair()))

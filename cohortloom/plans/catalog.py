@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.functions.columns import date_text, key_uniform
+from cohortloom.functions.columns import date_text, encounter_key, key_uniform
 from cohortloom.operators import cohort as co
 from cohortloom.operators import counts as ct
 from cohortloom.operators import evaluation as ev
@@ -26,11 +26,12 @@ from cohortloom.operators import models as mo
 from cohortloom.operators import rolling as ro
 from cohortloom.operators import sampling as sa
 from cohortloom.operators import windows as wi
-from cohortloom.plans.index_anchored import IndexAnchored
+from cohortloom.plans.index_anchored import DX, IndexAnchored
 from cohortloom.plans.research_cohort import ResearchCohort
 from cohortloom.plans.rolling_windows import RollingWindows
 from cohortloom.session import materialise, remember, shared_folder, tune
 from cohortloom.sources import concept_sets as cs
+from cohortloom.sources import layout as ly
 from cohortloom.sources import tables as tb
 from cohortloom.sources.star_adapter import GROUP_BASE, TYPE_BASE, StarTables
 
@@ -279,6 +280,19 @@ def pre_post_counts(st: StarTables) -> DataFrame:
     return anchored(st, "dx_counts").dx_counts
 
 
+@query
+def pre_post_counts_by_person(st: StarTables) -> DataFrame:
+    """The same from facts and encounters stored by person: windows, encounters and both counts need
+    no shuffle of the facts."""
+    a = anchored(st, "cohort", "visit_map", "cohort", "ip_days")
+    encounters = a.visit_map.select("visit_occurrence_id", encounter_key("macrovisit_id", "visit_occurrence_id").alias("enc"))
+    known = st.conditions().join(encounters, "visit_occurrence_id")
+    facts = ly.store_by_person(known.select("person_id", *DX, "condition_start_date", "enc"), "conditions")
+    counts = facts.each(lambda part: ct.window_counts(part, a.cohort, DX, "condition_start_date",
+                                                      ("pre_dx_count", "post_dx_count")))
+    return ct.attach_demographics(counts, a.cohort, a.ip_days)
+
+
 @query
 def pre_post_med_counts(st: StarTables) -> DataFrame:
     return anchored(st, "med_counts").med_counts
@@ -502,6 +516,14 @@ def blackout_anti_join(st: StarTables) -> DataFrame:
     return ro.conditions_for_the_cohort(r.grid, r.blackout, r.conditions, r.observations)
 
 
+@query
+def blackout_anti_join_by_person(st: StarTables) -> DataFrame:
+    """The same from facts stored by person: they meet persons and spans without a shuffle."""
+    r = rolling(st, "grid", "blackout")
+    facts = ly.store_by_person(ft.pool_facts(st.observations(), st.conditions()), "pooled_facts")
+    return facts.each(lambda part: iv.open_facts_of(r.grid, part, r.blackout, "condition_start_date"))
+
+
 @query
 def blackout_anti_join_all(st: StarTables) -> DataFrame:
     """Blackout removed from everybody's facts, in the cohort or not."""

@@ -725,3 +725,6 @@ any_pts AS (SELECT s * 20 - 7 AS s, count(*) FILTER (WHERE label) AS p, count(*)
   WHERE person_id % 11 <> 0 GROUP BY 1),
 any_cum AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS cp, sum(n) OVER (ORDER BY s DESC) AS cn,
     sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM any_pts)""")
+
+# Other ways to the same result.
+ORACLES |= {f"{name}_by_person": ORACLES[name] for name in ("blackout_anti_join", "pre_post_counts")}

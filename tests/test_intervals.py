@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -78,6 +79,40 @@ def test_interval_join_against_all_pairs(spark, how, bits):
         assert [r[0] for r in rows(got, "id")] == sorted(want)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_spans_without_end_cost_few_rows(spark, how):
+    """Ends in the year 9999, starts in the year 1 and dates far outside all spans."""
+    rng = random.Random(6)
+    base = dt.date(2020, 1, 1)
+    near = lambda: base + dt.timedelta(days=rng.randrange(2000))
+    spans = [(k, a, a + dt.timedelta(days=rng.randrange(90))) for k in range(6) for a in [near() for _ in range(8)]]
+    spans += [(1, near(), dt.date(9999, 12, 31)), (2, dt.date(1, 1, 1), near()), (3, dt.date(1, 1, 1), dt.date(9999, 12, 31)),
+              (4, dt.date(7000, 1, 1), dt.date(9999, 12, 31)), (5, None, near()), (5, near(), None), (0, near(), dt.date(3, 1, 1))]
+    points = [(i, rng.randrange(7), near()) for i in range(150)]
+    points += [(200 + i, k, d) for i, (k, d) in enumerate(
+        (k, d) for k in range(6) for d in (dt.date(2, 2, 2), dt.date(1900, 1, 1), dt.date(2500, 1, 1), dt.date(8000, 1, 1), None))]
+    p = spark.createDataFrame(points, "id long, person_id long, d date")
+    s = spark.createDataFrame(spans, "person_id long, a date, b date")
+    got = iv.interval_join(p, s, "d", "a", "b", how=how)
+    inside = lambda d, a, b: None not in (d, a, b) and a <= d <= b
+    hits = sorted((i, a, b) for i, k, d in points for q, a, b in spans if q == k and inside(d, a, b))
+    missed = [i for i, _, _ in points if i not in {h[0] for h in hits}]
+    want = {"inner": hits, "left": hits + [(i, None, None) for i in missed], "left_anti": [(i,) for i in missed]}[how]
+    columns = ["id"] if how == "left_anti" else ["id", "a", "b"]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want, key=str)
+    low, high = iv._bucket_range(s.filter("a <= b"), "a", "b", 6)
+    first, last = spark.range(1).select(low, high).first()
+    assert last - first < 200
+
+
+def test_dates_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, plus(3))], "person_id long, d date").write.parquet(f"{tmp_path}/points")
+    spans = spark.createDataFrame([(1, plus(0), plus(9))], "person_id long, a date, b date")
+    joined = iv.interval_join(spark.read.parquet(f"{tmp_path}/points"), spans, "d", "a", "b")
+    assert joined.count() == 1
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 def test_visits_to_episodes_edges(spark):
     v = visits(spark,
                (1, 9201, 10, 20),          # 0 carries an episode
