@@ -668,11 +668,14 @@ def age_quantiles(st: StarTables) -> DataFrame:
     return _rounded(ev.age_quantiles(persons, ("Long-COVID Clinic HOSP", "Long-COVID Clinic NONHOSP")), "age")
 
 
+ODDS_COLUMNS = [f"{s}_{k}" for s in ev.STRATA for k in ("odds", "upper_ci", "lower_ci")]
+
+
 @query
 def logistic_odds(st: StarTables) -> DataFrame:
-    matrix = materialise(anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
+    matrix = anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES)
     doubles = ft.double_features(matrix, ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio"])
-    return ev.logistic_odds(ft.regression_input(doubles))
+    return _rounded(ev.logistic_odds(ft.regression_input(doubles)), *ODDS_COLUMNS, digits=4)
 
 
 def _odds(st: StarTables) -> DataFrame:
@@ -680,9 +683,6 @@ def _odds(st: StarTables) -> DataFrame:
     return ev.odds_2x2(matrix, ["sex_male", *[f"group_{i}" for i in range(1, 26)]])
 
 
-ODDS_COLUMNS = [f"{s}_{k}" for s in ev.STRATA for k in ("odds", "upper_ci", "lower_ci")]
-
-
 @query
 def odds_2x2(st: StarTables) -> DataFrame:
     return _rounded(_odds(st), *ODDS_COLUMNS)

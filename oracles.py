@@ -728,3 +728,49 @@ any_cum AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS cp, sum(n) OVER (ORDER BY
 
 # Other ways to the same result.
 ORACLES |= {f"{name}_by_person": ORACLES[name] for name in ("blackout_anti_join", "pre_post_counts")}
+
+
+def _sums(points: str) -> str:
+    """Log-likelihood, gradient and weights' moments of one-predictor logistic models at points (model, side, a, b)."""
+    eta, p = "(a + b * x)", "(1 / (1 + exp(-(a + b * x))))"
+    return (f"SELECT model, side, a, b, sum(y * {eta} - n * (greatest({eta}, 0) + ln(1 + exp(-abs({eta}))))) AS ll, sum(y - n * {p}) AS g0, "
+            f"sum((y - n * {p}) * x) AS g1, sum(n * {p} * (1 - {p})) AS s0, sum(n * {p} * (1 - {p}) * x) AS s1, "
+            f"sum(n * {p} * (1 - {p}) * x * x) AS s2 FROM lg JOIN {points} USING (model) GROUP BY ALL")
+
+
+_BANDS = [("26-45", 26, 45), ("46-55", 46, 55), ("56-65", 56, 65), ("66+", 66, 999)]
+_ROUNDS = 14
+_LOGIT = ["""
+lg AS MATERIALIZED (
+  SELECT stratum || '|' || predictor AS model, x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM (
+    SELECT unnest(['total', CASE WHEN hospitalized = 1 THEN 'hosp' ELSE 'nonhosp' END]) AS stratum, predictor, x, y FROM (
+""" + " UNION ALL ".join(
+    [f"SELECT hospitalized, long_covid AS y, 'Age ({b})' AS predictor, CASE WHEN apprx_age BETWEEN {lo} AND {hi} THEN 1.0::DOUBLE "
+     "WHEN apprx_age BETWEEN 18 AND 25 THEN 0.0::DOUBLE END AS x FROM matrix" for b, lo, hi in _BANDS]
+    + [f"SELECT hospitalized, long_covid, '{c}', CAST({c} AS DOUBLE) * 10 FROM matrix" for c in ("op_post_visit_ratio", "ip_post_visit_ratio")])
+    + """)) WHERE x IS NOT NULL GROUP BY ALL),
+f0 AS (
+  SELECT model, 'fit' AS side, ln(sum(y) / (sum(n) - sum(y))) AS a, 0.0::DOUBLE AS b FROM lg GROUP BY model
+  HAVING sum(y) > 0 AND sum(y) < sum(n) AND max(x) FILTER (n > y) > min(x) FILTER (y > 0)
+    AND max(x) FILTER (y > 0) > min(x) FILTER (n > y))"""]
+for _k in range(_ROUNDS):
+    _LOGIT.append(f"""
+f{_k + 1} AS MATERIALIZED (SELECT model, side, a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1) AS a, b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) AS b
+  FROM ({_sums(f'f{_k}')}))""")
+_LOGIT.append(f"""
+best AS MATERIALIZED ({_sums(f'f{_ROUNDS}')}),
+l0 AS (
+  SELECT model, name AS side, a - z * s1 / s0 AS a, b + z AS b FROM (
+    SELECT *, d * 1.959963984540054 * sqrt(s0 / (s0 * s2 - s1 * s1)) AS z FROM best, (VALUES ('upper', 1), ('lower', -1)) v(name, d)))""")
+for _k in range(_ROUNDS):
+    _LOGIT.append(f"""
+l{_k + 1} AS MATERIALIZED (
+  SELECT model, side, a - (g1 * g0 + s1 * miss) / (s1 * g0 - s0 * g1) AS a, b + (g0 * g0 + s0 * miss) / (s1 * g0 - s0 * g1) AS b
+  FROM (SELECT q.*, q.ll - best.ll + 1.920729410347062 AS miss FROM ({_sums(f'l{_k}')}) q JOIN best USING (model)))""")
+_LOGIT.append(f"ends AS (SELECT model, side, exp(b) AS e FROM f{_ROUNDS} UNION ALL SELECT model, side, exp(b) FROM l{_ROUNDS})")
+ORACLES["logistic_odds"] = _sql("SELECT concept, subgroup, " + ", ".join(
+    f"round(max(e) FILTER (model = '{s}|' || subgroup AND side = '{side}'), 4) AS {s}_{column}"
+    for s in ("total", "hosp", "nonhosp") for column, side in (("odds", "fit"), ("upper_ci", "upper"), ("lower_ci", "lower")))
+    + " FROM (VALUES " + ", ".join([f"('apprx_age', 'Age ({b})')" for b, _, _ in _BANDS]
+                                   + [f"('{c}', '{c}')" for c in ("op_post_visit_ratio", "ip_post_visit_ratio")])
+    + ") t(concept, subgroup), (SELECT * FROM ends UNION ALL SELECT NULL, NULL, NULL) GROUP BY ALL", *_AN, _MATRIX, ",".join(_LOGIT))

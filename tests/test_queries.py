@@ -49,7 +49,7 @@ def bag(columns, data):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(ORACLES) == {"logistic_odds"}
+    assert set(catalog.QUERIES) <= set(ORACLES)
 
 
 def test_entry(spark):
