@@ -17,7 +17,7 @@ from cohortloom.session import materialise
 NORMAL_975 = 1.959963984540054
 HALF_CHI_SQUARE_95 = 1.920729410347062  # half the 95 % quantile with one degree of freedom
 STEPS = 25
-CLOSE = 1e-12
+CLOSE = 1e-9  # of a step; the error left is about its square
 
 
 def usable_models(counts: DataFrame) -> dict[str, tuple[float, float]]:

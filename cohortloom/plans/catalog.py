@@ -259,6 +259,13 @@ def training_prevalence(st: StarTables) -> DataFrame:
     return ct.training_prevalence(r.dx_counts, r.features, more_than=0)
 
 
+@query
+def training_prevalence_over_few(st: StarTables) -> DataFrame:
+    """With the usual limit: held by more than three training persons."""
+    r = research(st, "dx_counts", "features")
+    return ct.training_prevalence(r.dx_counts, r.features)
+
+
 @query
 def check_counts(st: StarTables) -> DataFrame:
     """Counts used as checks between steps."""
@@ -344,6 +351,14 @@ def one_hot(st: StarTables) -> DataFrame:
     return anchored(st, "labelled").labelled(CATEGORIES)
 
 
+@query
+def one_hot_discovered(st: StarTables) -> DataFrame:
+    """Columns made of the values that occur, as rows: person, column, 0 or 1."""
+    wide = anchored(st, "labelled").labelled()
+    made = [c for c in wide.columns if c.startswith(("sex_", "race_", "ethn_"))]
+    return wide.select("person_id", *made).unpivot("person_id", made, "name", "value")
+
+
 @query
 def rollup_candidates(st: StarTables) -> DataFrame:
     return anchored(st, "candidates").candidates
@@ -643,6 +658,18 @@ def roc_area(st: StarTables) -> DataFrame:
     return _rounded(ev.roc_area(_pseudo_scores(st)), "auc", digits=9)
 
 
+@query
+def model_file(st: StarTables) -> DataFrame:
+    """A model saved, loaded and used: rows with the same score from both, where a label is known."""
+    r = rolling(st, "training_matrix")
+    model = mo.train_boosted_trees(r.training_matrix, n_estimators=2, max_depth=3)
+    path = remember(f"{shared_folder(st.spark)}/model-{uuid.uuid4().hex}")
+    tb.save_model(model, path)
+    loaded = mo.model_scores(r.training_matrix, tb.load_model(path)).withColumnRenamed("model_score", "loaded_score")
+    return (mo.model_scores(r.training_matrix, model).join(loaded, ["person_id", "window"])
+            .select("person_id", "window", (F.col("model_score") == F.col("loaded_score")).alias("same_score")))
+
+
 @query
 def gbt_scores(st: StarTables) -> DataFrame:
     """Train on the training matrix, score every person and window; whether the score is a probability."""
@@ -671,11 +698,15 @@ def age_quantiles(st: StarTables) -> DataFrame:
 ODDS_COLUMNS = [f"{s}_{k}" for s in ev.STRATA for k in ("odds", "upper_ci", "lower_ci")]
 
 
-@query
-def logistic_odds(st: StarTables) -> DataFrame:
+def _regression_odds(st: StarTables) -> DataFrame:
     matrix = anchored(st, "matrix").matrix(MATRIX_FEATURES, CATEGORIES)
     doubles = ft.double_features(matrix, ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio"])
-    return _rounded(ev.logistic_odds(ft.regression_input(doubles)), *ODDS_COLUMNS, digits=4)
+    return ev.logistic_odds(ft.regression_input(doubles))
+
+
+@query
+def logistic_odds(st: StarTables) -> DataFrame:
+    return _rounded(_regression_odds(st), *ODDS_COLUMNS, digits=4)
 
 
 def _odds(st: StarTables) -> DataFrame:
@@ -700,9 +731,8 @@ def _importances(st: StarTables) -> DataFrame:
 
 @query
 def odds_with_importance(st: StarTables) -> DataFrame:
-    two = _odds(st)
-    none = two.limit(0).withColumn("subgroup", F.lit(None).cast("string"))
-    return ev.combine_odds(none, two, _importances(st))
+    """Regression and two-by-two odds with the importances of the feature of the same name."""
+    return ev.combine_odds(_regression_odds(st), _odds(st), _importances(st))
 
 
 @query
@@ -727,8 +757,7 @@ def table_one_tests(st: StarTables) -> DataFrame:
     r = research(st, "features", "features", "clinic")
     persons = materialise(ft.persons_for_summary(r.features, co.flagged_only(r.features, r.clinic)), "summary")
     tests = ev.group_differences(persons, SUMMARY_CATEGORIES, SUMMARY_NUMBERS)
-    return _rounded(tests, "statistic", digits=5).withColumn("p_value", F.col("p_value").between(0, 1)) \
-        .withColumnRenamed("p_value", "p_in_range")
+    return _rounded(_rounded(tests, "statistic", digits=5), "p_value")
 
 
 @query

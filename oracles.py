@@ -675,9 +675,6 @@ ORACLES: dict[str, str] = {
     "roc_area": _sql("SELECT round(sum(n * (cp - p + p / 2)) / (sum(p) * sum(n)), 9) AS auc FROM cum", *_RO, _SCORES),
     "odds_2x2": _sql("SELECT concept, " + _or_columns("odds_long").replace("{d}", "6") + " FROM odds_long GROUP BY 1",
                      *_AN, _MATRIX, _ODDS_LONG),
-    "odds_with_importance": _sql("""SELECT o.*, imp.* FROM (SELECT concept, concept AS subgroup, """
-                                 + _or_columns("odds_long").replace("{d}", "3") + """ FROM odds_long GROUP BY 1) o
-        LEFT JOIN imp ON lower(concept) = lower(feature)""", *_AN, _MATRIX, _ODDS_LONG, _IMPORTANCES),
     "top_features": _sql("SELECT * FROM imp WHERE hosp_imp >= (SELECT min(h) FROM (SELECT hosp_imp AS h FROM imp ORDER BY 1 DESC LIMIT 23))",
                          _IMPORTANCES),
     "table_one": _sql("SELECT grp, variable, value, n, round(100.0 * n / sum(n) OVER (PARTITION BY grp, variable), 6) AS pct, "
@@ -700,16 +697,31 @@ ORACLES["group_variance"] = _sql(" UNION ALL ".join(
     f"WHERE {c} IS NOT NULL GROUP BY 1), "
     f"(SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS), *_RE)
 
-ORACLES["table_one_tests"] = _sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS variable, 'chi-square' AS test, round(max(total) * (sum(o * o / (CAST(row_n AS DOUBLE) * col_n)) - 1), 5) AS statistic, "
-    "(count(DISTINCT g) - 1) * (count(DISTINCT v) - 1) AS df, TRUE AS p_in_range FROM ("
-    "SELECT *, sum(o) OVER (PARTITION BY g) AS row_n, sum(o) OVER (PARTITION BY v) AS col_n, sum(o) OVER () AS total FROM ("
-    f"SELECT theGroup AS g, coalesce(CAST({c} AS VARCHAR), 'none') AS v, count(*) AS o FROM r_sum GROUP BY ALL))"
-    for c in _SUMMARY_CATEGORIES) + "".join(
-    f" UNION ALL SELECT '{c}', 'anova', round((ssb / (k - 1)) / (ssw / (n - k)), 5), k - 1, TRUE FROM ("
-    "SELECT count(*) AS k, sum(gn) AS n, sum(gn * (gm - grand) ** 2) AS ssb, sum(gss) AS ssw FROM ("
-    f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
-    f"WHERE {c} IS NOT NULL GROUP BY 1), (SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS), *_RE)
+def _simpson(density: str, low: str, high: str, parts: int = 20000) -> str:
+    """The integral of a density in u, as an aggregate over one row's columns."""
+    return (f"(SELECT sum(CASE WHEN i IN (0, {parts}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({density})) * ({high} - {low}) / {3 * parts} "
+            f"FROM (SELECT i, {low} + ({high} - {low}) * i / {parts} AS u FROM range({parts + 1}) t(i)))")
+
+
+# Tails by Simpson's rule: chi-square over u = sqrt(x), F over the angle whose squared sine is the beta variable.
+_CHI_TAIL = _simpson("exp(ln(2) + (df - 1) * ln(greatest(u, 1e-300)) - u * u / 2 - df / 2.0 * ln(2) - lgamma(df / 2.0))",
+                     "sqrt(statistic)", "(sqrt(statistic) + sqrt(df) + 12)")
+_F_TAIL = _simpson("2 * exp((df - 1) * ln(greatest(sin(u), 1e-300)) + (dw - 1) * ln(greatest(cos(u), 1e-300)) - lb)",
+                   "low", "least(pi() / 2, low + 40 / sqrt(dw))")
+ORACLES["table_one_tests"] = _sql(
+    f"SELECT variable, test, round(statistic, 5) AS statistic, df, round({_CHI_TAIL}, 6) AS p_value FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, 'chi-square' AS test, greatest(max(total) * (sum(o * o / (CAST(row_n AS DOUBLE) * col_n)) - 1), 0) AS statistic, "
+        "(count(DISTINCT g) - 1) * (count(DISTINCT v) - 1) AS df FROM ("
+        "SELECT *, sum(o) OVER (PARTITION BY g) AS row_n, sum(o) OVER (PARTITION BY v) AS col_n, sum(o) OVER () AS total FROM ("
+        f"SELECT theGroup AS g, coalesce(CAST({c} AS VARCHAR), 'none') AS v, count(*) AS o FROM r_sum GROUP BY ALL))"
+        for c in _SUMMARY_CATEGORIES)
+    + f") UNION ALL SELECT variable, 'anova', round(statistic, 5), df, round({_F_TAIL}, 6) FROM ("
+    "SELECT *, asin(sqrt(df * statistic / (dw + df * statistic))) AS low, lgamma(df / 2.0) + lgamma(dw / 2.0) - lgamma((df + dw) / 2.0) AS lb FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, (ssb / (k - 1)) / (ssw / (n - k)) AS statistic, k - 1 AS df, n - k AS dw FROM ("
+        "SELECT count(*) AS k, sum(gn) AS n, sum(gn * (gm - grand) ** 2) AS ssb, sum(gss) AS ssw FROM ("
+        f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
+        f"WHERE {c} IS NOT NULL GROUP BY 1), (SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS) + "))", *_RE)
 ORACLES["gbt_scores"] = _sql('SELECT person_id, "window", TRUE AS is_probability FROM grid', *_RO)
 ORACLES["forest_importance"] = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, TRUE AS not_negative, TRUE AS sums_to_one" for c in
@@ -774,3 +786,17 @@ ORACLES["logistic_odds"] = _sql("SELECT concept, subgroup, " + ", ".join(
     + " FROM (VALUES " + ", ".join([f"('apprx_age', 'Age ({b})')" for b, _, _ in _BANDS]
                                    + [f"('{c}', '{c}')" for c in ("op_post_visit_ratio", "ip_post_visit_ratio")])
     + ") t(concept, subgroup), (SELECT * FROM ends UNION ALL SELECT NULL, NULL, NULL) GROUP BY ALL", *_AN, _MATRIX, ",".join(_LOGIT))
+ORACLES["odds_with_importance"] = _sql("""SELECT o.*, imp.* FROM (SELECT concept, concept AS subgroup, """
+    + _or_columns("odds_long").replace("{d}", "3") + " FROM odds_long GROUP BY 1 UNION ALL SELECT concept, subgroup, " + ", ".join(
+        f"round(max(e) FILTER (model = '{s}|' || subgroup AND side = '{side}'), 3) AS {s}_{column}"
+        for s in ("total", "hosp", "nonhosp") for column, side in (("odds", "fit"), ("upper_ci", "upper"), ("lower_ci", "lower")))
+    + " FROM (VALUES " + ", ".join([f"('apprx_age', 'Age ({b})')" for b, _, _ in _BANDS]
+                                   + [f"('{c}', '{c}')" for c in ("op_post_visit_ratio", "ip_post_visit_ratio")])
+    + """) t(concept, subgroup), (SELECT * FROM ends UNION ALL SELECT NULL, NULL, NULL) GROUP BY ALL) o
+    LEFT JOIN imp ON lower(concept) = lower(feature)""", *_AN, _MATRIX, _ODDS_LONG, _IMPORTANCES, ",".join(_LOGIT))
+ORACLES["one_hot_discovered"] = _sql(" UNION ALL ".join(
+    f"SELECT person_id, lower(replace('{c}_' || v, ' ', '_')) AS name, CAST(coalesce(tidy = v, FALSE) AS INTEGER) AS value "
+    f"FROM (SELECT person_id, {value} AS tidy FROM labelled), (SELECT DISTINCT {value} AS v FROM labelled WHERE {value} IS NOT NULL)"
+    for c, value in (("sex", "CASE WHEN sex = 'No matching concept' THEN 'unknown' ELSE sex END"), ("race", "race"), ("ethn", "ethn"))), *_AN)
+ORACLES["training_prevalence_over_few"] = ORACLES["training_prevalence"] + " HAVING count(DISTINCT f.person_id) > 3"
+ORACLES["model_file"] = _sql('SELECT person_id, "window", TRUE AS same_score FROM tr', *_RO)
