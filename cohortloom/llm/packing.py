@@ -4,10 +4,12 @@ Class k holds pieces of which exactly k fit a sequence: lengths above capacity /
 capacity / k. A bin of class k is closed when it has k pieces, so a worker fills its bins without
 looking at lengths or at other workers. A document longer than the capacity gives whole sequences
 first. Its rest is cut so that each piece nearly fills the slot of its class: while a rest would
-leave more than `waste` of its slot empty, the longest reciprocal length below it is cut off.
+leave more than `waste` of its slot empty, the longest reciprocal length below it is cut off. Short
+rests are not cut; as many of them share a bin as fit.
 
-What a worker has left over (fewer than k pieces a class) is dealt by class and by 64 workers and
-packed the same way; only these last bins are short."""
+What a worker has left over (fewer than k pieces a class) is dealt by 64 workers and packed the same
+way; what then fills no bin of its class, less than one bin a class, shares bins with other classes,
+the longest first. Only these last bins are short."""
 
 from __future__ import annotations
 
@@ -25,13 +27,12 @@ WORKERS = 64  # workers whose leftovers are packed together
 
 
 def cut_lengths(length: int, capacity: int, waste: float = 1 / 32, smallest: int = 16) -> list[tuple[int, int]]:
-    """(piece length, class) of each piece of a document, in order. Rests up to `smallest` share
-    one class."""
+    """(piece length, class) of each piece of a document, in order. Rests up to `smallest` are not cut."""
     pieces = [(capacity, 1)] * (length // capacity)
     rest = length % capacity
     while rest:
         if rest <= smallest:
-            pieces.append((rest, capacity // min(smallest, capacity)))
+            pieces.append((rest, capacity // rest))
             break
         count = capacity // rest
         slot = capacity // count
@@ -45,9 +46,9 @@ def cut_lengths(length: int, capacity: int, waste: float = 1 / 32, smallest: int
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, waste: float = 1 / 32,
-         smallest: int = 16) -> DataFrame:
+         smallest: int = 16, with_ids: bool = True) -> DataFrame:
     """Pieces with their place: doc_id, start, length, doc_tokens, ids_crc32, ids (little-endian
-    bytes), sequence_id and offset. Every id of every document, the end id included, is in exactly
+    bytes, unless told otherwise), sequence_id and offset. Every id of every document, the end id included, is in exactly
     one piece; offsets in a sequence run gapless from 0.
 
     Null and empty text give the end id alone; repeated rows and null or equal doc_ids are packed
@@ -69,7 +70,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             for length, count in [(capacity, 1)] * (tokens // capacity) + rests[rest]:
                 ids = raw[start * width: (start + length) * width]
                 crc = zlib.crc32(np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes())
-                yield doc_id, start, length, tokens, crc, ids, count, worker
+                yield doc_id, start, length, tokens, crc, ids if with_ids else None, count, worker
                 start += length
 
     def fill(batches):
@@ -97,12 +98,27 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             yield as_batch(left)
 
     def fill_left(key, table):
-        rows = sorted((tuple(r[c] for c in PIECE_NAMES) for r in table.to_pylist()),
-                      key=lambda r: (r[7], r[0] is not None, r[0], r[1], r[4]))
-        count, group = key[0].as_py(), key[1].as_py()
+        classes: dict[int, list] = {}
+        for row in sorted((tuple(r[c] for c in PIECE_NAMES) for r in table.to_pylist()),
+                          key=lambda r: (r[7], r[0] is not None, r[0], r[1], r[4])):
+            classes.setdefault(row[6], []).append(row)
+        bins, rests = [], []
+        for count, rows in classes.items():
+            full = len(rows) // count * count
+            bins += [rows[i:i + count] for i in range(0, full, count)]
+            if rows[full:]:
+                rests.append(rows[full:])
+        shared: list[list] = []  # tokens left in the bin, its pieces
+        for rows in sorted(rests, key=lambda rows: (-sum(r[2] for r in rows), rows[0][6])):
+            size = sum(r[2] for r in rows)
+            fit = next((b for b in shared if b[0] >= size), None)
+            if fit is None:
+                shared.append(fit := [capacity, []])
+            fit[0] -= size
+            fit[1] += rows
         out = []
-        for n, i in enumerate(range(0, len(rows), count)):
-            out += placed(rows[i:i + count], 1 << 62 | count << 50 | group << 20 | n)
+        for n, rows in enumerate([*bins, *(b[1] for b in shared)]):
+            out += placed(rows, 1 << 62 | key[0].as_py() << 24 | n)
         import pyarrow as pa
 
         return pa.Table.from_batches([as_batch(out)])
@@ -110,8 +126,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     stored = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                                      F.col("text").cast("string").alias("text")).mapInArrow(fill, PLACED), "pieces")
     left = (stored.filter("sequence_id is null").withColumn("workers", F.expr(f"worker div {WORKERS}"))
-            .groupBy("class", "workers").applyInArrow(fill_left, PLACED))
-    return stored.filter("sequence_id is not null").unionByName(left).drop("class", "worker")
+            .groupBy("workers").applyInArrow(fill_left, PLACED))
+    packed = stored.filter("sequence_id is not null").unionByName(left).drop("class", "worker")
+    return packed if with_ids else packed.drop("ids")
 
 
 PIECE_NAMES = [c.split()[0] for c in PIECE.split(", ")]

@@ -36,8 +36,7 @@ def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.drop("ids")
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,17 @@ def test_packing_repeated_rows_and_empty_table(spark, tokenizer):
     assert packing.pack(documents(spark, []), PATH).collect() == []
 
 
+def test_little_padding_for_short_and_mixed_texts(spark):
+    """Sequences against the fewest that can hold the tokens; each worker's rests are shared in the end."""
+    rng = random.Random(9)
+    for texts, spare in ((["" for _ in range(3000)], 1), ([" a b c" for _ in range(3000)], 1), ([" a" * 11 for _ in range(3000)], 1),
+                         ([" a" * rng.randint(0, 900) for _ in range(1500)], 15)):
+        got = packing.pack(documents(spark, list(enumerate(texts))).repartition(4), PATH, with_ids=False)
+        assert "ids" not in got.columns
+        tokens, used = sum(r.length for r in got.collect()), len({r.sequence_id for r in got.collect()})
+        assert used <= -(-tokens // 1024) + spare + 0.02 * tokens / 1024, (tokens / 1024, used)
+
+
 def test_cut_lengths_fill_their_slots():
     for length in range(1, 3000):
         pieces = packing.cut_lengths(length, 1024)
