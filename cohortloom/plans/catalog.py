@@ -670,22 +670,33 @@ def model_file(st: StarTables) -> DataFrame:
             .select("person_id", "window", (F.col("model_score") == F.col("loaded_score")).alias("same_score")))
 
 
+AUC_BOUND = 0.9
+
+
 @query
 def gbt_scores(st: StarTables) -> DataFrame:
-    """Train on the training matrix, score every person and window; whether the score is a probability."""
-    r = rolling(st, "training_matrix", "scoring_matrix")
-    scores = r.scores(r.fit())
-    return scores.select("person_id", "window", F.col("model_score").between(0, 1).alias("is_probability"))
+    """Train the full model, score every person and window; whether the score is a probability and
+    whether the area under the training rows' ROC curve is over its bound."""
+    r = rolling(st, "training_matrix", "training_matrix", "scoring_matrix")
+    model = r.fit()
+    training = mo.model_scores(r.training_matrix, model).join(r.training_matrix.select("person_id", "window", "label"), ["person_id", "window"])
+    area = ev.roc_area(training).first()["auc"]
+    return r.scores(model).select("person_id", "window", F.col("model_score").between(0, 1).alias("is_probability"),
+                                  F.lit(area is not None and area > AUC_BOUND).alias("auc_over_bound"))
 
 
 @query
 def forest_importance(st: StarTables) -> DataFrame:
-    a = anchored(st, "matrix")
-    matrix = materialise(a.matrix(MATRIX_FEATURES, CATEGORIES), "matrix")
-    found = mo.feature_importance(mo.train_forest(matrix))
+    """The full forest's importances: none is negative, they sum to one, and a column that is the
+    same in all rows has none (null for the others)."""
+    a = anchored(st, "matrix", "matrix")
+    found = a.importances(MATRIX_FEATURES, CATEGORIES)
     total = found.agg(F.sum("importance")).scalar()
-    return found.select("feature", (F.col("importance") >= 0).alias("not_negative"),
-                        (F.abs(total - 1) < 1e-6).alias("sums_to_one"))
+    constant = a.matrix(MATRIX_FEATURES, CATEGORIES).agg(
+        *[(F.min(c).cast("double") == F.max(c).cast("double")).alias(c) for c in MATRIX_FEATURES]).unpivot([], MATRIX_FEATURES, "feature", "constant")
+    return found.join(constant, "feature").select(
+        "feature", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+        F.when(F.col("constant"), F.col("importance") == 0).alias("constant_has_none"))
 
 
 @query

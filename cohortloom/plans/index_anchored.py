@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from cohortloom.operators import cohort as co
 from cohortloom.operators import counts as ct
 from cohortloom.operators import features as ft
+from cohortloom import session
 from cohortloom.operators import hierarchy as hi
+from cohortloom.operators import models as mo
 from cohortloom.operators.first_dates import all_index_dates
 from cohortloom.operators.intervals import visits_with_episodes
 from cohortloom.plans.steps import Flow, step
@@ -109,3 +111,11 @@ class IndexAnchored(Flow):
         name = f"matrix-{hash((tuple(features), repr(categories))) & 0xFFFFFFFF:08x}"
         return self.keep(name, lambda: ft.align_columns(ft.feature_table(
             features, self.labelled(categories), self.med_flags, self.dx_final), features))
+
+    def importances(self, features: Iterable[str], categories: dict[str, list[str]] | None = None,
+                    stratum: str = "TRUE", **settings) -> DataFrame:
+        """Importances of a forest fitted on the matrix rows that meet a condition; flows that share steps share the fit."""
+        features = list(features)
+        rows = self.once(f"forest {stratum} {sorted(settings.items())} {features} {categories}", lambda: mo.feature_importance(
+            mo.train_forest(session.materialise(self.matrix(features, categories).filter(stratum), "forest_rows"), **settings)).collect())
+        return self.person.sparkSession.createDataFrame(rows, "feature string, importance double")

@@ -100,8 +100,9 @@ class RollingWindows(Flow):
         return ro.process_data_full(self.grid, self.visit_counts, ro.feature_ids(self.downselected), self.features)
 
     def fit(self, **settings) -> PipelineModel:
-        """Train on the rows that are not held out."""
-        return mo.train_boosted_trees(self.training_matrix.filter("not hold_for_val"), **settings)
+        """Train on the rows that are not held out; flows that share steps share the model."""
+        return self.once(f"model {sorted(settings.items())}", lambda: mo.train_boosted_trees(
+            self.training_matrix.filter("not hold_for_val"), **settings))
 
     def scores(self, model: PipelineModel) -> DataFrame:
         return mo.model_scores(self.scoring_matrix, model)

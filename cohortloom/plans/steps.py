@@ -63,6 +63,7 @@ class Shelf:
     files: dict[str, tuple]
     requests: Counter = field(default_factory=Counter)
     written: dict[str, DataFrame] = field(default_factory=dict)
+    made: dict[str, object] = field(default_factory=dict)
 
     def serves(self, other: Shelf) -> bool:
         return (self.kind is other.kind and self.settings == other.settings and self.files == other.files
@@ -120,6 +121,15 @@ class Flow:
         return shelf.written[name]
 
 
+    def once(self, name: str, make: Callable[[], object]) -> object:
+        """Something other than a table - a fitted model - that flows over the same inputs share."""
+        if self._shelf is None:
+            return make()
+        if name not in self._shelf.made:
+            self._shelf.made[name] = make()
+        return self._shelf.made[name]
+
+
 def step(make: Callable[[Flow], DataFrame]) -> cached_property:
     """A step of a flow: built once, kept by the flow's rules."""
 

@@ -722,11 +722,11 @@ ORACLES["table_one_tests"] = _sql(
         "SELECT count(*) AS k, sum(gn) AS n, sum(gn * (gm - grand) ** 2) AS ssb, sum(gss) AS ssw FROM ("
         f"SELECT theGroup, count({c}) AS gn, avg({c}) AS gm, var_pop({c}) * count({c}) AS gss FROM r_sum "
         f"WHERE {c} IS NOT NULL GROUP BY 1), (SELECT avg({c}) AS grand FROM r_sum))" for c in _SUMMARY_NUMBERS) + "))", *_RE)
-ORACLES["gbt_scores"] = _sql('SELECT person_id, "window", TRUE AS is_probability FROM grid', *_RO)
-ORACLES["forest_importance"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, TRUE AS not_negative, TRUE AS sums_to_one" for c in
-    ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male", *_GROUPS, *_TYPES, *_INGREDIENTS,
-     "total_pre_dx", "total_post_dx", "never_seen"])
+ORACLES["gbt_scores"] = _sql('SELECT person_id, "window", TRUE AS is_probability, TRUE AS auc_over_bound FROM grid', *_RO)
+ORACLES["forest_importance"] = _sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, TRUE AS not_negative, TRUE AS sums_to_one, CASE WHEN min({c}) = max({c}) THEN TRUE END AS constant_has_none FROM matrix"
+    for c in ["apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male", *_GROUPS, *_TYPES, *_INGREDIENTS,
+              "total_pre_dx", "total_post_dx", "never_seen"]), *_AN, _MATRIX)
 ORACLES["vocabulary_files"] = _sql("""SELECT anc AS ancestor_concept_id, des AS descendant_concept_id, lvl AS min_levels_of_separation,
     name AS concept_name, dom AS domain_id, voc AS vocabulary_id, cls AS concept_class_id, 'S' AS standard_concept
     FROM c_edge JOIN c_concept ON id = anc""")

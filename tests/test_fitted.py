@@ -2,38 +2,33 @@
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
+from cohortloom import session
 from cohortloom.operators import evaluation as ev
 from cohortloom.operators import models as mo
 from cohortloom.plans import catalog, fitted
+from cohortloom.plans.steps import lease
 
-
-class Stop(Exception):
-    pass
+FOLDER = "/root/testdata/sf0.001"
 
 
-def test_registered_queries_fit_full_models(spark, monkeypatch):
-    seen = []
+def test_registered_queries_fit_full_models_once(spark, monkeypatch):
+    """Settings of the fits are the full ones, and queries of one session share them."""
+    seen, fit = [], mo._fit
 
-    def fit(data, label, classifier):
+    def small(data, label, classifier):
         size = "maxIter" if classifier.hasParam("maxIter") else "numTrees"
         seen.append((classifier.getOrDefault(size), classifier.getOrDefault("maxDepth")))
-        raise Stop
-
-    monkeypatch.setattr(mo, "_fit", fit)
-    flow = type("Flow", (), {"fit": lambda self, **k: mo.train_boosted_trees(Rows(), **k), "scores": None})
-    matrix = type("Matrix", (), {"matrix": lambda self, *a: None})
-    Rows = type("Rows", (), {"count": lambda self: 1})
-    for module in (catalog, fitted):
-        monkeypatch.setattr(module, "materialise", lambda df, name: df)
-    monkeypatch.setattr(catalog, "rolling", lambda *a, **k: flow())
-    monkeypatch.setattr(catalog, "anchored", lambda *a, **k: matrix())
-    for name in ("gbt_scores", "gbt_model_scores", "forest_importance", "forest_model_importance"):
-        try:
-            entry.queries()[name](spark, "")
-        except Stop:
-            pass
-    assert seen == [(400, 12)] * 2 + [(1000, 15)] * 2
+        return fit(data, label, classifier.copy({classifier.getParam(size): 3, classifier.getParam("maxDepth"): 3}))
+
+    monkeypatch.setattr(mo, "_fit", small)
+    with lease(spark):
+        for name in ("gbt_scores", "gbt_model_scores", "forest_importance", "forest_model_importance", "top_fitted_features"):
+            assert entry.queries()[name](spark, FOLDER).count() > 0, name
+        assert catalog.anchored(catalog.StarTables(session.tune(spark), FOLDER), "matrix")._shelf.made
+    assert seen == [(400, 12), (1000, 15), (1000, 15), (1000, 15)]
 
 
 def test_whole_odds_against_the_parts(spark):
@@ -47,16 +42,27 @@ def test_whole_odds_against_the_parts(spark):
     names = ["person_id", "apprx_age", "op_post_visit_ratio", "ip_post_visit_ratio", "hospitalized", "sex_male", *groups, "long_covid"]
     matrix = spark.createDataFrame(rows, names).coalesce(2).cache()
     settings = {"n_estimators": 3, "max_depth": 3}
-    got = {(r.concept, r.subgroup): r.asDict() for r in fitted.whole_odds(matrix, **settings).collect()}
+    strata = {"total_imp": "TRUE", "hosp_imp": fitted.HOSPITAL, "nohosp_imp": fitted.OTHER}
+    parts = {c: mo.feature_importance(mo.train_forest(matrix.filter(where), **settings)) for c, where in strata.items()}
+    got = {(r.concept, r.subgroup): r.asDict() for r in fitted.whole_odds(matrix, list(parts.values())).collect()}
     doubles = fitted.ft.double_features(matrix, names[1:4])
     regression = {(r.concept, r.subgroup): r.asDict() for r in ev.logistic_odds(fitted.ft.regression_input(doubles)).collect()}
     assert regression.keys() <= got.keys() and len(got) == len(regression) + 26
     for key, want in regression.items():
         for c in catalog.ODDS_COLUMNS:
-            have = got[key][c]
-            assert (have is None) == (want[c] is None) and (have is None or abs(have - want[c]) < 1e-3 + 1e-6 * abs(want[c])), (key, c)
-    for column, part in (("total_imp", matrix), ("hosp_imp", matrix.filter("hospitalized = 1")),
-                         ("nohosp_imp", matrix.filter("hospitalized = 0"))):
-        want = {r.feature: r.importance for r in mo.feature_importance(mo.train_forest(part, **settings)).collect()}
+            assert got[key][c] == pytest.approx(want[c], abs=1e-3, rel=1e-6) if want[c] is not None else got[key][c] is None
+    for column, part in parts.items():
+        want = {r.feature: r.importance for r in part.collect()}
         for (concept, _), r in got.items():
-            assert abs(r[column] - want[concept]) < 1e-12
+            assert r[column] == pytest.approx(want.get(concept), abs=1e-12)
+
+
+def test_shared_importances_are_those_of_the_rows(spark):
+    """The flow's fit on a condition equals a fit on the filtered matrix."""
+    with lease(spark):
+        flow = catalog.anchored(catalog.StarTables(session.tune(spark), FOLDER), "matrix", "matrix")
+        settings = {"n_estimators": 2, "max_depth": 2}
+        got = {r.feature: r.importance for r in flow.importances(catalog.MATRIX_FEATURES, catalog.CATEGORIES, **settings).collect()}
+        matrix = session.materialise(flow.matrix(catalog.MATRIX_FEATURES, catalog.CATEGORIES), "again")
+        want = {r.feature: r.importance for r in mo.feature_importance(mo.train_forest(matrix, **settings)).collect()}
+    assert got.keys() == want.keys() and sum(got.values()) == pytest.approx(1)
