@@ -210,7 +210,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text contains no item, with the columns of documents; no row is shuffled."""
+    """The rows whose text contains no item, with the columns of documents; no row is shuffled.
+
+    Null and empty texts and texts without an item stay; repeated rows and rows without id are judged
+    by their text; extra columns are left behind; without items all rows stay; an empty table gives no row."""
     docs = docs.select(*document_columns(docs))
 
     def clean(packed):

@@ -202,7 +202,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row.
 
     Null and empty texts have no words and fail; repeated rows and null ids keep a row each; other
-    columns are left behind; empty labels certify nothing, so only the base rules count."""
+    columns are left behind; empty labels certify nothing, so only the base rules count; an empty table
+    gives no row. What the base rules turn away is outside the guarantee on good texts, which holds for
+    the certified cutoffs."""
     rows = materialise(measure(with_lang(docs), ["doc_id", "lang"]), "measures")
     return verdict(rows, certified_cuts(rows, labels)).drop("lang", "scores")
 
@@ -210,7 +212,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with the columns of documents.
 
-    Texts are measured twice, once for the cuts and once to decide, so that they are not shuffled."""
+    Texts are measured twice, once for the cuts and once to decide, so that they are not shuffled.
+    Null and empty texts go; repeated rows are judged alike; extra columns are left behind; an empty
+    table gives no row."""
     docs = with_lang(docs)
     columns = document_columns(docs)
     cuts = certified_cuts(materialise(measure(docs, ["doc_id", "lang"]), "measures"), labels)

@@ -110,7 +110,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     and position). `key` is xxhash64 of the text.
 
     Null, empty and short texts have none. Rows with equal doc_id and text are one text; rows with
-    equal doc_id and different texts are different ones. Passages repeated within a text count."""
+    equal doc_id and different texts are different ones. Passages repeated within a text count, and
+    very long texts are searched whole. Extra columns are left behind; an empty table gives no row."""
     texts = keyed(docs)
 
     def keep(batches):
@@ -194,7 +195,8 @@ def merged(name: str):
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with the columns of documents, the `later` spans cut out of their texts
     (n_chars is set to the new length); what is left of a text is otherwise unchanged. A text of
-    which no word is left goes; texts that had none before stay."""
+    which no word is left goes; texts that had none before stay, null and empty ones included. Extra
+    columns are left behind; an empty table gives no row."""
     docs = docs.select(*document_columns(docs))
     spans = materialise(repeated_spans(docs), "spans").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
                                                               F.col("later").alias("_cut"))

@@ -84,7 +84,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     (shard, file, n_docs, n_ids), shard numbers ascending with doc_id.
 
     Null text counts as empty; a null doc_id sorts first; rows with equal doc_id follow one
-    another, ordered by text; repeated rows are all written; an empty table gives no shard."""
+    another, ordered by text; repeated rows are all written; extra columns are left behind; an empty
+    table gives no shard."""
     folder = folder or new_folder(docs.sparkSession, "token-shards")
     tie = F.xxhash64("text")
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

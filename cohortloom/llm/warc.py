@@ -29,12 +29,16 @@ def mark_revisits(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
 
     Among rows with equal payloads of at least `least` bytes those with the smallest page_id are
     responses (repeated rows of that id all are), the others refer to it. A null page_id counts as
-    larger than any; a group of null ids only has responses. Null html is an empty payload."""
+    larger than any; a group of null ids only has responses. Null html is an empty payload. Very long
+    pages are rows like any other; extra columns are left behind; an empty table gives no row.
+
+    The repeated digests are stored first, so that adaptive execution can split the join where one
+    payload makes up a large share of the pages."""
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
-    groups = (rows.filter(F.octet_length("payload") >= least).groupBy("payload_digest")
-              .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    groups = materialise(rows.filter(F.octet_length("payload") >= least).groupBy("payload_digest")
+                         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "digests")
     return (rows.join(groups, "payload_digest", "left")
             .withColumn("refers_to", F.expr("case when page_id is null or page_id > first_id then first_id end"))
             .drop("first_id"))

@@ -84,3 +84,29 @@ def test_gaps_are_logged_with_a_reason():
     assert [(f[0], f[1], f[2]) for f in found] == [("gap", 0, len(good) - 300), ("record", len(good) - 300, len(good)),
                                                    ("gap", 2 * len(good) - 300, 4)]
     assert found[0][3] and list(warc.salvage_archive(Source(b""))) == []
+
+
+def test_one_payload_on_a_third_of_the_pages_is_split(spark):
+    """The rows of a hot digest are dealt to several tasks, and every record is right."""
+    import random
+
+    rng = random.Random(12)
+    noise = lambda n: "".join(chr(rng.randrange(33, 1000)) for _ in range(n))
+    hot = noise(1500)
+    pages = [(i, f"http://x/{i}", hot if i % 3 == 0 else noise(600)) for i in range(3000)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        marked = warc.mark_revisits(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4))
+        got = {r.page_id: r.refers_to for r in marked.select("page_id", "refers_to", "payload").collect()}
+        assert got == {i: 0 if i % 3 == 0 and i else None for i, *_ in pages}
+        fresh = marked.select("page_id", "payload", "refers_to")
+        fresh.collect()
+        assert "skew=true" in fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
