@@ -66,11 +66,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             rest = tokens % capacity
             if rest not in rests:
                 rests[rest] = cut_lengths(rest, capacity, waste, smallest)
-            start = 0
+            start, wide = 0, memoryview(np.frombuffer(raw, encoder.dtype).astype("<u4").tobytes())
             for length, count in [(capacity, 1)] * (tokens // capacity) + rests[rest]:
-                ids = raw[start * width: (start + length) * width]
-                crc = zlib.crc32(np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes())
-                yield doc_id, start, length, tokens, crc, ids if with_ids else None, count, worker
+                crc = zlib.crc32(wide[4 * start: 4 * (start + length)])
+                ids = raw[start * width: (start + length) * width] if with_ids else None
+                yield doc_id, start, length, tokens, crc, ids, count, worker
                 start += length
 
     def fill(batches):
