@@ -62,7 +62,7 @@ class Shelf:
     frames: dict[str, DataFrame]
     files: dict[str, tuple]
     requests: Counter = field(default_factory=Counter)
-    written: dict[str, DataFrame] = field(default_factory=dict)
+    written: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)  # path and table
     made: dict[str, object] = field(default_factory=dict)
 
     def serves(self, other: Shelf) -> bool:
@@ -113,12 +113,17 @@ class Flow:
             return make()
         shelf = self._shelf
         shelf.requests[name] += max(1, self._readers[name])
-        if name not in shelf.written:
-            df = make()
-            if shelf.requests[name] < ENOUGH:
-                return df
-            shelf.written[name] = session.materialise(df, name)
-        return shelf.written[name]
+        if name in shelf.written and session.is_there(self._spark(), shelf.written[name][0]):
+            return shelf.written[name][1]
+        df = make()
+        if shelf.requests[name] < ENOUGH:
+            return df
+        path = session.write_step(df, name)
+        shelf.written[name] = path, df.sparkSession.read.schema(df.schema).parquet(path)
+        return shelf.written[name][1]
+
+    def _spark(self) -> SparkSession:
+        return next(iter(self._shelf.frames.values())).sparkSession
 
 
     def once(self, name: str, make: Callable[[], object]) -> object:

@@ -80,15 +80,26 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_step(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
+    """Write a step to the shared folder; its path."""
+    path = remember(f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a written step still exists; the shared folder may be cleaned up by others."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back.
 
     The result has no lineage, so a lost executor costs a re-read and several consumers
     do not recompute the step."""
-    spark = df.sparkSession
-    path = remember(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_step(df, name, partition_by))

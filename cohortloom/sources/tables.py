@@ -30,13 +30,6 @@ def store_table(df: DataFrame, name: str, folder: str | None = None,
     return df.sparkSession.read.parquet(path)
 
 
-def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
-    """Store a fact table bucketed and sorted by its join key, so that later joins and
-    aggregates on the key start without a shuffle."""
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def read_concepts_csv(spark: SparkSession, path: str, **constants: str) -> DataFrame:
     """Vocabulary file; columns left out of it to save room are added as constants."""
     wanted = TABLES["concept"]
