@@ -87,8 +87,8 @@ class TextEncoder:
         self.starts = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.starts[i] = token.startswith("\u0120")
-        self.kept: dict[str, bytes | None] = {}  # None: the text must be encoded as a whole
-        self.older: dict[str, bytes | None] = {}
+        self.kept: dict[str, bytes | bool] = {}  # False: the text must be encoded as a whole
+        self.older: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
 
     @classmethod
@@ -123,7 +123,7 @@ class TextEncoder:
         for piece in pieces - again:
             word = piece.rstrip(".,;:!?")
             if not piece or piece[-1].isspace():
-                kept[piece] = None
+                kept[piece] = False
             elif word != piece and word and word[-1].isalpha():
                 marked.append((piece, word, piece[len(word):]))
                 words.add(word)
@@ -153,10 +153,19 @@ class TextEncoder:
         parts = [t.split(" ") for t in texts]
         if len(self.kept) > self.MAX_KEPT:
             self.kept, self.older = {}, self.kept
-        self._learn(set().union(*(p[1:] for p in parts)) - self.kept.keys())
-        look_up = self.kept.__getitem__
-        for text, part, head in zip(texts, parts, self._plain([p[0] for p in parts])):
+        # One look per piece; the few that are new are learned together and looked up again.
+        get, found, new = self.kept.get, [], set()
+        for part in parts:
+            values = list(map(get, part))
+            values[0] = b""
+            found.append(values)
+            if None in values:
+                new.update(p for p, v in zip(part, values) if v is None)
+        self._learn(new)
+        for text, part, values, head in zip(texts, parts, found, self._plain([p[0] for p in parts])):
+            if None in values:
+                values = [self.kept[p] if v is None else v for p, v in zip(part, values)]
             try:
-                yield head + b"".join(map(look_up, part[1:]))
+                yield head + b"".join(values)
             except TypeError:  # a piece that joins with the next
                 yield self._plain([text])[0]
