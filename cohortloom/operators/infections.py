@@ -124,7 +124,7 @@ def repeat_labels(conditions: DataFrame, grid: DataFrame, observations: DataFram
         labelled = out.withColumn("label", (visits >= 2) | (u09 >= 2)).withColumn(
             "label_date", F.when(visits >= 2, F.col("TRAIN_min_lc_clinic_date")).otherwise(F.col("min_u09_date")))
     else:
-        out = per_person.join(grid, "person_id", "left_semi")
+        out = per_person.join(grid.select("person_id").distinct(), "person_id", "left_semi")
         labelled = out.withColumn("label", (u09 >= 2) | (b948 >= 2) | (visits >= 2)).withColumn(
             "label_date", F.least(F.when(u09 >= 2, F.col("min_u09_date")), F.when(b948 >= 2, F.col("min_b948_date")),
                                   F.when(visits >= 2, F.col("TRAIN_min_lc_clinic_date"))))

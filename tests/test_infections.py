@@ -5,6 +5,7 @@ from conftest import day, plus, rows
 from cohortloom.operators import infections as inf
 from cohortloom.operators import rolling as ro
 from cohortloom.operators import windows as wi
+from cohortloom.session import materialise
 
 FLAGS = ("PCR_AG_Pos LL_COVID_diagnosis PAX1_NIRMATRELVIR PAX2_RITONAVIR PAXLOVID REMDISIVIR "
          "LL_Long_COVID_diagnosis B94_8 LL_MISC").split()
@@ -106,3 +107,12 @@ def test_window_visit_counts(spark):
         "visit_occurrence_id long, person_id long, visit_start_date date, likely_hospitalization int")
     b = spark.createDataFrame([(1, plus(15), plus(25))], "person_id long, blackout_begin date, blackout_end date")
     assert rows(ro.post_visit_counts_in_windows(grid, b, v, w)) == [(1, 0, 2, 2), (1, 1, 1, 2), (2, 0, 0, 0)]
+
+
+def test_a_long_grid_does_not_pass_as_small(spark):
+    """A stored grid of five million rows is a few megabytes as a file; it must not be broadcast for that."""
+    grid = materialise(spark.range(100_000).selectExpr("id AS person_id", "explode(sequence(0, 52)) AS window"), "grid")
+    conditions = spark.createDataFrame([(1, 705076, plus(0))], "person_id long, condition_concept_id long, condition_start_date date")
+    observations = spark.createDataFrame([(1, 2004207791, plus(0))], "person_id long, observation_concept_id long, observation_date date")
+    plan = inf.repeat_labels(conditions, grid, observations)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
