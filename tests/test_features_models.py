@@ -278,3 +278,12 @@ def test_a_value_of_the_data_gets_its_column(spark):
     wide = ft.add_labels(persons, none)
     assert {"sex_male", "sex_unknown", "race_a_b", "race_new", "ethn_e"} <= set(wide.columns)
     assert rows(wide, "person_id", "sex_male", "sex_unknown", "race_a_b", "race_new") == [(1, 1, 0, 1, 0), (2, 0, 1, 0, 1), (3, 0, 0, 0, 0)]
+
+
+def test_rows_of_a_fit_fill_their_tasks(spark):
+    """A boosted tree's few rows lie in one task, a large forest's in several; all rows are there."""
+    data = spark.range(3000, numPartitions=12).selectExpr("id AS person_id", "id % 2 AS label")
+    rows, n = mo.rows_of_fit(data, 1)
+    assert n == 3000 and rows.rdd.getNumPartitions() == 1 and rows.distinct().count() == 3000
+    rows, _ = mo.rows_of_fit(data, 100)
+    assert rows.rdd.getNumPartitions() == 3 and rows.distinct().count() == 3000
