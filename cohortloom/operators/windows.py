@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.constants import POST_WINDOW_DAYS, PRE_WINDOW_DAYS, RESEARCH_POST_DAYS
 
+GRID_ROWS_A_TASK = 1_000_000  # of the person-by-window grid, about; a sort of so many takes some 100 MB
+
 
 def calendar_windows(spark: SparkSession, start: tuple[int, int], end: tuple[int, int],
                      length: int = 100) -> DataFrame:
@@ -34,9 +36,12 @@ def person_window_grid(persons: DataFrame, index: DataFrame, windows: DataFrame,
 
     A person is laid out by the years of that age, one row each, and meets the windows that
     start in the year: an equi-join with a small table and no bound on the number of windows.
+    Persons are dealt to so many tasks that none lays out more than about GRID_ROWS_A_TASK rows: by
+    their own size, before they are laid out, a task could hold millions of them.
 
     -> person_id, sex, window, window_age"""
-    people = persons.join(index.select("person_id").distinct(), "person_id", "left_semi")
+    tasks = max(1, -(-persons.count() * windows.count() // GRID_ROWS_A_TASK))
+    people = persons.join(index.select("person_id").distinct(), "person_id", "left_semi").repartition(tasks, "person_id")
     born = F.col("year_of_birth")
     years = people.filter(F.lit(max_age > min_age)).select(
         "person_id", F.col("gender_concept_name").alias("sex"), "year_of_birth",

@@ -1,6 +1,7 @@
 import random
 
 from conftest import day, plus, rows
+from pyspark.sql import functions as F
 
 from cohortloom.operators import infections as inf
 from cohortloom.operators import rolling as ro
@@ -72,6 +73,18 @@ def test_calendar_and_grid(spark):
     assert wi.person_window_grid(p, idx, w, min_age=50, max_age=50).count() == 0
 
 
+def test_grid_is_laid_out_by_as_many_tasks_as_its_rows_fill(spark, monkeypatch):
+    monkeypatch.setattr(wi, "GRID_ROWS_A_TASK", 500)
+    w = wi.calendar_windows(spark, (2020, 1), (2024, 1))
+    p = spark.range(100).selectExpr("id AS person_id", "1980 AS year_of_birth", "'F' AS gender_concept_name")
+    grid = wi.person_window_grid(p, p.select("person_id"), w)
+    sizes = [r.n for r in grid.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert grid.rdd.getNumPartitions() == -(-100 * 48 // 500) and sum(sizes) == 100 * 48 and max(sizes) <= 4 * 500
+    # What is worked out person by person needs no further shuffle of the grid.
+    plan = grid.groupBy("person_id").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") == 1
+
+
 def _labels(spark, compat):
     grid = spark.createDataFrame([(p, w) for p in range(1, 7) for w in (0, 1)], "person_id long, window int")
     c = spark.createDataFrame([
