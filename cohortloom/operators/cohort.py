@@ -11,6 +11,7 @@ from cohortloom.constants import (
 from cohortloom.functions.columns import approximate_age
 from cohortloom.operators.first_dates import is_acute_dx
 from cohortloom.operators.intervals import episodes_of
+from cohortloom.operators.joins import stored_join
 from cohortloom.operators.windows import clinic_ended_windows, pre_post_windows
 
 COMORBIDITIES = ("diabetes_ind", "kidney_ind", "CHF_ind", "ChronicPulm_ind")
@@ -62,8 +63,9 @@ def hospital_persons(cohort: DataFrame, visit_map: DataFrame, conditions: DataFr
 
 
 def hospitalised_cases(cohort: DataFrame, visit_map: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Cohort rows that meet either hospital rule."""
-    return cohort.join(hospital_persons(cohort, visit_map, conditions), "person_id", "left_semi")
+    """Cohort rows that meet either hospital rule. The persons are stored first, so that the sorts of the rules
+    and those of the cohort are not held by one task at the same time."""
+    return stored_join(cohort, hospital_persons(cohort, visit_map, conditions), how="left_semi")
 
 
 def non_hospitalised_cases(cohort: DataFrame, hospitalised: DataFrame) -> DataFrame:
@@ -71,9 +73,9 @@ def non_hospitalised_cases(cohort: DataFrame, hospitalised: DataFrame) -> DataFr
 
 
 def with_hospital_group(cohort: DataFrame, visit_map: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Add patient_group: CASE_HOSP where a hospital rule is met, else CASE_NONHOSP."""
+    """Add patient_group: CASE_HOSP where a hospital rule is met, else CASE_NONHOSP. Stored as in `hospitalised_cases`."""
     cases = hospital_persons(cohort, visit_map, conditions).withColumn("_hosp", F.lit(True))
-    return (cohort.join(cases, "person_id", "left")
+    return (stored_join(cohort, cases, how="left")
             .withColumn("patient_group", F.when(F.col("_hosp"), "CASE_HOSP").otherwise("CASE_NONHOSP"))
             .drop("_hosp"))
 

@@ -192,10 +192,10 @@ def grouped_cohort(st: StarTables) -> DataFrame:
 
 @query
 def case_split(st: StarTables) -> DataFrame:
-    """Hospitalised and other cases as two disjoint sets."""
+    """Hospitalised and other cases as two disjoint sets. Both are read more than once, so they are stored."""
     a = anchored(st, "index_dates", "visit_map")
-    base = co.collect_cohort(a.index_dates, a.person, a.manifest, a.death)
-    hosp = co.hospitalised_cases(base, a.visit_map, a.conditions)
+    base = materialise(co.collect_cohort(a.index_dates, a.person, a.manifest, a.death), "base")
+    hosp = materialise(co.hospitalised_cases(base, a.visit_map, a.conditions), "hosp")
     other = co.non_hospitalised_cases(base, hosp)
     return (hosp.select("person_id", F.lit("hosp").alias("part"))
             .unionByName(other.select("person_id", F.lit("nonhosp").alias("part"))))

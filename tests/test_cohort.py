@@ -54,6 +54,26 @@ def test_hospital_group_edges(spark):
     assert [r[0] for r in rows(co.non_hospitalised_cases(cohort, hosp), "person_id")] == [2, 5]
 
 
+def test_hospital_persons_are_stored_before_the_cohort_meets_them(spark):
+    """Otherwise one task holds the sorts of both rules beside those of the cohort."""
+    cohort = spark.range(50).selectExpr("id AS person_id", "date'2021-01-10' AS min_covid_dt")
+    v = spark.range(90).selectExpr("id % 45 AS person_id", "id AS visit_occurrence_id", "if(id % 3 = 0, 'e', null) AS macrovisit_id",
+                                   "date'2021-01-01' + cast(id AS int) AS macrovisit_start_date")
+    c = spark.range(90).selectExpr("id AS visit_occurrence_id", "37311061L AS condition_concept_id", "'x' AS condition_concept_name")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cases = co.hospitalised_cases(cohort, v, c)
+        grouped = co.with_hospital_group(cohort, v, c)
+        for df in (cases, grouped):
+            assert df._jdf.queryExecution().executedPlan().toString().count("Sort ") == 2
+        want = rows(co.hospital_persons(cohort, v, c).filter("person_id < 50"), "person_id")
+        assert rows(cases, "person_id") == want == rows(grouped.filter("patient_group = 'CASE_HOSP'"), "person_id")
+        assert 0 < len(want) < grouped.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_windows(spark):
     c = spark.createDataFrame([(1, plus(0), plus(400), None), (2, plus(0), plus(200), plus(30)), (3, plus(0), plus(300), plus(100))],
                               "person_id long, min_covid_dt date, run_date date, first_LC_clin_dt date")
