@@ -41,7 +41,8 @@ BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 SEED = 20240501
 TRAIN_BIT = 1 << 15
-CHUNK_TOKENS = 800_000  # of a stored chunk, about; bounds what a task lays out for its draws and scores
+CHUNK_TOKENS = 800_000  # of a stored chunk, about
+WORK_TOKENS = 150_000  # of a chunk that a task lays out at once, about
 HELD_WORDS = 200_000  # counted at once in a task
 SLICE_BYTES = 12_000_000  # of text laid out at once in a task
 BATCH = 1 << 16  # documents numbered together; a document's key is its batch's number and its place there
@@ -349,8 +350,9 @@ class Seating:
 class Chunk:
     """Tokens sorted by word and context, with the dishes of the training tokens among them."""
 
-    def __init__(self, payload: bytes):
-        starts, before, self.doc, keys = unpack(payload)
+    def __init__(self, starts: np.ndarray, before: np.ndarray, doc: np.ndarray, keys: np.ndarray):
+        """starts: where each word begins; keys: the hashes of the words."""
+        self.doc = doc
         train = before >= TRAIN_BIT
         self.context = (before & np.uint16(TRAIN_BIT - 1)).astype(np.int32)
         flags = np.zeros(len(before), np.int32)
@@ -368,6 +370,17 @@ class Chunk:
         self.counts = np.bincount(self.word[train], minlength=self.words)
 
 
+def parts_of(payload: bytes):
+    """A stored chunk in parts of whole words, laid out one after the other. Words do not depend on each
+    other within a sweep, so parts change neither draws nor scores."""
+    starts, before, doc, keys = unpack(payload)
+    wanted = np.searchsorted(starts, np.arange(WORK_TOKENS, len(before), WORK_TOKENS))
+    cuts = sorted({0, *wanted[wanted < len(starts)].tolist(), len(starts)})
+    ends = [*starts[cuts[:-1]].tolist(), len(before)]
+    for a, b, i, j in zip(cuts, cuts[1:], ends, ends[1:]):
+        yield Chunk(starts[a:b] - np.uint32(i), before[i:j], doc[i:j], keys[a:b])
+
+
 def replay(seating: Seating, model: Model) -> None:
     """All sweeps so far, in turn."""
     for n, totals in enumerate(model.sweeps):
@@ -381,7 +394,7 @@ def counted(word_counts: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
 
 
 def summed(chunks: DataFrame, values) -> np.ndarray:
-    """The sum over all chunks of `values(name, chunk)`, an array whose size does not depend on
+    """The sum over all parts of chunks of `values(chunk)`, an array whose size does not depend on
     the data; pre-aggregated in the tasks."""
 
     def run(batches):
@@ -389,13 +402,14 @@ def summed(chunks: DataFrame, values) -> np.ndarray:
 
         total = 0.0
         for batch in batches:
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total = total + values(name, Chunk(payload.as_py()))
+            for payload in batch.column(0):
+                for chunk in parts_of(payload.as_py()):
+                    total = total + values(chunk)
         if isinstance(total, np.ndarray):
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], ["i", "x"])
 
-    rows = chunks.select("chunk", "payload").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    rows = chunks.select("payload").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(2 * CONTEXTS + 8)
     for r in rows:
         out[r["i"]] = r["x"]
@@ -450,7 +464,7 @@ def score_documents(docs: DataFrame, hot: int | None = None) -> DataFrame:
     hot_seating = Seating(keys, at // CONTEXTS, at % CONTEXTS, cells[at])
     hot_by_word = cells.reshape(len(words), CONTEXTS).sum(axis=1)
 
-    def first_totals(name, chunk):
+    def first_totals(chunk):
         s = chunk.seating
         return np.concatenate([s.totals()[0], np.bincount(s.context, s.customers, minlength=CONTEXTS), [s.totals()[1]],
                                counted(chunk.counts, s.customers), [0, 0]])
@@ -464,7 +478,7 @@ def score_documents(docs: DataFrame, hot: int | None = None) -> DataFrame:
     model = Model(customers, int(customers.sum()), int(v), discount(pair_one, pair_two), discount(one, two))
     model.sweeps.append(Totals(found[:CONTEXTS] + tables, found[2 * CONTEXTS] + seats))
 
-    def next_totals(name, chunk, model=model):
+    def next_totals(chunk, model=model):
         replay(chunk.seating, model)
         return np.concatenate([chunk.seating.totals()[0], np.zeros(CONTEXTS), [chunk.seating.totals()[1]], np.zeros(7)])
 
@@ -518,11 +532,12 @@ def scores(dealt, chunks, model: Model, cells, at, keys, hot_by_word) -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk = Chunk(payload.as_py())
-                logs = averaged(chunk.seating, model, chunk.word, chunk.context, chunk.pair)
-                doc, score, base, known = by_document(chunk.doc.astype(np.int64), logs, np.log10(chunk.counts + 1.0)[chunk.word],
-                                                      (chunk.counts > 0)[chunk.word])
+            for payload in batch.column(0):
+                laid = [(chunk.doc.astype(np.int64), averaged(chunk.seating, model, chunk.word, chunk.context, chunk.pair),
+                         np.log10(chunk.counts + 1.0)[chunk.word], (chunk.counts > 0)[chunk.word])
+                        for chunk in parts_of(payload.as_py())]
+                doc, score, base, known = by_document(*map(np.concatenate, zip(*laid)))
+                del laid
                 owner = doc // BATCH
                 cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist() + [len(doc)]
                 out = [(int(owner[a]), pack_sums(doc[a:b] % BATCH, score[a:b], base[a:b], known[a:b]))
@@ -531,7 +546,7 @@ def scores(dealt, chunks, model: Model, cells, at, keys, hot_by_word) -> DataFra
                                                  ["number", "payload"])
 
     parts = (dealt.filter("bucket = -1").select("number", "payload").mapInArrow(hot_part, part)
-             .unionByName(chunks.select("chunk", "payload").mapInArrow(other_part, part)))
+             .unionByName(chunks.select("payload").mapInArrow(other_part, part)))
     rows = (dealt.filter("bucket = -2").select("number", "payload", "doc_ids", "sizes", "train")
             .unionByName(parts, allowMissingColumns=True))
     n, v = model.n, model.v
@@ -541,9 +556,7 @@ def scores(dealt, chunks, model: Model, cells, at, keys, hot_by_word) -> DataFra
     def finish(key, table):
         import pyarrow as pa
 
-        for r in table.to_pylist():
-            if r["sizes"] is not None:
-                head = r
+        head = table.filter(table.column("sizes").is_valid()).select(["doc_ids", "sizes", "train"]).to_pylist()[-1]
         sizes = np.array(head["sizes"], np.int64)
         total = np.zeros((3, len(sizes)))
         for payload in table.column("payload"):

@@ -142,3 +142,26 @@ def test_contexts_depend_on_the_texts_alone(spark):
     counts = Counter(w for _, t in rows for w in L.tokens(t))
     want = [w for w, n in sorted(counts.items(), key=lambda c: (-c[1], c[0])) if 512 * n >= counts.total() and w != L.END]
     assert b"gathered" in want and lists == {(L.END, *want)}
+
+
+def test_parts_of_a_chunk_hold_whole_words_and_few_tokens(monkeypatch):
+    rng = np.random.default_rng(18)
+    sizes = rng.integers(1, 40, 300)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint32)
+    before = np.concatenate([np.sort(rng.integers(0, 6, n)) for n in sizes]).astype(np.uint16)
+    before[rng.random(len(before)) < 0.8] |= np.uint16(L.TRAIN_BIT)
+    doc, keys = rng.integers(0, 90, len(before)).astype(np.uint32), rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    payload = L.pack(starts, before, doc, keys)
+
+    def scored():
+        parts = list(L.parts_of(payload))
+        model = L.Model(np.full(L.CONTEXTS, 700.0), int(sizes.sum()), 300, 0.6, 0.5)
+        model.sweeps = [L.Totals(np.full(L.CONTEXTS, 90.0 + n), 300.0) for n in range(L.BURN_IN + L.SAMPLES + 1)]
+        logs = [L.averaged(c.seating, model, c.word, c.context, c.pair) for c in parts]
+        return [len(c.doc) for c in parts], sum(c.words for c in parts), np.concatenate([c.doc for c in parts]), np.concatenate(logs)
+
+    whole = scored()
+    monkeypatch.setattr(L, "WORK_TOKENS", 500)
+    cut = scored()
+    assert len(whole[0]) == 1 and len(cut[0]) > 5 and max(cut[0]) < 500 + 40 and whole[1] == cut[1] == 300
+    assert (whole[2] == doc).all() and (cut[2] == doc).all() and (whole[3] == cut[3]).all()
