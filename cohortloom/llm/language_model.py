@@ -1,21 +1,24 @@
 """A hierarchical Pitman-Yor language model and its scores for whole texts.
 
-A token is seated in the restaurant of its context (the previous word if that is one of the most
-frequent, else the ending of the previous word, or the start of the text); every table of a context
-restaurant is a customer of the one parent they share, the restaurant of words without context,
-whose own base is uniform over the vocabulary and one unknown word. Gibbs sweeps seat all customers
-of a dish anew, given the tables everywhere else; the predictive probabilities of the sweeps after
-the first ones are averaged. Of the seating only the number of tables of each dish in each
-restaurant matters, so that is what is drawn.
-
-How the work is laid out: words are 64-bit hashes. Hot words (every word with 1 / (2 * hot) of all
-tokens or more, so that there are at most 2 * hot of them; no part of the model) are counted where they stand and their
-restaurants are kept as one bounded table. The tokens of all other words, none of which can fill a
-task, are dealt by word, sorted once and stored; a sweep is then a pass over the stored chunks
-without any shuffle, from which only totals per context come back. Draws are hashes of the
-word, its context and the sweep, so the seating of a sweep can be worked out again from the totals of
-the sweeps before it; nothing has to be kept in between, a lost task is simply repeated, and neither
-partitions nor the list of hot words change a draw."""
+A token is seated in the restaurant of the word before it; every word has one, and so has the start
+of a text. Every table there is a customer of the restaurant of the word's class (a class of its own
+for the most frequent words, else the ending of the word), every table of a class a customer of the
+one restaurant of words without context, whose own base is uniform over the vocabulary and one
+unknown word. Gibbs sweeps seat all customers of a dish anew, given the tables everywhere else; the
+predictive probabilities of the sweeps after the first ones are averaged. Of the seating only the
+number of tables of each dish in each restaurant matters, so that is what is drawn.
+
+How the work is laid out: words are 64-bit hashes. Each batch of documents is stored once as places
+in its own list of words; the distinct pairs of a word and the word before it are dealt by the word.
+Hot words (every word with 1 / (2 * hot) of all tokens or more, so that there are at most 2 * hot of
+them; no part of the model) have their pairs dealt by the word before, and their dishes in the
+classes are one bounded table. A bucket holds the pairs of its words and, as words before others,
+the tables of their restaurants. A sweep sends the tables drawn to the buckets of the words before,
+and their sums back; only pairs seen twice or more take part, as one customer has one table. What
+comes back to the driver are totals per class and of hot words. At last each batch gets back, for its words
+and pairs, the counts and tables that their probabilities consist of. Draws are hashes of the word,
+the word before and the sweep, so a lost task is simply repeated, and neither partitions nor the
+list of hot words change a draw."""
 
 from __future__ import annotations
 
@@ -34,20 +37,20 @@ from cohortloom.session import materialise
 HELD_OUT = 2  # the remainder of crc32(doc_id) by FOLDS that is not learned from
 FOLDS = 7
 HOT = 256
-CONTEXT_WORDS = 384  # frequent words with a restaurant of their own
+CONTEXT_WORDS = 384  # frequent words with a class of their own
 CONTEXT_SHARE = 1 / 512  # of the training tokens, that such a word has at least
-ENDINGS = 512  # restaurants of word endings
+ENDINGS = 512  # classes of word endings
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 SEED = 20240501
 TRAIN_BIT = 1 << 15
-CHUNK_TOKENS = 800_000  # of a stored chunk, about
-WORK_TOKENS = 150_000  # of a chunk that a task lays out at once, about
+WORK_TOKENS = 150_000  # dishes of a bucket that a task lays out at once, about
 HELD_WORDS = 200_000  # counted at once in a task
-SLICE_BYTES = 12_000_000  # of text laid out at once in a task
-BATCH = 1 << 16  # documents numbered together; a document's key is its batch's number and its place there
-STEPS_A_UNIT = float(1 << 26)
+SLICE_BYTES = 5_000_000  # of text laid out at once in a task
+BATCH = 1 << 16  # documents laid out together, at most
+BUCKET_BYTES = 12_000_000  # of text whose pairs share a bucket, about
 END = b" "  # the end token; no word can be a space
+START = 0  # stands for the hash of the word before the first one
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -127,7 +130,7 @@ def is_train(doc_id: int | None) -> bool:
 def hot_words(docs: DataFrame, hot: int) -> tuple[list[bytes], list[bytes]]:
     """Two lists of words by falling frequency, both with the end token first, from exact counts of
     the training tokens: hot words, those with a share of 1 / (2 * hot) or more, and the words with a
-    context of their own, at most CONTEXT_WORDS with a share of CONTEXT_SHARE or more. The second
+    class of their own, at most CONTEXT_WORDS with a share of CONTEXT_SHARE or more. The second
     depends on the texts alone."""
 
     def report(batches):
@@ -159,7 +162,7 @@ def hot_words(docs: DataFrame, hot: int) -> tuple[list[bytes], list[bytes]]:
 
 
 def context_of(word: bytes, rank: int | None) -> int:
-    """Contexts: 0 the start, then frequent words, then endings."""
+    """The class of a word as the one before another: 0 the start, then frequent words, then endings."""
     import xxhash
 
     if rank is not None and rank < CONTEXT_WORDS:
@@ -168,12 +171,76 @@ def context_of(word: bytes, rank: int | None) -> int:
 
 
 CONTEXTS = 1 + CONTEXT_WORDS + ENDINGS
-TOKENS = "batch long, bucket int, doc_ids array<long>, sizes array<long>, train array<boolean>, payload binary"
+CONTEXTS = 1 + CONTEXT_WORDS + ENDINGS
+TOKENS = "batch long, bucket int, payload binary"
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """A step written to the shared folder; what was shuffled for it goes once it is written."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return materialise(df, name, partition_by)
+    finally:
+        spark.conf.set(key, before)
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from zero in the smallest kind that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Rising whole numbers as the first and the steps between them."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = x.astype(np.uint64)
+    return x.astype(np.uint32), least(x >> np.uint64(32))
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of either sign, small ones in few bits."""
+    return least(x << 1 ^ x >> 63)
+
+
+def unsigned(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64)
+    return x >> 1 ^ -(x & 1)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | high.astype(np.int64) << 32
+
+
+def ids_of(hashes: np.ndarray) -> np.ndarray:
+    """48 bits of a word's hash, by which it is known as the one before others and dealt to its bucket."""
+    return (hashes >> np.uint64(16)).astype(np.int64)
+
+
+def pairs_of(word: np.ndarray, sizes: np.ndarray, edges: np.ndarray, rank: np.ndarray):
+    """The distinct pairs of a word and the word before it in a batch, in the order in which buckets get
+    them and give their tables back, and the place of each token's pair among them. Words are places in the
+    batch's list, which is sorted by bucket (`edges`) and has the start at 0."""
+    before = np.concatenate([np.zeros(1, np.int64), word[:-1]])
+    before[np.cumsum(sizes) - sizes] = 0
+    n = max(int(edges[-1]), int(rank.max(initial=0)) + 1)
+    pairs, place = np.unique(word * n + before, return_inverse=True)
+    word, before = np.divmod(pairs, n)
+    bucket = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    hot = rank[word] >= 0
+    owner = np.where(hot, bucket[before], bucket[word])
+    order = np.argsort(((owner * 2 + hot) * n + np.where(hot, rank[word], word)) * n + before)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return word[order], before[order], hot[order], owner[order], back[place]
 
 
 def deal(docs: DataFrame, hot: list[bytes], own: list[bytes], buckets: int) -> DataFrame:
-    """The stored tokens, packed by batch of documents: a row with the documents (bucket -2), one
-    with the hot tokens (-1), and one for each bucket of the other words."""
+    """By batch of documents: a row with the documents and their tokens (bucket -1), and one for each
+    bucket with the batch's words in it and the pairs dealt to it."""
     ranks = {w: i for i, w in enumerate(hot)}
     places = {w: i for i, w in enumerate(own)}
 
@@ -201,72 +268,218 @@ def deal(docs: DataFrame, hot: list[bytes], own: list[bytes], buckets: int) -> D
             for text in batch.column(1):
                 found = tokens(text.as_py())
                 sizes.append(len(found))
-                words.append(np.array([new(w, len(local)) for w in found], dtype=np.int32))
-            word = np.concatenate(words)
+                words.append(np.array([new(w, len(local) + 1) for w in found], dtype=np.int32))
+            word, sizes = np.concatenate(words), np.array(sizes)
             del words
-            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            rank = np.array([ranks.get(w, -1) for w in local], dtype=np.int32)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
-            contexts = np.array([context_of(w, places.get(w)) for w in local], dtype=np.uint16)
+            rank = np.array([-1, *(ranks.get(w, -1) for w in local)], dtype=np.int32)
+            hashes = np.array([START, *(xxhash.xxh64_intdigest(w) for w in local)], dtype=np.uint64)
+            classes = np.array([0, *(context_of(w, places.get(w)) for w in local)], dtype=np.uint16)
             del local
-            before = np.concatenate([np.zeros(1, np.uint16), contexts[word[:-1]]])
-            before[np.cumsum([0, *sizes[:-1]])] = 0
-            before[train[doc]] |= np.uint16(TRAIN_BIT)
-            is_hot = rank[word] >= 0
-            out = [(-2, ids, sizes, train.tolist(), None),
-                   (-1, None, None, None, pack(rank[word[is_hot]].astype(np.uint32), before[is_hot], doc[is_hot]))]
-            # The other words in the order of their buckets and hashes, and the tokens in that order.
-            other = np.flatnonzero(rank < 0)
-            bucket = (hashes[other] % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((hashes[other], bucket))
-            other, bucket = other[order], bucket[order]
-            place = np.full(len(rank), -1, np.int32)
-            place[other] = np.arange(len(other))
-            at, before, doc = place[word[~is_hot]], before[~is_hot], doc[~is_hot]
-            order = np.argsort(at, kind="stable")
-            before, doc = before[order], doc[order]
-            counts = np.bincount(at, minlength=len(other)).astype(np.uint32)
-            stops = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.unique(bucket).tolist():
-                i, j = edges[b], edges[b + 1]
-                s = slice(stops[i], stops[j])
-                out.append((b, None, None, None, pack(hashes[other[i:j]], counts[i:j], before[s], doc[s])))
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
+            bucket = ids_of(hashes) % buckets
+            order = np.lexsort((hashes, bucket))  # the start stays the first
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            word, rank, hashes, classes = back[word], rank[order], hashes[order], classes[order]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            known = np.array([i is not None for i in ids], np.uint8)
+            out = [(-1, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), least(sizes), word.astype(np.uint16),
+                             least(word >> 16), least(edges), least(rank + 1), classes))]
+            word_, before, is_hot, owner, place = pairs_of(word, sizes, edges, rank)
+            times = np.bincount(place, np.repeat(train, sizes), minlength=len(word_)).astype(np.int64)
+            del place
+            stops = np.searchsorted(owner, np.arange(buckets + 1))
+            for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(stops) > 0)).tolist():
+                i, j = stops[b], stops[b + 1]
+                h = i + int(np.count_nonzero(~is_hot[i:j]))
+                seen, at = np.unique(before[i:j], return_inverse=True)
+                counts = np.bincount(word_[i:h] - edges[b], minlength=edges[b + 1] - edges[b])
+                out.append((b, pack(hashes[edges[b]:edges[b + 1]], least(counts), *halves(ids_of(hashes[seen])), classes[seen],
+                                    least(at), least(times[i:j]), least(rank[word_[h:j]]))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(out), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))],
+                [pa.array([name] * len(out), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary())))],
                 [c.split()[0] for c in TOKENS.split(", ")])
 
-    return materialise(docs.mapInArrow(run, TOKENS), "tokens")
+    return docs.mapInArrow(run, TOKENS)
 
 
-def sort_words(dealt: DataFrame) -> DataFrame:
-    """The tokens of other than hot words in stored chunks, sorted by word and context."""
+# Rows that buckets keep and send: `source` is the bucket a row comes from, or the sweep.
+ROWS = "kind int, bucket int, source int, payload binary, rest binary, at array<long>, x array<double>"
+TEXTS, PLACES, DISHES, ASKED, WORDS, SUMS, BEFORE, DRAWN, STATE, ANSWER, TABLES = range(11)
 
-    def merge(key, table):
-        import pyarrow as pa
 
-        parts = []
-        for batch in table.to_batches():
-            for number, payload in zip(batch.column("number").to_pylist(), batch.column("payload")):
-                values, counts, before, doc = unpack(payload.as_py())
-                parts.append((np.repeat(values, counts), before, doc.astype(np.int64) + number * BATCH))
-        word, before, doc = (np.concatenate(c) for c in zip(*parts))
-        del parts
-        order = np.lexsort((before & np.uint16(TRAIN_BIT - 1), word))
-        word, before, doc = word[order], before[order], doc[order]
-        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        wanted = np.searchsorted(starts, np.arange(CHUNK_TOKENS, len(word), CHUNK_TOKENS))
-        cuts = sorted({0, *starts[wanted[wanted < len(starts)]].tolist(), len(word)})
-        out = []
-        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            own = starts[(starts >= a) & (starts < b)] - a
-            kind = np.uint32 if int(doc[a:b].max()) < 1 << 32 else np.uint64
-            out.append((key[0].as_py() << 20 | n, pack(own.astype(np.uint32), before[a:b], doc[a:b].astype(kind), word[own + a])))
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "payload": pa.array([d for _, d in out], pa.binary())})
+def rows_of(rows: list[tuple]):
+    """An Arrow table of rows (kind, bucket, source, payload, rest, at, x), later ones left out where none."""
+    import pyarrow as pa
+
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.float64())]
+    full = [r + (None,) * (7 - len(r)) for r in rows]
+    return pa.table({c.split()[0]: pa.array([r[i] for r in full], k) for i, (c, k) in enumerate(zip(ROWS.split(", "), kinds))})
+
+
+def rows_in(table):
+    """(kind, source, payload, rest) of a table's rows by kind and source."""
+    return sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "source", "payload", "rest"))), key=lambda r: r[:2])
+
+
+def nonzero(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(values)
+    return at, values[at].astype(np.float64)
+
+
+# Places in an array of totals: tables and customers by class, the tables of the words without context, then single
+# counts, dishes by class of words seen once, customers of hot dishes and the counts of hot words.
+ROOT, VOCABULARY, TRAINED, ONES, ONCE, HOT_CELLS = (2 * CONTEXTS + i for i in (0, 1, 2, 3, 9, 9 + CONTEXTS))
 
-    return materialise(dealt.filter("bucket >= 0").select("bucket", "number", "payload")
-                       .groupBy("bucket").applyInArrow(merge, "chunk long, payload binary"), "chunks")
+
+def ones_and_twos(*counts: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for c in counts for k in (1, 2)]
+
+
+def gather(dealt: DataFrame, n_hot: int, buckets: int) -> DataFrame:
+    """The batches' texts (TEXTS) and the pairs of each bucket, stored: where the pairs of each batch are (PLACES),
+    the dishes and the pairs seen twice or more of words seen twice or more (DISHES), what the restaurants of the
+    words before must know (ASKED, DRAWN), the ids of the words (WORDS) and first totals (SUMS). Of a word seen
+    once there is one customer and one table everywhere."""
+
+    def merge(key, table):
+        bucket = key[0].as_py()
+        if bucket < 0:
+            return rows_of([(TEXTS, -1, 0, p, None, [b]) for b, p in zip(table.column("batch").to_pylist(), table.column("payload").to_pylist())])
+        got = [(name, *unpack(p)) for name, p in zip(table.column("batch").to_pylist(), table.column("payload").to_pylist())]
+        del table
+        names, hashes, counts, low, high, classes, at, times, rank = map(list, zip(*got))
+        del got
+        words = np.unique(np.concatenate(hashes))
+        seen = [whole(a, b) for a, b in zip(low, high)]
+        del low, high
+        befores, first = np.unique(np.concatenate(seen), return_index=True)
+        classes = np.concatenate(classes)[first].astype(np.int64)
+        owner = befores % buckets
+        order = np.lexsort((befores, owner))  # as in the batches, so that a batch's pairs rise here
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        where = [np.searchsorted(words, h) for h in hashes]
+        size = [len(a) for a in at]
+        before = np.concatenate([spot[np.searchsorted(befores, s)][a] for s, a in zip(seen, at)])
+        befores, classes, owner = befores[order], classes[order], owner[order]
+        word = np.concatenate([x for w, c, r in zip(where, counts, rank) for x in (np.repeat(w, c), len(words) + r.astype(np.int64))])
+        del hashes, seen, at, counts, rank, spot, order
+        wide = max(1, len(befores))
+        pairs, place = np.unique(word * wide + before, return_inverse=True)
+        count = np.bincount(place, np.concatenate(times), minlength=len(pairs)).astype(np.int64)
+        word, before = np.divmod(pairs, wide)
+        del pairs, times
+        cuts = np.cumsum(size)[:-1]
+        place = np.concatenate([steps(p) for p in np.split(place, cuts)])
+        cell, trained = word * 1024 + classes[before], count > 0
+        cells = np.unique(cell[trained])
+        dish = np.searchsorted(cells, cell)
+        known = dish < len(cells)
+        known[known] = cells[dish[known]] == cell[known]
+        del cell
+        dish_word, dish_class = np.divmod(cells, 1024)
+        cold = int(np.searchsorted(dish_word, len(words)))  # dishes of other than hot words
+        customers = np.bincount(dish[trained], minlength=len(cells))
+        singles = np.bincount(dish[count == 1], minlength=len(cells))
+        word_counts = np.bincount(word, count, minlength=len(words) + n_hot).astype(np.int64)
+        dishes = np.bincount(dish_word[:cold], minlength=len(words))
+        first = np.cumsum(dishes) - dishes
+        cold_pairs = int(np.searchsorted(word, len(words)))
+        offset = np.where(known[:cold_pairs], dish[:cold_pairs] - first[word[:cold_pairs]] + 1, 0)
+        out = [(PLACES, bucket, 0, pack(np.array(names), least(np.array([len(w) for w in where])), least(np.array(size)),
+                                        least(np.concatenate([steps(w) for w in where])), least(place), least(count),
+                                        least(np.bincount(word[:cold_pairs], minlength=len(words))), least(offset), least(dishes),
+                                        least(word_counts[:len(words)]))),
+               (WORDS, bucket, 0, pack(*halves(steps(ids_of(words)))))]
+
+        # Pairs seen twice or more, and the words before that have such.
+        rows = np.flatnonzero(count >= 2)
+        cold_rows = int(np.searchsorted(rows, cold_pairs))
+        single = np.bincount(before[count == 1], minlength=len(befores))
+        often = np.bincount(before[rows], minlength=len(befores))
+        listed = np.flatnonzero(often)
+        spot = np.cumsum(often > 0) - 1
+        dealt_to = np.bincount(owner[listed], minlength=buckets)
+        moving = np.flatnonzero(word_counts[:len(words)] >= 2)
+        kept = np.repeat(word_counts[:len(words)] >= 2, dishes)
+        out.append((DISHES, bucket, 0,
+                    pack((np.cumsum(dishes[moving]) - dishes[moving]).astype(np.uint32), dish_class[:cold][kept].astype(np.uint16) | np.uint16(TRAIN_BIT),
+                         least(singles[:cold][kept]), words[moving].astype(np.uint32)),
+                    pack(least(np.bincount(word[rows[:cold_rows]], minlength=len(words))[moving]), least(offset[rows[:cold_rows]]),
+                         least(spot[before[rows]]), least(count[rows]), befores[listed].astype(np.uint32), least(dealt_to),
+                         least(dish[rows[cold_rows:]] - cold), least((dish_word[cold:] - len(words)) * CONTEXTS + dish_class[cold:]),
+                         least(singles[cold:]))))
+        stops = np.searchsorted(owner, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(stops)).tolist():
+            of_b = np.arange(stops[b], stops[b + 1])
+            part, rest = of_b[often[of_b] > 0], of_b[(often[of_b] == 0) & (single[of_b] > 0)]
+            if len(part) or len(rest):
+                out.append((ASKED, b, bucket, pack(*halves(np.concatenate([steps(befores[part]), steps(befores[rest])])),
+                                                   least(single[np.concatenate([part, rest])]), least(dealt_to[b:b + 1]))))
+            if len(part):
+                out.append((DRAWN, b, bucket, pack(least(often[part]))))
+        total = np.zeros(HOT_CELLS + n_hot * (CONTEXTS + 1))
+        total[:CONTEXTS] = np.bincount(dish_class[:cold], minlength=CONTEXTS)
+        total[CONTEXTS:2 * CONTEXTS] = np.bincount(dish_class[:cold], customers[:cold], minlength=CONTEXTS)
+        total[ROOT] = total[VOCABULARY] = np.count_nonzero(dishes)
+        total[TRAINED] = word_counts[:len(words)].sum()
+        total[ONES:ONES + 6] = ones_and_twos(count, customers[:cold], dishes)
+        total[ONCE:ONCE + CONTEXTS] = np.bincount(dish_class[:cold][~kept], minlength=CONTEXTS)
+        total[HOT_CELLS + (dish_word[cold:] - len(words)) * CONTEXTS + dish_class[cold:]] = customers[cold:]
+        total[HOT_CELLS + n_hot * CONTEXTS:] = word_counts[len(words):]
+        return rows_of([*out, (SUMS, bucket, 0, None, None, *nonzero(total))])
+
+    return stored(dealt.groupBy("bucket", F.expr("if(bucket < 0, batch, 0)")).applyInArrow(merge, ROWS), "pairs", partition_by=["kind"])
+
+
+def kinds(rows: DataFrame, *wanted: int) -> DataFrame:
+    return rows.filter(F.col("kind").isin(*wanted))
+
+
+def restaurants(pairs: DataFrame, buckets: int) -> DataFrame:
+    """BEFORE rows: for the words of a bucket as words before others, the tables of single customers, and which words
+    each other bucket sends tables of."""
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        found = rows_in(table)
+        ids = np.cumsum(whole(*unpack(next(p for kind, _, p, _ in found if kind == WORDS))))
+        single, sources, sizes, spots = np.zeros(len(ids), np.int64), [], [], []
+        for kind, source, payload, _ in found:
+            if kind == ASKED:
+                low, high, n, often = unpack(payload)
+                asked, often = whole(low, high), int(often[0])
+                at = np.searchsorted(ids, np.concatenate([np.cumsum(asked[:often]), np.cumsum(asked[often:])]))
+                np.add.at(single, at, n)
+                if often:
+                    sources.append(source)
+                    sizes.append(often)
+                    spots.append(at[:often])
+        spots = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        return rows_of([(BEFORE, bucket, 0, pack(least(single), np.array(sources, np.uint32), np.array(sizes, np.uint32), least(spots)))])
+
+    return stored(kinds(pairs, WORDS, ASKED).groupBy("bucket").applyInArrow(run, ROWS), "before")
+
+
+def answers(before: DataFrame, drawn: DataFrame, number: int, samples: bool = False) -> DataFrame:
+    """The tables in the restaurants of the words before: to the buckets that sent some of them (ANSWER), or
+    with `samples` those of a bucket's own words (TABLES)."""
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        found = rows_in(table)
+        single, sources, sizes, spots = unpack(next(p for kind, _, p, _ in found if kind == BEFORE))
+        tables = single.astype(np.int64)
+        cuts = np.cumsum([0, *sizes.tolist()])
+        where = {s: spots[a:b] for s, a, b in zip(sources.tolist(), cuts, cuts[1:])}
+        for kind, source, payload, _ in found:
+            if kind == DRAWN:
+                np.add.at(tables, where[source], unpack(payload)[0])
+        if samples:
+            return rows_of([(TABLES, bucket, number, pack(least(tables)))])
+        return rows_of([(ANSWER, s, bucket, pack(least(tables[at]))) for s, at in where.items()])
+
+    return before.unionByName(drawn).groupBy("bucket").applyInArrow(run, ROWS)
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
@@ -291,10 +504,11 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, keys: np.ndarr
 
 @dataclass
 class Totals:
-    """What is known of all restaurants after a sweep: bounded by the number of contexts."""
+    """What is known of all classes after a sweep: bounded by their number."""
 
-    tables: np.ndarray  # by context
+    tables: np.ndarray  # by class
     parent_tables: float
+    customers: np.ndarray | None = None  # by class, where they are not those of the model
 
     @property
     def parent_customers(self) -> float:
@@ -303,12 +517,13 @@ class Totals:
 
 @dataclass
 class Model:
-    customers: np.ndarray  # training tokens by context
+    customers: np.ndarray  # by class, before the first sweep
     n: int
     v: int
     discount: float
     parent_discount: float
     sweeps: list[Totals] = field(default_factory=list)
+    pair_discount: float = 0.5  # in the restaurants of single words
 
 
 def parent_probability(model: Model, totals: Totals, customers, tables):
@@ -318,7 +533,7 @@ def parent_probability(model: Model, totals: Totals, customers, tables):
 
 
 class Seating:
-    """The dishes of some words: `pairs` of word index and context with their customers."""
+    """The dishes of some words in the classes: pairs of word index and class with their customers."""
 
     def __init__(self, keys: np.ndarray, word: np.ndarray, context: np.ndarray, customers: np.ndarray):
         """keys: a hash of each word."""
@@ -344,14 +559,14 @@ class Seating:
         above = parent_probability(model, totals, self.parent_customers, self.parent_tables)[word]
         own = np.where(pair >= 0, self.customers[pair] - model.discount * self.tables[pair], 0.0) if len(self.tables) else 0.0
         fresh = (STRENGTH + model.discount * totals.tables[context]) * above
-        return (own + fresh) / (STRENGTH + model.customers[context])
+        return (own + fresh) / (STRENGTH + (model.customers if totals.customers is None else totals.customers)[context])
 
 
 class Chunk:
-    """Tokens sorted by word and context, with the dishes of the training tokens among them."""
+    """Rows sorted by word and context, with the dishes of the training rows among them."""
 
     def __init__(self, starts: np.ndarray, before: np.ndarray, doc: np.ndarray, keys: np.ndarray):
-        """starts: where each word begins; keys: the hashes of the words."""
+        """starts: where each word begins; doc: a number of each row; keys: the hashes of the words."""
         self.doc = doc
         train = before >= TRAIN_BIT
         self.context = (before & np.uint16(TRAIN_BIT - 1)).astype(np.int32)
@@ -371,7 +586,7 @@ class Chunk:
 
 
 def parts_of(payload: bytes):
-    """A stored chunk in parts of whole words, laid out one after the other. Words do not depend on each
+    """The dishes of a bucket in parts of whole words, laid out one after the other. Words do not depend on each
     other within a sweep, so parts change neither draws nor scores."""
     starts, before, doc, keys = unpack(payload)
     wanted = np.searchsorted(starts, np.arange(WORK_TOKENS, len(before), WORK_TOKENS))
@@ -381,61 +596,83 @@ def parts_of(payload: bytes):
         yield Chunk(starts[a:b] - np.uint32(i), before[i:j], doc[i:j], keys[a:b])
 
 
-def replay(seating: Seating, model: Model) -> None:
-    """All sweeps so far, in turn."""
-    for n, totals in enumerate(model.sweeps):
-        seating.sweep(model, totals, n)
-
-
-def counted(word_counts: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
-    """Vocabulary size and the counts of ones and twos of words and of dishes."""
-    return np.array([(word_counts > 0).sum(), (word_counts == 1).sum(), (word_counts == 2).sum(),
-                     (pair_counts == 1).sum(), (pair_counts == 2).sum()], np.float64)
-
-
-def summed(chunks: DataFrame, values) -> np.ndarray:
-    """The sum over all parts of chunks of `values(chunk)`, an array whose size does not depend on
-    the data; pre-aggregated in the tasks."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        total = 0.0
-        for batch in batches:
-            for payload in batch.column(0):
-                for chunk in parts_of(payload.as_py()):
-                    total = total + values(chunk)
-        if isinstance(total, np.ndarray):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], ["i", "x"])
-
-    rows = chunks.select("payload").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(2 * CONTEXTS + 8)
-    for r in rows:
-        out[r["i"]] = r["x"]
-    return out
-
-
-def hot_counts(dealt: DataFrame, words: int) -> np.ndarray:
-    """Training counts of hot words by word and context; a bounded table."""
+def averaged(seating: Seating, model: Model, word, context, pair) -> np.ndarray:
+    """log10 of the mean predictive probability over the samples in the classes alone."""
+    total = np.zeros(len(word))
+    for n in range(len(model.sweeps) - 1):
+        seating.sweep(model, model.sweeps[n], n)
+        if n >= BURN_IN:
+            total += seating.probability(model, model.sweeps[n + 1], word, context, pair)
+    return np.log10(total / SAMPLES)
 
-    def run(batches):
-        import pyarrow as pa
 
-        total = np.zeros(words * CONTEXTS, np.int64)
-        for batch in batches:
-            for payload in batch.column(0):
-                rank, before, _ = unpack(payload.as_py())
-                train = before >= TRAIN_BIT
-                cell = rank[train].astype(np.int64) * CONTEXTS + (before[train] - np.uint16(TRAIN_BIT))
-                total += np.bincount(cell, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "x"])
-
-    rows = (dealt.filter("bucket = -1").select("payload").mapInArrow(run, "i long, x long")
-            .groupBy("i").agg(F.sum("x").alias("x")).toArrow())
-    out = np.zeros(words * CONTEXTS, np.int64)
-    out[rows["i"].to_numpy()] = rows["x"].to_numpy()
+def sweep(pairs: DataFrame, state: DataFrame | None, answered: DataFrame, model: Model, number: int, hot_keys, hot_probability) -> DataFrame:
+    """All buckets seated anew, stored: STATE, the tables sent to the words before (DRAWN) and totals (SUMS)."""
+    shared = pairs.sparkSession.sparkContext.broadcast((model, mixed(SEED, hot_keys), hot_probability))
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        model, hot_keys, hot_probability = shared.value
+        totals = model.sweeps[number]
+        found = rows_in(table)
+        payload, rest = next((p, r) for kind, _, p, r in found if kind == DISHES)
+        of_word, offset, spot, count, keys, dealt_to, hot_dish, hot_cells, hot_singles = unpack(rest)
+        answer = [unpack(p)[0] for kind, _, p, _ in found if kind == ANSWER]
+        above = np.concatenate(answer).astype(np.float64) if answer else np.zeros(0)
+        old = next((unpack(p) for kind, _, p, _ in found if kind == STATE), None)
+        count, cold = count.astype(np.int64), len(offset)
+        cuts = np.concatenate([[0], np.cumsum(of_word, dtype=np.int64)])
+        tables = np.ones(len(count), np.int64) if old is None else old[0].astype(np.int64)
+        total = np.zeros(HOT_CELLS + len(hot_probability))
+        done, heads, i, w = [], [], 0, 0
+
+        def drawn(a, b, probability, row_keys):
+            new = (STRENGTH + model.pair_discount * above[spot[a:b]]) * probability
+            return seat(count[a:b], new, model.pair_discount, mixed(row_keys, keys[spot[a:b]], 3), number)
+
+        for part in parts_of(payload):
+            s, singles = part.seating, part.doc.astype(np.int64)
+            j, a, b = i + len(singles), cuts[w], cuts[w + s.words]
+            at = np.searchsorted(s.word, np.repeat(np.arange(s.words), of_word[w:w + s.words])) + offset[a:b].astype(np.int64) - 1
+            customers = lambda: singles + np.bincount(at, tables[a:b], minlength=j - i).astype(np.int64)  # noqa: B023, E731
+            if old is not None:
+                s.tables = old[1][i:j].astype(np.int64)
+                s.parent_customers = np.bincount(s.word, s.tables, minlength=s.words).astype(np.int64)
+                s.parent_tables = old[2][w:w + s.words].astype(np.int64)
+            s.customers = customers()
+            p = s.probability(model, totals, s.word, s.context, np.arange(j - i))
+            tables[a:b] = drawn(a, b, p[at], s.keys[s.word[at]])
+            s.customers = customers()
+            s.sweep(model, totals, number)
+            by_class, parents = s.totals()
+            total[:CONTEXTS] += by_class
+            total[CONTEXTS:2 * CONTEXTS] += np.bincount(s.context, s.customers, minlength=CONTEXTS)
+            total[ROOT] += parents
+            done.append(s.tables)
+            heads.append(s.parent_tables)
+            i, w = j, w + s.words
+        at = hot_cells.astype(np.int64)
+        cell = at[hot_dish]
+        tables[cold:] = drawn(cold, len(count), hot_probability[cell], hot_keys[cell // CONTEXTS])
+        total[HOT_CELLS + at] = hot_singles + np.bincount(hot_dish, tables[cold:], minlength=len(at))
+        joined = lambda x: least(np.concatenate(x)) if x else np.zeros(0, np.uint8)
+        sent = np.bincount(spot, tables, minlength=len(keys)).astype(np.int64)
+        stops = np.cumsum([0, *dealt_to.tolist()])
+        return rows_of([(STATE, bucket, number, pack(least(tables), joined(done), joined(heads))), (SUMS, bucket, 0, None, None, *nonzero(total)),
+                        *[(DRAWN, b, bucket, pack(least(sent[stops[b]:stops[b + 1]]))) for b in np.flatnonzero(dealt_to).tolist()]])
+
+    rows = kinds(pairs, DISHES).unionByName(answered)
+    if state is not None:
+        rows = rows.unionByName(state)
+    return stored(rows.groupBy("bucket").applyInArrow(run, ROWS), "sweep", partition_by=["kind"])
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of the totals of all buckets, whose number does not depend on the data."""
+    got = (kinds(rows, SUMS).select(F.explode(F.arrays_zip("at", "x")).alias("s")).select("s.at", "s.x")
+           .groupBy("at").agg(F.sum("x").alias("x")).toArrow())
+    out = np.zeros(size)
+    out[got["at"].to_numpy()] = got["x"].to_numpy()
     return out
 
 
@@ -449,140 +686,153 @@ def score_documents(docs: DataFrame, hot: int | None = None) -> DataFrame:
     import xxhash
 
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     words, own = hot_words(plain, hot or max(HOT, 2 * buckets))
-    dealt = deal(plain, words, own, buckets)
-    numbers = materialise(dealt.filter("bucket = -2").select(  # a row for each batch of documents
-        "batch", (F.row_number().over(Window.orderBy("batch")) - 1).cast("long").alias("number")), "numbers")
-    dealt = dealt.join(numbers, "batch")
-    chunks = sort_words(dealt)
+    pairs = gather(deal(plain, words, own, buckets), len(words), buckets)
+    before = restaurants(pairs, buckets)
 
-    cells = hot_counts(dealt, len(words))
+    width = len(words) * CONTEXTS
+    found = summed(pairs, HOT_CELLS + width + len(words))
+    once = found[ONCE:ONCE + CONTEXTS]
+    cells, hot_counts = found[HOT_CELLS:HOT_CELLS + width].astype(np.int64), found[HOT_CELLS + width:].astype(np.int64)
     at = np.flatnonzero(cells)
-    keys = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    keys = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).astype(np.uint32)
     hot_seating = Seating(keys, at // CONTEXTS, at % CONTEXTS, cells[at])
-    hot_by_word = cells.reshape(len(words), CONTEXTS).sum(axis=1)
-
-    def first_totals(chunk):
-        s = chunk.seating
-        return np.concatenate([s.totals()[0], np.bincount(s.context, s.customers, minlength=CONTEXTS), [s.totals()[1]],
-                               counted(chunk.counts, s.customers), [0, 0]])
-
-    found = summed(chunks, first_totals)
-    tables, seats = hot_seating.totals()
-    stats = found[2 * CONTEXTS + 1: 2 * CONTEXTS + 6] + counted(hot_by_word, hot_seating.customers)
-    customers = found[CONTEXTS:2 * CONTEXTS] + np.bincount(hot_seating.context, hot_seating.customers, minlength=CONTEXTS)
-    v, one, two, pair_one, pair_two = stats
-    discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
-    model = Model(customers, int(customers.sum()), int(v), discount(pair_one, pair_two), discount(one, two))
-    model.sweeps.append(Totals(found[:CONTEXTS] + tables, found[2 * CONTEXTS] + seats))
-
-    def next_totals(chunk, model=model):
-        replay(chunk.seating, model)
-        return np.concatenate([chunk.seating.totals()[0], np.zeros(CONTEXTS), [chunk.seating.totals()[1]], np.zeros(7)])
+    every, pair = np.arange(width), np.full(width, -1)
+    pair[at] = np.arange(len(at))
 
-    # Entry n of model.sweeps is what sweep n goes by. Samples are the states after the last sweeps,
-    # with the totals that belong to them.
-    for n in range(BURN_IN + SAMPLES):
-        hot_seating.sweep(model, model.sweeps[n], n)
-        found = summed(chunks, next_totals)
+    def totals_of(found, once):
+        """With the hot words and the dishes, one to a word, of words seen once."""
         tables, seats = hot_seating.totals()
-        model.sweeps.append(Totals(found[:CONTEXTS] + tables, found[2 * CONTEXTS] + seats))
-    return scores(dealt, chunks, model, cells, at, keys, hot_by_word)
+        customers = np.bincount(hot_seating.context, hot_seating.customers, minlength=CONTEXTS)
+        return Totals(found[:CONTEXTS] + tables + once, found[ROOT] + seats + once.sum(), found[CONTEXTS:2 * CONTEXTS] + customers + once)
 
+    def hot_probability(totals):
+        return hot_seating.probability(model, totals, every // CONTEXTS, every % CONTEXTS, pair)
 
-def averaged(seating: Seating, model: Model, word, context, pair) -> np.ndarray:
-    """log10 of the mean predictive probability over the samples."""
-    total = np.zeros(len(word))
-    for n in range(len(model.sweeps) - 1):
-        seating.sweep(model, model.sweeps[n], n)
-        if n >= BURN_IN:
-            total += seating.probability(model, model.sweeps[n + 1], word, context, pair)
-    return np.log10(total / SAMPLES)
+    n = int(found[TRAINED] + hot_counts.sum())
+    v = int(found[VOCABULARY] + (hot_counts > 0).sum())
+    stats = found[ONES:ONES + 6] + [0, 0, *ones_and_twos(hot_seating.customers, hot_seating.parent_customers)]
+    discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
+    pair_discount, class_discount, parent_discount = (discount(*stats[i:i + 2]) for i in (0, 2, 4))
+    first = totals_of(found, np.zeros(CONTEXTS))
+    model = Model(first.customers, n, v, class_discount, parent_discount, [first], pair_discount)
 
+    # Entry n of model.sweeps is what sweep n goes by. Samples are the states after the last sweeps,
+    # with the totals that belong to them.
+    drawn, state, samples = kinds(pairs, DRAWN), None, []
+    for k in range(BURN_IN + SAMPLES):
+        done = sweep(pairs, state, answers(before, drawn, k), model, k, keys, hot_probability(model.sweeps[k]))
+        found = summed(done, HOT_CELLS + width)
+        seated = found[HOT_CELLS:].astype(np.int64)
+        # As in the buckets: the customers are new, and all are seated by the totals before.
+        hot_seating.customers = seated[at]
+        hot_seating.sweep(model, model.sweeps[k], k)
+        model.sweeps.append(totals_of(found, once))
+        drawn, state = kinds(done, DRAWN), kinds(done, STATE)
+        if k >= BURN_IN:
+            samples.append((state, answers(before, drawn, k, samples=True), hot_probability(model.sweeps[k + 1])))
+    return scores(pairs, samples, model, hot_counts)
+
+
+def returned(pairs: DataFrame, samples: list, model: Model) -> DataFrame:
+    """batch, bucket, payload: for the words of a batch in a bucket their counts, and by sample their customers and
+    tables without context and the tables of their restaurants; for its pairs their counts, and by sample their
+    tables and the customers and tables of their dishes. Later samples as differences to those before."""
+
+    def run(key, table):
+        import pyarrow as pa
 
-def scores(dealt, chunks, model: Model, cells, at, keys, hot_by_word) -> DataFrame:
-    spark = dealt.sparkSession
-    n_words = len(hot_by_word)
-    seating = Seating(keys, at // CONTEXTS, at % CONTEXTS, cells[at])
-    every = np.arange(n_words * CONTEXTS)
-    pair = np.full(len(every), -1)
-    pair[at] = np.arange(len(at))
-    table = averaged(seating, model, every // CONTEXTS, every % CONTEXTS, pair).astype(np.float32)
-    shared = spark.sparkContext.broadcast((table, np.log10(hot_by_word + 1.0), hot_by_word > 0))
-    part = "number long, payload binary"
+        bucket = key[0].as_py()
+        found = rows_in(table)
+        one = lambda wanted, n=0: next(p for kind, source, p, _ in found if (kind, source) == (wanted, n))
+        names, n_words, n_pairs, where, place, count, of_word, offset, dishes, word_counts = unpack(one(PLACES))
+        first = np.cumsum(dishes, dtype=np.int64) - dishes
+        word = np.repeat(np.arange(len(dishes)), of_word)
+        dish = np.zeros(len(count), np.int64)  # from 1; those of hot words have none here
+        dish[:len(word)] = np.where(offset > 0, first[word] + offset, 0)
+        moving = word_counts >= 2
+        kept, owner = np.repeat(moving, dishes), np.repeat(np.arange(len(dishes)), dishes)
+        rows = np.flatnonzero(count >= 2)
+        by_word, by_pair = [], []
+        for k in range(BURN_IN, BURN_IN + SAMPLES):
+            tables, dish_tables, word_tables = unpack(one(STATE, k))
+            above, = unpack(one(TABLES, k))
+            of_pair = np.minimum(count, 1).astype(np.int64)
+            of_pair[rows] = tables
+            customers = np.bincount(dish, of_pair, minlength=1 + len(kept)).astype(np.int64)
+            customers[0] = 0
+            seats = np.ones(1 + len(kept), np.int64)
+            seats[0] = 0
+            seats[1:][kept] = dish_tables
+            root_tables = (word_counts > 0).astype(np.int64)
+            root_tables[moving] = word_tables
+            root_customers = np.bincount(owner, seats[1:], minlength=len(dishes)).astype(np.int64)
+            by_word.append([root_customers, root_tables, above.astype(np.int64)])
+            by_pair.append([of_pair, customers[dish], seats[dish]])
+        by_word, by_pair = ([first, *map(least, samples[0]), *[signed(x - y) for a, b in zip(samples, samples[1:]) for x, y in zip(b, a)]]
+                            for first, samples in ((word_counts, by_word), (count, by_pair)))
+        ends, stops = np.cumsum(n_words, dtype=np.int64), np.cumsum(n_pairs, dtype=np.int64)
+        out = []
+        for name, j, nw, q, nq in zip(names.tolist(), ends, n_words.tolist(), stops, n_pairs.tolist()):
+            at, to = np.cumsum(where[j - nw:j], dtype=np.int64), np.cumsum(place[q - nq:q], dtype=np.int64)
+            out.append((name, bucket, pack(*[x[at] for x in by_word], *[x[to] for x in by_pair])))
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("batch", "bucket", "payload"), zip(*out), (pa.int64(), pa.int32(), pa.binary()))})
 
-    def hot_part(batches):
-        import pyarrow as pa
+    rows = kinds(pairs, PLACES)
+    for state, tables, _ in samples:
+        rows = rows.unionByName(state).unionByName(tables)
+    return rows.groupBy("bucket").applyInArrow(run, "batch long, bucket int, payload binary")
 
-        table, base, known = shared.value
-        for batch in batches:
-            out = []
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rank, before, doc = unpack(payload.as_py())
-                context = (before & np.uint16(TRAIN_BIT - 1)).astype(np.int64)
-                rank = rank.astype(np.int64)
-                out.append((name, pack_sums(*by_document(doc, table[rank * CONTEXTS + context].astype(np.float64), base[rank],
-                                                    known[rank]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.binary()])],
-                                             ["number", "payload"])
-
-    def other_part(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for payload in batch.column(0):
-                laid = [(chunk.doc.astype(np.int64), averaged(chunk.seating, model, chunk.word, chunk.context, chunk.pair),
-                         np.log10(chunk.counts + 1.0)[chunk.word], (chunk.counts > 0)[chunk.word])
-                        for chunk in parts_of(payload.as_py())]
-                doc, score, base, known = by_document(*map(np.concatenate, zip(*laid)))
-                del laid
-                owner = doc // BATCH
-                cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist() + [len(doc)]
-                out = [(int(owner[a]), pack_sums(doc[a:b] % BATCH, score[a:b], base[a:b], known[a:b]))
-                       for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.binary()])],
-                                                 ["number", "payload"])
-
-    parts = (dealt.filter("bucket = -1").select("number", "payload").mapInArrow(hot_part, part)
-             .unionByName(chunks.select("payload").mapInArrow(other_part, part)))
-    rows = (dealt.filter("bucket = -2").select("number", "payload", "doc_ids", "sizes", "train")
-            .unionByName(parts, allowMissingColumns=True))
-    n, v = model.n, model.v
+def scores(pairs: DataFrame, samples: list, model: Model, hot_counts) -> DataFrame:
+    shared = pairs.sparkSession.sparkContext.broadcast((model, hot_counts, [p.astype(np.float32) for _, _, p in samples]))
+    rows = (kinds(pairs, TEXTS).select(F.col("at")[0].alias("batch"), "bucket", "payload")
+            .unionByName(returned(pairs, samples, model)))
     result = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
               "score double")
 
     def finish(key, table):
         import pyarrow as pa
 
-        head = table.filter(table.column("sizes").is_valid()).select(["doc_ids", "sizes", "train"]).to_pylist()[-1]
-        sizes = np.array(head["sizes"], np.int64)
-        total = np.zeros((3, len(sizes)))
-        for payload in table.column("payload"):
-            if payload.is_valid:
-                doc, score, low, high, known = unpack(payload.as_py())
-                doc = doc.astype(np.int64)
-                total[0][doc] += score  # a document is there once in each part
-                total[1][doc] += (low + high.astype(np.float64) * (1 << 32)) / STEPS_A_UNIT
-                total[2][doc] += known
-        return pa.table({"doc_id": pa.array(head["doc_ids"], pa.int64()), "held_out": pa.array([not t for t in head["train"]]),
-                         "n_tokens": pa.array(sizes), "n_known": pa.array(np.rint(total[2]).astype(np.int64)),
-                         "train_tokens": pa.array([n] * len(sizes), pa.int64()),
-                         "base_score": pa.array(total[1] - sizes * np.log10(n + v + 1.0)), "score": pa.array(total[0])})
-
-    return rows.groupBy("number").applyInArrow(finish, result)
-
-
-def pack_sums(doc, score, base, known) -> bytes:
-    """Sums of documents in few bytes; the base is in steps of 2 ** -26, its upper half mostly zero."""
-    steps = np.rint(base * STEPS_A_UNIT).astype(np.uint64)
-    least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return pack(least(doc), score.astype(np.float32), steps.astype(np.uint32), least(steps >> np.uint64(32)), least(known))
-
-
-def by_document(doc, score, base, known):
-    """Documents and the sums of their values."""
-    values, at = np.unique(doc, return_inverse=True)
-    return (values, np.bincount(at, score, minlength=len(values)), np.bincount(at, base, minlength=len(values)),
-            np.bincount(at, known, minlength=len(values)).astype(np.int32))
+        model, hot_counts, hot_probability = shared.value
+        order = np.argsort(table.column("bucket").to_numpy())
+        payloads = table.column("payload")
+        parts = [unpack(payloads[int(i)].as_py()) for i in order[1:]]
+        ids, known, train, sizes, low, high, edges, rank, classes = unpack(payloads[int(order[0])].as_py())
+        del table, payloads
+        word, rank, sizes = low.astype(np.int64) | high.astype(np.int64) << 16, rank.astype(np.int64) - 1, sizes.astype(np.int64)
+        joined = [np.concatenate(x) for x in zip(*parts)]
+        del parts
+        pair_word, before, hot, _, place = pairs_of(word, sizes, edges.astype(np.int64), rank)
+        counts = joined[0].astype(np.int64)
+        counts[rank >= 0] = hot_counts[rank[rank >= 0]]
+        customers = counts.astype(np.float64)
+        customers[0] = hot_counts[0]  # of the start: texts, which all have an end
+        count = joined[1 + 3 * SAMPLES].astype(np.float64)
+        of_word, of_pair = ([x.astype(np.int64) for x in joined[i:i + 3]] for i in (1, 2 + 3 * SAMPLES))
+        context = classes[before].astype(np.int64)
+        cell = np.where(hot, rank[pair_word] * CONTEXTS + context, 0)
+        total = np.zeros(len(pair_word))
+        for k in range(SAMPLES):
+            if k:
+                of_word, of_pair = ([x + unsigned(d) for x, d in zip(known, joined[i + 3 * k:])] for known, i in ((of_word, 1), (of_pair, 2 + 3 * SAMPLES)))
+            (guests, held, above), (tables, dish, dish_tables) = of_word, of_pair
+            by = model.sweeps[BURN_IN + k + 1]
+            root = parent_probability(model, by, guests, held)
+            p = (dish - model.discount * dish_tables + (STRENGTH + model.discount * by.tables[context]) * root[pair_word]) / (STRENGTH + by.customers[context])
+            p = np.where(hot, hot_probability[k][cell], p)
+            total += ((count - model.pair_discount * tables + (STRENGTH + model.pair_discount * above[before]) * p)
+                      / (STRENGTH + customers[before]))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        summed_up = lambda values: np.bincount(doc, values, minlength=len(sizes))
+        score = summed_up(np.log10(total / SAMPLES)[place])
+        base = summed_up(np.log10(counts + 1.0)[word]) - sizes * np.log10(model.n + model.v + 1.0)
+        return pa.table({"doc_id": pa.array(ids, mask=known == 0), "held_out": pa.array(train == 0),
+                         "n_tokens": pa.array(sizes), "n_known": pa.array(summed_up((counts > 0)[word]).astype(np.int64)),
+                         "train_tokens": pa.array([model.n] * len(sizes), pa.int64()),
+                         "base_score": pa.array(base), "score": pa.array(score)})
+
+    return rows.groupBy("batch").applyInArrow(finish, result)

@@ -165,3 +165,96 @@ def test_parts_of_a_chunk_hold_whole_words_and_few_tokens(monkeypatch):
     cut = scored()
     assert len(whole[0]) == 1 and len(cut[0]) > 5 and max(cut[0]) < 500 + 40 and whole[1] == cut[1] == 300
     assert (whole[2] == doc).all() and (cut[2] == doc).all() and (whole[3] == cut[3]).all()
+
+
+def plain_scores(rows, own):
+    """The whole model word by word in dictionaries, with the same draws."""
+    import xxhash
+
+    hashed = lambda w: xxhash.xxh64_intdigest(w)
+    places = {w: i for i, w in enumerate(own)}
+    texts = [(i, L.tokens(t)) for i, t in rows]
+    follow = lambda words: zip([None, *words], words)
+    class_of = lambda u: 0 if u is None else L.context_of(u, places.get(u))
+    count = Counter(p for i, words in texts if L.is_train(i) for p in follow(words))
+    seen, n = Counter(), sum(count.values())
+    for (_, w), c in count.items():
+        seen[w] += c
+    word_key = {w: L.mixed(L.SEED, np.uint32(hashed(w) & 0xFFFFFFFF)) for w in seen}
+    row_key = {(u, w): L.mixed(word_key[w], np.uint32(0 if u is None else hashed(u) >> 16 & 0xFFFFFFFF), 3) for u, w in count}
+    table = {p: 1 for p in count}
+    dish, seats, root, root_seats = Counter(), {}, Counter(), {w: 1 for w in seen}
+
+    def gather():
+        dish.clear(), root.clear()
+        for (u, w), t in table.items():
+            dish[class_of(u), w] += t
+        for key in dish:
+            root[key[1]] += seats.setdefault(key, 1)
+
+    gather()
+    discounts = []
+    for counts in (count, dish, root):
+        a, b = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discounts.append(min(max(a / (a + 2 * b), 0.1), 0.95) if a + b else 0.5)
+    d, e, f = discounts
+    customers, sums = Counter(), {}
+    for (u, _), c in count.items():
+        customers[u] += c
+    scores = Counter()
+    for number in range(-1, L.BURN_IN + L.SAMPLES):
+        if number >= 0:
+            above, inner = sums["root"], sums["dish"]
+            for (u, w), c in count.items():
+                table[u, w] = int(L.seat(np.array([c]), np.array([1 + d * sums["before"][u]]) * inner(class_of(u), w), d, row_key[u, w], number)[0])
+            dish.clear()
+            for (u, w), t in table.items():
+                dish[class_of(u), w] += t
+            for (k, w), c in dish.items():
+                key = L.mixed(L.SEED, np.uint32(hashed(w) & 0xFFFFFFFF), k + 1)
+                seats[k, w] = int(L.seat(np.array([c]), np.array([1 + e * sums["class"][k]]) * above(w), e, key, number)[0])
+            gather()
+            for w, c in root.items():
+                root_seats[w] = int(L.seat(np.array([c]), np.array([sums["fresh"]]), f, word_key[w], number)[0])
+        before, by_class, by_customers = Counter(), Counter(), Counter()
+        for (u, _), t in table.items():
+            before[u] += t
+        for (k, w), t in seats.items():
+            by_class[k] += t
+            by_customers[k] += dish[k, w]
+        fresh = (1 + f * sum(root_seats.values())) / (len(seen) + 1)
+        below, held, guests = 1 + sum(root.values()), dict(root_seats), dict(root)
+        of_root = lambda w, g=guests, h=held, x=fresh, s=below: (g.get(w, 0) - f * h.get(w, 0) + x) / s
+        y, z = dict(dish), dict(seats)
+        of_class = lambda k, w, y=y, z=z, t=by_class, c=by_customers, r=of_root: (
+            (y.get((k, w), 0) - e * z.get((k, w), 0) + (1 + e * t[k]) * r(w)) / (1 + c[k]))
+        sums = {"before": before, "class": by_class, "root": of_root, "dish": of_class, "fresh": fresh * (len(seen) + 1) / (len(seen) + 1)}
+        if number >= L.BURN_IN:
+            for p in {p for _, words in texts for p in follow(words)}:
+                u, w = p
+                scores[p] += (count[p] - d * table.get(p, 0) + (1 + d * before[u]) * of_class(class_of(u), w)) / (1 + customers[u])
+    return {i: sum(math.log10(scores[p] / L.SAMPLES) for p in follow(words)) for i, words in texts}
+
+
+def test_scores_against_a_plain_seating(spark):
+    rows = topic_rows(150, seed=21) + [(900, None), (901, "Word3"), (902, "never seen words"), (903, "x " * 400)]
+    docs = documents(spark, rows)
+    want = plain_scores(rows, L.hot_words(docs.selectExpr("doc_id", "text"), 8)[1])
+    for hot in (4, 500):
+        got = {r.doc_id: r.score for r in L.score_documents(docs.repartition(3), hot=hot).collect()}
+        assert got.keys() == want.keys()
+        assert max(abs(got[i] - want[i]) for i in want) < 2e-3
+
+
+def test_every_word_before_has_its_own_restaurant(spark):
+    """Rare words that share their ending, so their class: each is followed by a word of its own."""
+    rng = random.Random(22)
+    pairs = [i for i in range(700) for _ in range(8)]
+    rng.shuffle(pairs)
+    learned = [i for i in range(400) if L.is_train(i)]
+    rows = [(i, " ".join(f"p{k}xyz s{k}" for k in pairs[28 * n:28 * n + 28])) for n, i in enumerate(learned[:200])]
+    held = [i for i in range(1000, 1600) if not L.is_train(i)][:40]
+    rows += [(i, f"p{n}xyz s{n if n < 20 else n + 1}") for n, i in enumerate(held)]
+    got = {r.doc_id: r.score for r in L.score_documents(documents(spark, rows)).collect()}
+    right, wrong = ([got[i] for i in ids] for ids in (held[:20], held[20:]))
+    assert min(right) > max(wrong) + 1
