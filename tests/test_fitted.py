@@ -66,3 +66,20 @@ def test_shared_importances_are_those_of_the_rows(spark):
         matrix = session.materialise(flow.matrix(catalog.MATRIX_FEATURES, catalog.CATEGORIES), "again")
         want = {r.feature: r.importance for r in mo.feature_importance(mo.train_forest(matrix, **settings)).collect()}
     assert got.keys() == want.keys() and sum(got.values()) == pytest.approx(1)
+
+
+def test_rows_of_a_forest_keep_their_nodes(spark, monkeypatch):
+    """No level walks the rows down from the roots again, and the forest is the one without that."""
+    rng = random.Random(32)
+    rows = [(i, rng.random(), rng.randint(0, 3), int(rng.random() < 0.4)) for i in range(300)]
+    data = spark.createDataFrame([(*r, int(r[1] + 0.2 * r[2] > 0.7)) for r in rows], "person_id int, x double, y int, z int, long_covid int").coalesce(1)
+    kept, fit = [], mo._fit
+
+    def walked(rows, label, classifier):
+        kept.append(classifier.getCacheNodeIds())
+        return fit(rows, label, classifier.copy({classifier.cacheNodeIds: False}))
+
+    importances = lambda: {r.feature: r.importance for r in mo.feature_importance(mo.train_forest(data, n_estimators=7, max_depth=6)).collect()}
+    got = importances()
+    monkeypatch.setattr(mo, "_fit", walked)
+    assert importances() == pytest.approx(got, abs=1e-12) and kept == [True]
