@@ -152,7 +152,7 @@ def hot_words(docs: DataFrame, hot: int) -> tuple[list[bytes], list[bytes]]:
                         seen = Counter()
         yield rows(seen)
 
-    counts = materialise(docs.mapInArrow(report, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "hot")
+    counts = stored(docs.mapInArrow(report, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "hot")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = min(1 / (2 * hot), CONTEXT_SHARE) * total
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -258,3 +259,22 @@ def test_every_word_before_has_its_own_restaurant(spark):
     got = {r.doc_id: r.score for r in L.score_documents(documents(spark, rows)).collect()}
     right, wrong = ([got[i] for i in ids] for ids in (held[:20], held[20:]))
     assert min(right) > max(wrong) + 1
+
+
+def test_counting_words_leaves_no_shuffled_words_on_disk(spark):
+    rows = [(i, " ".join(f"word{40 * i + k}" for k in range(40))) for i in range(1500) if L.is_train(i)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text").cache()
+    docs.count()
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = (files.apply(i) for i in range(files.size()))
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = shuffled()
+    L.hot_words(docs, 8)
+    left = lambda: sum(n for name, n in shuffled().items() if name not in before)
+    until = time.time() + 20
+    while left() > 50_000 and time.time() < until:  # of some 60,000 words; removed in the background
+        time.sleep(0.2)
+    assert left() <= 50_000
