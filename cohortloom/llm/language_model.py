@@ -23,6 +23,7 @@ list of hot words change a draw."""
 from __future__ import annotations
 
 import struct
+import uuid
 from dataclasses import dataclass, field
 from math import copysign, exp
 from statistics import NormalDist
@@ -32,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.session import materialise
+from cohortloom.llm.common import new_folder, open_folder
+from cohortloom.session import materialise, remember
 
 HELD_OUT = 2  # the remainder of crc32(doc_id) by FOLDS that is not learned from
 FOLDS = 7
@@ -220,6 +222,22 @@ def ids_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(16)).astype(np.int64)
 
 
+def put(folder: str, data: bytes) -> bytes:
+    """Write a new file in a folder of the shared one; its address."""
+    files, path = open_folder(folder)
+    files.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex
+    with files.open_output_stream(f"{path}/{name}") as file:
+        file.write(data)
+    return f"{folder}/{name}".encode()
+
+
+def fetch(address: bytes) -> bytes:
+    files, path = open_folder(address.decode())
+    with files.open_input_stream(path) as file:
+        return file.read()
+
+
 def pairs_of(word: np.ndarray, sizes: np.ndarray, edges: np.ndarray, rank: np.ndarray):
     """The distinct pairs of a word and the word before it in a batch, in the order in which buckets get
     them and give their tables back, and the place of each token's pair among them. Words are places in the
@@ -239,8 +257,9 @@ def pairs_of(word: np.ndarray, sizes: np.ndarray, edges: np.ndarray, rank: np.nd
 
 
 def deal(docs: DataFrame, hot: list[bytes], own: list[bytes], buckets: int) -> DataFrame:
-    """By batch of documents: a row with the documents and their tokens (bucket -1), and one for each
-    bucket with the batch's words in it and the pairs dealt to it."""
+    """By batch of documents: a row with the name of a file of its documents and their tokens (bucket -1), and one for
+    each bucket with the batch's words in it and the pairs dealt to it. A task that is repeated names its own files."""
+    folder = remember(new_folder(docs.sparkSession, "texts"))
     ranks = {w: i for i, w in enumerate(hot)}
     places = {w: i for i, w in enumerate(own)}
 
@@ -282,8 +301,8 @@ def deal(docs: DataFrame, hot: list[bytes], own: list[bytes], buckets: int) -> D
             word, rank, hashes, classes = back[word], rank[order], hashes[order], classes[order]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             known = np.array([i is not None for i in ids], np.uint8)
-            out = [(-1, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), least(sizes), word.astype(np.uint16),
-                             least(word >> 16), least(edges), least(rank + 1), classes))]
+            out = [(-1, put(folder, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), least(sizes), word.astype(np.uint16),
+                                         least(word >> 16), least(edges), least(rank + 1), classes)))]
             word_, before, is_hot, owner, place = pairs_of(word, sizes, edges, rank)
             times = np.bincount(place, np.repeat(train, sizes), minlength=len(word_)).astype(np.int64)
             del place
@@ -336,7 +355,7 @@ def ones_and_twos(*counts: np.ndarray) -> list[int]:
 
 
 def gather(dealt: DataFrame, n_hot: int, buckets: int) -> DataFrame:
-    """The batches' texts (TEXTS) and the pairs of each bucket, stored: where the pairs of each batch are (PLACES),
+    """The names of the files of the batches' texts (TEXTS) and the pairs of each bucket, stored: where the pairs of each batch are (PLACES),
     the dishes and the pairs seen twice or more of words seen twice or more (DISHES), what the restaurants of the
     words before must know (ASKED, DRAWN), the ids of the words (WORDS) and first totals (SUMS). Of a word seen
     once there is one customer and one table everywhere."""
@@ -801,7 +820,7 @@ def scores(pairs: DataFrame, samples: list, model: Model, hot_counts) -> DataFra
         order = np.argsort(table.column("bucket").to_numpy())
         payloads = table.column("payload")
         parts = [unpack(payloads[int(i)].as_py()) for i in order[1:]]
-        ids, known, train, sizes, low, high, edges, rank, classes = unpack(payloads[int(order[0])].as_py())
+        ids, known, train, sizes, low, high, edges, rank, classes = unpack(fetch(payloads[int(order[0])].as_py()))
         del table, payloads
         word, rank, sizes = low.astype(np.int64) | high.astype(np.int64) << 16, rank.astype(np.int64) - 1, sizes.astype(np.int64)
         joined = [np.concatenate(x) for x in zip(*parts)]

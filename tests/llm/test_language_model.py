@@ -278,3 +278,11 @@ def test_counting_words_leaves_no_shuffled_words_on_disk(spark):
     while left() > 50_000 and time.time() < until:  # of some 60,000 words; removed in the background
         time.sleep(0.2)
     assert left() <= 50_000
+
+
+def test_texts_of_a_batch_are_written_once_and_not_shuffled(spark):
+    rows = [(i, " ".join(f"w{(7 * i + k) % 900}" for k in range(50))) for i in range(400)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text").coalesce(2)
+    sent = [bytes(r.payload) for r in L.deal(docs, [L.END], [L.END], 4).filter("bucket = -1").collect()]
+    assert sent and max(map(len, sent)) < 400
+    assert sorted(np.concatenate([L.unpack(L.fetch(p))[0] for p in sent])) == [i for i, _ in rows]
