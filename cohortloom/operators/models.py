@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.operators.trees import BoostedTrees, boosted_scores
 from cohortloom.session import materialise
 
 ROWS_A_TASK = 100_000  # of a fit, times the trees grown at once; a level is a job, in which a task with less costs more than it does
@@ -53,7 +54,7 @@ def train_boosted_trees(data: DataFrame, label: str = "label", colsample_bytree:
     `gamma` is a loss reduction summed over rows, Spark's minimum gain one per row, so it is
     divided by the number of training rows."""
     rows, n = rows_of_fit(data, 1)
-    return _fit(rows, label, GBTClassifier(
+    return _fit(rows, label, BoostedTrees(
         maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample_bytree), minInfoGain=gamma / max(n, 1),
         minInstancesPerNode=max(1, min_child_weight), seed=random_state))
@@ -71,6 +72,8 @@ def train_forest(data: DataFrame, label: str = "long_covid", n_estimators: int =
 
 def model_scores(data: DataFrame, model: PipelineModel, keys: tuple[str, ...] = ("person_id", "window")) -> DataFrame:
     """Probability of the positive class for every row, by the columns the model was fitted on."""
+    if isinstance(model.stages[-1], GBTClassificationModel):
+        return boosted_scores(PipelineModel(model.stages[:-1]).transform(data), model.stages[-1], keys)
     return model.transform(data).select(*keys, vector_to_array("probability")[1].alias("model_score"))
 
 
